@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from .mixing import OP2_SQL, op2_mixing
 from .pfor import op1_token_ids
 
 QUERIES = {
     "op1_token_ids": op1_token_ids,
+    "op2_mixing": op2_mixing,
+}
+ORACLES: dict[str, str] = {
+    "op2_mixing": OP2_SQL,
 }
-ORACLES: dict[str, str] = {}

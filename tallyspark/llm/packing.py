@@ -173,8 +173,8 @@ def pieces(documents: DataFrame, tokenizer: str | None = None, capacity: int = C
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py()) + end
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids = encode(text) + end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     data = ids[at : at + 4 * capacity]
                     n = len(data) // 4
@@ -184,7 +184,7 @@ def pieces(documents: DataFrame, tokenizer: str | None = None, capacity: int = C
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(
         cutting, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
     )
 

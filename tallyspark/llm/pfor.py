@@ -47,13 +47,19 @@ def pack(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def unpack(rows: np.ndarray, width: int) -> np.ndarray:
-    """Inverse of ``pack``."""
+    """Inverse of ``pack``: each value is cut from the five bytes at its first bit."""
     if not width:
         return np.zeros((len(rows), BLOCK), np.uint32)
-    size = 16 if width <= 16 else 32
-    bits = np.zeros((len(rows), BLOCK, size), np.uint8)
-    bits[:, :, size - width :] = np.unpackbits(rows, axis=1).reshape(len(rows), BLOCK, width)
-    return np.packbits(bits, axis=2).reshape(len(rows), -1).view(f">u{size // 8}").astype(np.uint32)
+    at = np.arange(BLOCK) * width
+    span = 3 if width <= 17 else 5
+    wide = np.zeros((len(rows), rows.shape[1] + span), np.uint32 if span == 3 else np.uint64)
+    wide[:, : rows.shape[1]] = rows
+    got = wide[:, at // 8]
+    for k in range(1, span):
+        got <<= 8
+        got |= wide[:, at // 8 + k]
+    got >>= (8 * span - width - at % 8).astype(got.dtype)
+    return (got & ((1 << width) - 1)).astype(np.uint32)
 
 
 def encode_segment(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, percentile: float = 90.0) -> bytes:
@@ -144,8 +150,8 @@ def write(documents: DataFrame, path: str, tokenizer: str | None = None, end_id:
             )
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py()) + end
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids = encode(text) + end
                 names.append(doc_id)
                 lengths.append(len(ids) // 4)
                 parts.append(ids)
@@ -157,7 +163,7 @@ def write(documents: DataFrame, path: str, tokenizer: str | None = None, end_id:
             yield close()
 
     (
-        documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
         .withColumn("_h", F.xxhash64("text"))
         .repartitionByRange("doc_id", "_h")
         .sortWithinPartitions("doc_id", "_h")

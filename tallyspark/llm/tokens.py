@@ -8,8 +8,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Chunks held per worker before the cache starts anew: bounds its memory to some 60 MB.
-CACHE_ENTRIES = 250_000
+#: Chunks in each of a worker's two cache generations; both together take some 150 MB.
+CACHE_ENTRIES = 350_000
 #: ASCII marks that the tokenizer keeps together as a run of their own after letters (no apostrophe: it starts contractions).
 TRAILING = b'.,!?;:*%$#&|()"-'
 
@@ -22,38 +22,40 @@ def default_path() -> str:
 
 
 class ChunkEncoder(dict):
-    """Maps a chunk (UTF-8 bytes without white space) to its ids (little-endian uint32 bytes)."""
+    """Maps a chunk (UTF-8 bytes without white space) to its ids (little-endian uint32 bytes).
+
+    When the young generation is full it becomes the old one; chunks found there are moved back, so
+    frequent ones stay and memory is bounded.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.old: dict[bytes, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
 
     def __missing__(self, chunk: bytes) -> bytes:
-        stem = chunk.rstrip(TRAILING)
-        if stem and (stem.isalpha() or (not stem.isascii() and stem.decode("utf-8", "replace").isalpha())):
-            if len(stem) < len(chunk):
+        ids = self.old.get(chunk)
+        if ids is None:
+            stem = chunk.rstrip(TRAILING)
+            if stem and len(stem) < len(chunk) and (stem.isalpha() or (not stem.isascii() and stem.decode("utf-8", "replace").isalpha())):
                 ids = self[stem] + self[chunk[len(stem) :]]
-            elif stem.isascii() and (low := stem.lower()) != stem:
-                ids = self[low]
             else:
-                ids = self.library(chunk)
-        else:
-            ids = self.library(chunk)
+                ids = np.array(self.tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype="<u4").tobytes()
         if len(chunk) <= 64:
             if len(self) >= CACHE_ENTRIES:
+                self.old = dict(self)
                 self.clear()
             self[chunk] = ids
         return ids
 
-    def library(self, chunk: bytes) -> bytes:
-        got = self.tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids
-        return np.array(got, dtype="<u4").tobytes()
-
-    def encode(self, text: str | None) -> bytes:
-        """The ids of the whole text as little-endian uint32 bytes; null is the empty text."""
-        return b"".join(map(self.__getitem__, text.encode("utf-8", "replace").split())) if text else b""
+    def encode(self, text: bytes | None) -> bytes:
+        """The ids of a whole UTF-8 text as little-endian uint32 bytes; null is the empty text."""
+        if not text:
+            return b""
+        # the tokenizer lower-cases all but its special tokens, which begin with these two marks
+        return b"".join(map(self.__getitem__, (text if b"<|" in text else text.lower()).split()))
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}

@@ -21,6 +21,10 @@ UNIT = 1 << 24
 STRETCH_ROWS = 2048
 
 
+#: Sources (one row of a few numbers each) up to which their table is broadcast; more are joined by a shuffle.
+BROADCAST_SOURCES = 20_000
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -77,17 +81,16 @@ def spread(doc_id: Column, seed: int) -> Column:
     return F.pmod(F.coalesce(F.pmod(doc_id, F.lit(1 << 31)), F.lit(0)) * F.lit(1103515245) + F.lit(12345 + seed), F.lit(1 << 31)).cast("long")
 
 
-def copies(documents: DataFrame, seed: int = 0, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """``documents`` (doc_id, text, source, ...) with size, source_size, target and copies.
+def _counted(documents: DataFrame, own: dict[str, str], seed: int = 0, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """The columns of ``own`` (name to alias) with size, source_size, target and copies of each document.
 
     All rows stay; ``copies`` may be 0. Null texts have size 0, null sources form one source of their
     own, an empty table gives no rows. Repeated rows are documents of their own. The running sum has
     two levels, so that a source with a third of all rows is no task's: within a stretch (source,
     square root of the size, spread bucket), and over stretch totals of the source.
     """
-    own = {c: f"_own_{i}" for i, c in enumerate(documents.columns)}
     base = documents.select(
-        *(F.col(f"`{c}`").alias(n) for c, n in own.items()),
+        *(F.col("`" + c.replace("`", "``") + "`").alias(n) for c, n in own.items()),
         F.col("doc_id").cast("long").alias("_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"),
     ).withColumn("_key", key("source"))
     plan = cut(source_targets(base.select("source", "size"), share, most, weights))  # one row per source
@@ -95,13 +98,14 @@ def copies(documents: DataFrame, seed: int = 0, share: float = 1.5, most: float
         key("source").alias("_key"), "rows", "source_size", "target", expected_units(F.col("target"), F.col("source_size")).alias("units"),
         offset_units(key("source"), seed).alias("offset"),
     )
-    # sources are few and their table is one small row each: Spark broadcasts it below its size limit and
-    # otherwise splits hot keys of the sort-merge join
-    rows = base.join(plan, "_key")
+    small = plan.count() <= BROADCAST_SOURCES
+    rows = base.join(F.broadcast(plan) if small else plan, "_key")
     rows = rows.withColumn("_class", F.floor(F.sqrt(F.col("size"))).cast("long")).withColumn("_spread", spread(F.col("_id"), seed))
     width = F.greatest(F.lit(1), F.ceil(F.lit(float(1 << 31)) / F.greatest(F.lit(1), F.ceil(F.col("rows") / STRETCH_ROWS))))
     rows = rows.withColumn("_bucket", F.floor(F.col("_spread") / width).cast("long"))
     stretch = ("_key", "_class", "_bucket")
+    if not small:  # a sort-merge join has left each source in one task
+        rows = rows.repartition(*stretch)
     totals = rows.groupBy(*stretch).agg(F.sum("units").alias("_sum"))
     # stretches of a source, in order: a running sum of totals. A source has rows / STRETCH_ROWS stretches
     # at most for each power, so this too is done in two levels
@@ -116,25 +120,26 @@ def copies(documents: DataFrame, seed: int = 0, share: float = 1.5, most: float
     end = F.col("_before") + F.col("_upto") + F.col("offset")
     number = F.floor(end / UNIT) - F.floor((end - F.col("units")) / UNIT)
     # the windows above and this join deal rows by the same keys: texts move once
-    return rows.join(before, list(stretch)).select(
-        *(F.col(n).alias(c) for c, n in own.items()),
-        *(F.col(c).alias(f"_{c}") for c in ("size", "source_size", "target")), number.cast("long").alias("_copies"),
-    )
+    return rows.join(before, list(stretch)).select(*own.values(), "size", "source_size", "target", number.cast("long").alias("copies"))
+
+
+def copies(documents: DataFrame, **how) -> DataFrame:
+    """Per document: doc_id, size, source_size, target and copies (0 or more)."""
+    return _counted(documents, {"doc_id": "doc_id"}, **how)
 
 
 def mix(documents: DataFrame, **how) -> DataFrame:
-    """The mixed corpus: each document as many times as it is taken, in ``documents``' columns."""
-    got = copies(documents, **how).filter(F.col("_copies") > 0)
-    return got.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*documents.columns)
+    """The mixed corpus: each document as many times as it is taken, in ``documents``' columns, whatever their names."""
+    own = {c: f"_own_{i}" for i, c in enumerate(documents.columns)}
+    got = _counted(documents, own, **how).filter(F.col("copies") > 0)
+    got = got.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return got.select(*(F.col(n).alias(c) for c, n in own.items()))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The query: what the mix takes of every document."""
-    got = copies(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return got.select(
-        "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
-        (F.col("_copies") * F.col("_size")).alias("taken"), F.col("_copies").alias("copies"),
-    )
+    got = copies(read(spark, sf_dir, "documents"))
+    return got.withColumn("taken", F.col("copies") * F.col("size"))
 
 
 #: The same rows in DuckDB: one window per source instead of two levels.
@@ -173,5 +178,5 @@ WITH docs AS (
 ), counted AS (
   SELECT *, (upto // 16777216 - (upto - units) // 16777216)::BIGINT AS copies FROM ends
 )
-SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copies FROM counted
+SELECT doc_id, size, source_size, target, copies, (copies * size)::BIGINT AS taken FROM counted
 """

@@ -72,7 +72,8 @@ def encode_segment(doc_ids: list[int | None], lengths: list[int], ids: np.ndarra
     ]
     if not n_blocks:
         return b"".join(head)
-    grid = np.full(n_blocks * BLOCK, ids[-1], np.uint32)
+    # ids of small vocabularies move in half the bytes
+    grid = np.full(n_blocks * BLOCK, ids[-1], np.uint16 if ids.max() < 1 << 16 else np.uint32)
     grid[: len(ids)] = ids
     grid = grid.reshape(n_blocks, BLOCK)
     low = grid.min(axis=1)
@@ -83,10 +84,13 @@ def encode_segment(doc_ids: list[int | None], lengths: list[int], ids: np.ndarra
     for width in np.unique(widths):
         at = np.flatnonzero(widths == width)
         part = rest[at]
-        packed = pack(part & np.uint32((1 << int(width)) - 1), int(width))
-        high = part >> np.uint32(width)
+        packed = pack(part & part.dtype.type((1 << int(width)) - 1), int(width))
+        high = part.astype(np.uint32) >> np.uint32(width)
+        odd = np.flatnonzero(high.any(axis=1))
+        lists = {int(i): np.flatnonzero(high[i]) for i in odd}
+        none = np.zeros(0, np.int64)
         for i, b in enumerate(at):
-            where = np.flatnonzero(high[i])
+            where = lists.get(i, none)
             blocks[b] = b"".join((
                 low[b].astype("<u4").tobytes(), bytes((int(width),)), len(where).to_bytes(2, "little"),
                 packed[i].tobytes(), where.astype(np.uint8).tobytes(), high[i][where].astype("<u4").tobytes(),

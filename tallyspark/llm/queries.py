@@ -5,11 +5,13 @@ from __future__ import annotations
 from .mixing import OP2_SQL, op2_mixing
 from .packing import op3_packing
 from .pfor import op1_token_ids
+from .toxicity import op4_toxicity
 
 QUERIES = {
     "op1_token_ids": op1_token_ids,
     "op2_mixing": op2_mixing,
     "op3_packing": op3_packing,
+    "op4_toxicity": op4_toxicity,
 }
 ORACLES: dict[str, str] = {
     "op2_mixing": OP2_SQL,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .language import op5_language
 from .mixing import OP2_SQL, op2_mixing
 from .packing import op3_packing
 from .pfor import op1_token_ids
@@ -12,6 +13,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_packing": op3_packing,
     "op4_toxicity": op4_toxicity,
+    "op5_language": op5_language,
 }
 ORACLES: dict[str, str] = {
     "op2_mixing": OP2_SQL,

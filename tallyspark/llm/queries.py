@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .html_text import op6_html
 from .language import op5_language
 from .mixing import OP2_SQL, op2_mixing
 from .packing import op3_packing
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_toxicity": op4_toxicity,
     "op5_language": op5_language,
+    "op6_html": op6_html,
 }
 ORACLES: dict[str, str] = {
     "op2_mixing": OP2_SQL,

@@ -7,6 +7,7 @@ from .language import op5_language
 from .mixing import OP2_SQL, op2_mixing
 from .packing import op3_packing
 from .pfor import op1_token_ids
+from .topk import OP7_SQL, op7_topk
 from .toxicity import op4_toxicity
 
 QUERIES = {
@@ -16,7 +17,9 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_language": op5_language,
     "op6_html": op6_html,
+    "op7_topk": op7_topk,
 }
 ORACLES: dict[str, str] = {
     "op2_mixing": OP2_SQL,
+    "op7_topk": OP7_SQL,
 }

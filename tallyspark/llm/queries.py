@@ -9,6 +9,7 @@ from .packing import op3_packing
 from .pfor import op1_token_ids
 from .topk import OP7_SQL, op7_topk
 from .toxicity import op4_toxicity
+from .vector_dedup import OP8_SQL, op8_vector_dedup
 
 QUERIES = {
     "op1_token_ids": op1_token_ids,
@@ -18,8 +19,10 @@ QUERIES = {
     "op5_language": op5_language,
     "op6_html": op6_html,
     "op7_topk": op7_topk,
+    "op8_vector_dedup": op8_vector_dedup,
 }
 ORACLES: dict[str, str] = {
     "op2_mixing": OP2_SQL,
     "op7_topk": OP7_SQL,
+    "op8_vector_dedup": OP8_SQL,
 }

@@ -7,6 +7,7 @@ from .language import op5_language
 from .mixing import OP2_SQL, op2_mixing
 from .packing import op3_packing
 from .pfor import op1_token_ids
+from .text_dedup import op10_text_dedup
 from .topk import OP7_SQL, op7_topk
 from .toxicity import op4_toxicity
 from .vector_dedup import OP8_SQL, op8_vector_dedup
@@ -20,6 +21,7 @@ QUERIES = {
     "op6_html": op6_html,
     "op7_topk": op7_topk,
     "op8_vector_dedup": op8_vector_dedup,
+    "op10_text_dedup": op10_text_dedup,
 }
 ORACLES: dict[str, str] = {
     "op2_mixing": OP2_SQL,

@@ -7,9 +7,9 @@ are segments. A segment holds whole consecutive documents:
     doc_id i64 x n_docs | id validity u8 x n_docs | length u32 x n_docs
     block start (byte offset after this index) u32 x n_blocks
     blocks: minimum u32 | width u8 | n_exceptions u16 | packed (value - minimum) low bits
-            | exception positions u8 | exception high parts u32
+            | exception positions u16 | exception high parts u32
 
-A block has 256 ids (the last is padded with its minimum). The width is the number of bits that
+A block has 1024 ids (the last is padded with its minimum). The width is the number of bits that
 ``percentile`` of the block's residuals fit into; residuals above it keep their low bits in place
 and their high part in the exception list. Documents are in ascending id order, nulls first.
 """
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import read, scratch_path
 from .tokens import default_path, encoder
 
-BLOCK = 256
+BLOCK = 1024
 #: Ids in a segment before it is closed (a document is never split).
 SEGMENT_TOKENS = 1 << 17
 END_ID = 2
@@ -93,7 +93,7 @@ def encode_segment(doc_ids: list[int | None], lengths: list[int], ids: np.ndarra
             where = lists.get(i, none)
             blocks[b] = b"".join((
                 low[b].astype("<u4").tobytes(), bytes((int(width),)), len(where).to_bytes(2, "little"),
-                packed[i].tobytes(), where.astype(np.uint8).tobytes(), high[i][where].astype("<u4").tobytes(),
+                packed[i].tobytes(), where.astype("<u2").tobytes(), high[i][where].astype("<u4").tobytes(),
             ))
     starts = np.cumsum([0, *map(len, blocks[:-1])])
     return b"".join([*head, starts.astype("<u4").tobytes(), *blocks])
@@ -123,7 +123,7 @@ def decode_segment(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarra
         for b in np.flatnonzero(counts):
             k, width = int(counts[b]), int(widths[b])
             p = int(first[b]) + 7 + BLOCK * width // 8
-            out[b, bytes_[p : p + k]] |= np.frombuffer(data, "<u4", k, p + k) << np.uint32(width)
+            out[b, np.frombuffer(data, "<u2", k, p)] |= np.frombuffer(data, "<u4", k, p + 2 * k) << np.uint32(width)
         out += low[:, None]
     return [int(x) if v else None for x, v in zip(raw, valid, strict=True)], lengths.astype(np.int64), out.reshape(-1)[:tokens]
 
@@ -168,8 +168,8 @@ def write(documents: DataFrame, path: str, tokenizer: str | None = None, end_id:
 
     (
         documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+        .repartitionByRange("doc_id")  # its sample reads ids alone
         .withColumn("_h", F.xxhash64("text"))
-        .repartitionByRange("doc_id", "_h")
         .sortWithinPartitions("doc_id", "_h")
         .select("doc_id", "text")
         .mapInArrow(segments, "shard int, segment int, shard_start long, n_tokens long, payload binary")

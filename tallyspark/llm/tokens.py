@@ -8,8 +8,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Chunks in each of a worker's two cache generations; both together take some 250 MB.
-CACHE_ENTRIES = 600_000
+#: Chunks in each of a worker's two cache generations; both together take some 280 MB.
+CACHE_ENTRIES = 700_000
 #: ASCII marks that the tokenizer keeps together as a run of their own after letters (no apostrophe: it starts contractions).
 TRAILING = b'.,!?;:*%$#&|()"-'
 

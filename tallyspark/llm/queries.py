@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from corpus_pipeline import ORACLE_SQL as _PIPELINE_SQL
+from corpus_pipeline import run as _pipeline
+
 from .html_text import op6_html
 from .language import op5_language
 from .mixing import OP2_SQL, op2_mixing
 from .packing import op3_packing
 from .pfor import op1_token_ids
+from .quality import op9_quality
 from .text_dedup import op10_text_dedup
 from .topk import OP7_SQL, op7_topk
 from .toxicity import op4_toxicity
@@ -21,10 +25,14 @@ QUERIES = {
     "op6_html": op6_html,
     "op7_topk": op7_topk,
     "op8_vector_dedup": op8_vector_dedup,
+    "op9_quality": op9_quality,
     "op10_text_dedup": op10_text_dedup,
+    "pipeline": _pipeline,
 }
 ORACLES: dict[str, str] = {
     "op2_mixing": OP2_SQL,
     "op7_topk": OP7_SQL,
     "op8_vector_dedup": OP8_SQL,
 }
+if _PIPELINE_SQL:
+    ORACLES["pipeline"] = _PIPELINE_SQL

@@ -1,20 +1,23 @@
 """Operator 10: near-duplicate texts by MinHash with sequential Bayesian verification.
 
 1. Texts with the same set of shingles form a class; classes, not copies, are compared.
-2. A class's MinHash signature is cut into bands; classes that share a band meet in a bucket.
-   Rows and bands are chosen so that two texts at the threshold share no band with a probability
-   below ``MISS``.
-3. Each class in a bucket is paired with the bucket's least class (a star, never all pairs). The
-   links found join most of what is alike. Then classes of one bucket that are still in different
-   components are paired, which is what remains to be decided.
-4. A pair's signatures are compared a batch at a time; after each batch the pair is pruned if, by
+2. A class's MinHash signature is cut into bands; classes that share a band meet in a bucket. Rows
+   and bands are such that two texts at the threshold meet nowhere with a probability of 1e-6.
+3. In a bucket signatures are compared a batch at a time; after each batch a pair is pruned if, by
    the posterior of its similarity (uniform prior), similarity >= threshold has a probability below
-   ``PRUNE``. Survivors are verified exactly on their full sets.
+   ``PRUNE``. A bucket gives a spanning forest of its survivors, never their pairs; the forests'
+   components are clusters of classes that may link.
+4. In a cluster the survivors are verified exactly on full sets, and a spanning forest of the links
+   gives the components. Clusters are disjoint, so each pair is verified once.
+
+Members of a large bucket or cluster are dealt into chunks and every two chunks are a group of their
+own, so no group grows beyond two chunks.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from math import lgamma
 
@@ -24,14 +27,18 @@ from pyspark.sql import functions as F
 
 from .common import components, cut, read
 
-#: 40 bands of 5: 0.672 ** 40 = 1.3e-7 is the chance that texts at 0.8 meet in no bucket.
-ROWS, BANDS = 5, 40
-BATCH = 20
+#: 35 bands of 5: (1 - 0.8 ** 5) ** 35 = 9e-7 is the chance that texts at 0.8 meet in no bucket.
+ROWS, BANDS = 5, 35
+BATCH = 25
 #: A pair is pruned when it is at the threshold with less probability than this.
 PRUNE = 1e-6
 THRESHOLD = 80
 #: Shingles hashed at a time while taking minima: bounds memory for very long texts.
-SPAN = 1 << 13
+SPAN = 1 << 12
+#: Rows of a chunk, and shingles in the sets of one.
+CHUNK, CHUNK_SHINGLES = 1_024, 2_000_000
+#: Candidate ids up to which they are broadcast to find their texts; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -72,26 +79,28 @@ def shingle_set(text: bytes | None, size: int) -> np.ndarray:
 @lru_cache(1)
 def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(11)
-    return rng.integers(1, 1 << 63, n, dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    return rng.integers(0, 1 << 32, n, dtype=np.uint32), rng.integers(0, 1 << 32, n, dtype=np.uint32) | np.uint32(1)
 
 
 def signature(shingles: np.ndarray, n: int = ROWS * BANDS) -> np.ndarray:
-    """``n`` minima of hashes of a set, as 32-bit numbers."""
-    a, b = _seeds(n)
+    """The low 16 bits of ``n`` minima of 32-bit hashes of a set."""
+    flip, odd = _seeds(n)
     out = np.full(n, np.iinfo(np.uint32).max, np.uint32)
-    for k in range(0, len(shingles), SPAN):
-        part = shingles[k : k + SPAN]
-        for i in range(n):
-            out[i] = min(out[i], int(((part * a[i] + b[i]) >> np.uint64(32)).min()))
-    return out
-
-
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each band."""
-    grid = sig.reshape(BANDS, ROWS).astype(np.uint64)
-    h = np.arange(BANDS, dtype=np.uint64)
+    low = (shingles >> np.uint64(16)).astype(np.uint32)
+    for k in range(0, len(low), SPAN):
+        h = (low[k : k + SPAN, None] ^ flip) * odd
+        h ^= h >> np.uint32(15)
+        h *= np.uint32(0x2C1B3C6D)
+        np.minimum(out, h.min(axis=0), out=out)
+    return (out & np.uint32(0xFFFF)).astype("<u2")
+
+
+def band_keys(signatures: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each band of each row of signatures."""
+    grid = signatures.reshape(len(signatures), BANDS, ROWS).astype(np.uint64)
+    h = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), grid.shape[:2]).copy()
     for k in range(ROWS):
-        h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + grid[:, k])
+        h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + grid[:, :, k])
     return h.view(np.int64)
 
 
@@ -110,48 +119,166 @@ def least_matches(n: int, threshold: int = THRESHOLD, prune: float = PRUNE) -> i
     return n
 
 
-def may_link(a: Column, b: Column, threshold: int) -> Column:
-    """Whether a pair of signatures (bytes) survives every batch."""
+def survivors(x: np.ndarray, y: np.ndarray | None, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, matches) of the pairs of signature rows of x and y (of x and x with i < j if y is None) that survive every batch."""
+    other = x if y is None else y
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    step = max(1, 200_000 // max(1, len(other)))
+    for k in range(0, len(x), step):
+        first = (x[k : k + step, None, :BATCH] == other[None, :, :BATCH]).sum(axis=2, dtype=np.int16)
+        alive = first >= least_matches(BATCH, threshold)
+        if y is None:
+            alive &= np.arange(len(other))[None, :] > np.arange(k, min(len(x), k + step))[:, None]
+        i, j = np.nonzero(alive)
+        matches = first[i, j].astype(np.int64)
+        i = i + k
+        for b in range(BATCH, x.shape[1], BATCH):
+            if not len(i):
+                break
+            matches = matches + (x[i, b : b + BATCH] == other[j, b : b + BATCH]).sum(axis=1)
+            keep = matches >= least_matches(min(b + BATCH, x.shape[1]), threshold)
+            i, j, matches = i[keep], j[keep], matches[keep]
+        out.append((i, j, matches))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+
+
+class Forest:
+    """Union-find over the positions of a group."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def root(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = self.up[self.up[i]]
+            i = self.up[i]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        a, b = self.root(i), self.root(j)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _halves(chunk: np.ndarray) -> list[tuple[np.ndarray, np.ndarray | None]]:
+    """Positions to compare in a group: within its chunk, or between its two chunks."""
+    kinds = np.unique(chunk)
+    if len(kinds) == 1:
+        return [(np.arange(len(chunk)), None)]
+    return [(np.flatnonzero(chunk == kinds[0]), np.flatnonzero(chunk == kinds[1]))]
+
+
+def bucket_forest(ids: np.ndarray, chunk: np.ndarray, signatures: list[bytes], same: bool, threshold: int) -> list[tuple[int, int]]:
+    """A spanning forest of a bucket's survivors. ``same``: the group is one chunk with itself."""
+    x = np.frombuffer(b"".join(signatures), "<u2").reshape(len(ids), -1)
+    forest, out = Forest(len(ids)), []
+    for a, b in _halves(chunk) if not same else [(np.arange(len(ids)), None)]:
+        if not same and b is None:
+            continue  # the other chunk has no row here
+        i, j, _ = survivors(x[a], None if b is None else x[b], threshold)
+        for p, q in zip(a[i].tolist(), (a if b is None else b)[j].tolist(), strict=True):
+            if forest.join(p, q):
+                out.append((int(ids[p]), int(ids[q])))
+    return out
 
-    @F.arrow_udf("boolean")
-    def survives(left, right):
-        import pyarrow as pa
 
-        if not len(left):
-            return pa.array([], pa.bool_())
-        x = np.stack([np.frombuffer(v, "<u4") for v in left.to_pylist()])
-        y = np.stack([np.frombuffer(v, "<u4") for v in right.to_pylist()])
-        alive, matches = np.arange(len(x)), np.zeros(len(x), np.int64)
-        for k in range(0, x.shape[1], BATCH):
-            matches[alive] += (x[alive, k : k + BATCH] == y[alive, k : k + BATCH]).sum(axis=1)
-            alive = alive[matches[alive] >= least_matches(min(k + BATCH, x.shape[1]), threshold)]
-        out = np.zeros(len(x), bool)
-        out[alive] = True
-        return pa.array(out)
+def exact_matrix(sets: list[np.ndarray], threshold: int) -> np.ndarray:
+    """Whether each two sets link, from products of incidence matrices a few thousand shingles at a time."""
+    n, sizes = len(sets), np.array([len(s) for s in sets])
+    every, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), sizes)
+    shared = counts[inverse] > 1  # a shingle of one set alone is in no intersection
+    row, column = row[shared], (np.cumsum(counts > 1) - 1)[inverse[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((n, n), np.float32)
+    width = 4096
+    for k in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        lo, hi = np.searchsorted(column, [k, k + width])
+        m = np.zeros((n, width), np.float32)
+        m[row[lo:hi], column[lo:hi] - k] = 1
+        common += m @ m.T
+    return 100 * common >= threshold * (sizes[:, None] + sizes[None, :] - common)
+
+
+def exact_pair(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
+    """100 * intersection >= threshold * union of two sorted sets."""
+    if 100 * min(len(x), len(y)) < threshold * max(len(x), len(y)):
+        return False
+    merged = np.sort(np.concatenate([x, y]), kind="stable")
+    common = int((merged[1:] == merged[:-1]).sum())
+    return 100 * common >= threshold * (len(merged) - common)
+
+
+def cluster_forest(ids: np.ndarray, chunk: np.ndarray, signatures: list[bytes], sets: list[bytes], same: bool, threshold: int) -> list[tuple[int, int]]:
+    """A spanning forest of a cluster's exact links: survivors are verified, likeliest first, unless already joined."""
+    x = np.frombuffer(b"".join(signatures), "<u2").reshape(len(ids), -1)
+    full = [np.frombuffer(s, "<u8") for s in sets]
+    forest, out = Forest(len(ids)), []
+    halves = [(np.arange(len(ids)), None)] if same else [h for h in _halves(chunk) if h[1] is not None]
+    for a, b in halves:
+        i, j, matches = survivors(x[a], None if b is None else x[b], threshold)
+        p, q = a[i], (a if b is None else b)[j]
+        order = np.argsort(-matches, kind="stable")
+        checks, matrix = 0, None
+        for u, v in zip(p[order].tolist(), q[order].tolist(), strict=True):
+            if forest.root(u) == forest.root(v):
+                continue
+            if matrix is None and checks >= 500:
+                matrix = exact_matrix(full, threshold)
+            checks += 1
+            if matrix[u, v] if matrix is not None else exact_pair(full[u], full[v], threshold):
+                forest.join(u, v)
+                out.append((int(ids[u]), int(ids[v])))
+    return out
 
-    return survives(a, b)
 
+def _grouped(rows: DataFrame, keys: list[str], values: list[str], work: Callable) -> DataFrame:
+    """Edges (a, b) that ``work(key row, columns of values as lists)`` gives for each group of ``keys``.
 
-def alike(a: Column, b: Column, threshold: int) -> Column:
-    """100 * intersection >= threshold * union of two sets (sorted 64-bit hashes as bytes)."""
+    Groups are read as they come from sorted partitions: many small groups cost little.
+    """
 
-    @F.arrow_udf("boolean")
-    def exact(left, right):
+    def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        out = []
-        for p, q in zip(left.to_pylist(), right.to_pylist(), strict=True):
-            x, y = np.frombuffer(p, "<u8"), np.frombuffer(q, "<u8")
-            both = len(x) + len(y)
-            if 100 * min(len(x), len(y)) < threshold * max(len(x), len(y)):
-                out.append(False)
-                continue
-            merged = np.sort(np.concatenate([x, y]), kind="stable")
-            common = int((merged[1:] == merged[:-1]).sum())
-            out.append(100 * common >= threshold * (both - common))
-        return pa.array(out, pa.bool_())
-
-    return exact(a, b)
+        held: pa.Table | None = None
+
+        def edges(t: pa.Table, whole: bool) -> tuple[list, pa.Table | None]:
+            """Edges of the table's complete groups, and the rows of the last one unless ``whole``."""
+            ends = np.zeros(max(0, t.num_rows - 1), bool)
+            for k in keys:
+                c = t.column(k).to_numpy()
+                ends |= c[1:] != c[:-1]
+            starts = np.concatenate([[0], np.flatnonzero(ends) + 1, [t.num_rows]])
+            last = len(starts) - 1 if whole else len(starts) - 2
+            lists = {k: t.column(k).slice(0, starts[last]).to_pylist() for k in [*keys, *values]}
+            out: list[tuple[int, int]] = []
+            for lo, hi in zip(starts[:last], starts[1 : last + 1], strict=True):
+                if hi - lo > 1:
+                    out += work({k: lists[k][lo] for k in keys}, {k: lists[k][lo:hi] for k in values})
+            return out, None if whole else t.slice(starts[last])
+
+        def batch_of(found: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"a": pa.array([e[0] for e in found], pa.int64()), "b": pa.array([e[1] for e in found], pa.int64())})
+
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            held = t if held is None or not held.num_rows else pa.concat_tables([held, t])
+            if held.num_rows:
+                found, held = edges(held, False)
+                yield batch_of(found)
+        if held is not None and held.num_rows:
+            yield batch_of(edges(held, True)[0])
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).select(*keys, *values).mapInArrow(run, "a long, b long")
+
+
+def _chunked(rows: DataFrame, key: str, chunks: DataFrame) -> DataFrame:
+    """Rows of each key dealt into its ``chunks`` (key, k) chunks, once for each two chunks (x, y) that hold theirs: key, x, y, c, ..."""
+    rows = rows.join(chunks, key).withColumn("c", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+    pair = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda o: F.struct(F.least(F.col("c"), o).alias("x"), F.greatest(F.col("c"), o).alias("y")))
+    return rows.withColumn("_p", F.explode(pair)).withColumn("x", F.col("_p.x")).withColumn("y", F.col("_p.y")).drop("_p", "k")
 
 
 def summaries(text: Column, size: int) -> Column:
@@ -177,7 +304,9 @@ def _keys(sig: Column) -> Column:
     def keys(sigs):
         import pyarrow as pa
 
-        return pa.array([band_keys(np.frombuffer(s, "<u4")) for s in sigs.to_pylist()], pa.list_(pa.int64()))
+        n = len(sigs)
+        grid = band_keys(np.frombuffer(b"".join(sigs.to_pylist()), "<u2").reshape(n, -1)) if n else np.zeros((0, BANDS), np.int64)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS), pa.int32()), pa.array(grid.ravel(), pa.int64()))
 
     return keys(sig)
 
@@ -192,6 +321,16 @@ def _sets(text: Column, size: int) -> Column:
     return sets(text)
 
 
+def _digest(sets: Column) -> Column:
+    @F.arrow_udf("binary")
+    def digest(values):
+        import pyarrow as pa
+
+        return pa.array([hashlib.blake2b(v, digest_size=16).digest() for v in values.to_pylist()], pa.binary())
+
+    return digest(sets)
+
+
 def clusters(documents: DataFrame, size: int = 5, threshold: int = THRESHOLD) -> DataFrame:
     """One row per row of ``documents`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -205,33 +344,28 @@ def clusters(documents: DataFrame, size: int = 5, threshold: int = THRESHOLD) ->
     # a class is named by its least document; all of a class's signatures are equal
     classes = cut(usable.groupBy("digest").agg(F.min("id").alias("id"), F.max("signature").alias("signature")).select("id", "digest", "signature"))
     bands = classes.select("id", F.explode(_keys(F.col("signature"))).alias("key"))
-    least = bands.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("key", "low")
-    shared = cut(bands.join(least, "key"))  # (key, id, low) of buckets with two classes or more
-    pairs = shared.filter("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
-    # the sets of classes that are in any such bucket, from their whole texts, once
-    held = shared.select("id").distinct()
-    sets = cut(base.join(held, "id", "left_semi").select("id", _sets(F.col("text"), size).alias("set")).groupBy("id", "set").agg(F.count(F.lit(1)).alias("_n")).drop("_n"))
-    signatures = classes.join(held, "id", "left_semi").select("id", "signature")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        s, t = (signatures.select(F.col("id").alias(k), F.col("signature").alias(f"s{k}")) for k in "ab")
-        maybe = pairs.join(s, "a").join(t, "b").filter(may_link(F.col("sa"), F.col("sb"), threshold)).select("a", "b")
-        x, y = (sets.select(F.col("id").alias(k), F.col("set").alias(f"set{k}")) for k in "ab")
-        return maybe.join(x, "a").join(y, "b").filter(alike(F.col("seta"), F.col("setb"), threshold)).select("a", "b")
-
-    first = cut(linked(pairs))
-    reach = components(first)
-    named = shared.join(reach.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    mixed = named.groupBy("key").agg(F.min("c").alias("m"), F.max("c").alias("x")).filter("m <> x").select("key")
-    rest = cut(named.join(mixed, "key", "left_semi"))
-    one, two = rest.select("key", F.col("id").alias("a"), F.col("c").alias("ca")), rest.select("key", F.col("id").alias("b"), F.col("c").alias("cb"))
-    across = one.join(two, "key").filter("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = linked(across.join(pairs, ["a", "b"], "left_anti"))
+    # buckets with two classes or more; of buckets with the same members one
+    several = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("members")).filter("n > 1")
+    chosen = several.groupBy("n", "members").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("k"))
+    met = _chunked(bands, "key", chosen).join(classes.select("id", "signature"), "id")
+    may = cut(_grouped(met, ["key", "x", "y"], ["id", "c", "signature"], lambda k, v: bucket_forest(np.array(v["id"]), np.array(v["c"]), v["signature"], k["x"] == k["y"], threshold)))
+    named = components(may).select(F.col("node").alias("id"), F.col("component").alias("key"))
+    # full sets of the classes that may link, from their whole texts
+    small = named.count() <= BROADCAST_IDS
+    member = classes.join(named, "id").select("id", "key", "signature")
+    texts = base.join(F.broadcast(named.select("id")) if small else named.select("id"), "id")
+    sets = texts.select("id", _sets(F.col("text"), size).alias("set")).withColumn("digest", _digest(F.col("set"))).groupBy("id", "digest").agg(F.max("set").alias("set"))
+    # a repeated id has several texts; the class's own is the one with its digest
+    whole = cut(member.join(classes.select("id", "digest"), "id").join(sets, ["id", "digest"]).select("id", "key", "signature", "set"))
+    loads = whole.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("set") / 8).alias("load"))
+    chunks = loads.select("key", F.greatest(F.ceil(F.col("n") / CHUNK), F.ceil(F.col("load") / CHUNK_SHINGLES)).cast("int").alias("k"))
+    linked = cut(_grouped(_chunked(whole, "key", chunks), ["key", "x", "y"], ["id", "c", "signature", "set"],
+                          lambda k, v: cluster_forest(np.array(v["id"]), np.array(v["c"]), v["signature"], v["set"], k["x"] == k["y"], threshold)))
     # documents hang from their class: only rows whose class has another name
     names = classes.select("digest", F.col("id").alias("class"))
     copies = usable.join(names, "digest").select(F.col("id").alias("a"), F.col("class").alias("b")).filter("a <> b").distinct()
-    whole = components(first.unionByName(second).unionByName(copies))
-    return summed.join(whole.withColumnRenamed("node", "id"), "id", "left").select(
+    reach = components(linked.unionByName(copies))
+    return summed.join(reach.withColumnRenamed("node", "id"), "id", "left").select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"),
         F.coalesce(F.coalesce("component", "id") == F.col("id"), F.lit(True)).alias("kept"),
     )

@@ -23,12 +23,11 @@ def day_of(year: int, month: int, day: int) -> date:
 def billing_month(year: int, month: int, start_day: int = 1) -> tuple[datetime, datetime]:
     """First and last instant (milliseconds) of a billing month: from ``start_day`` of the month before, for a day after the first."""
     if start_day <= 1:
-        first, last = date(year, month, 1), date(year, month, calendar.monthrange(year, month)[1])
+        first, last = date(year, month, 1), day_of(year, month, 31)
     else:
         before = (year - 1, 12) if month == 1 else (year, month - 1)
-        first, last = day_of(*before, start_day), day_of(year, month, start_day) - timedelta(1)
-        if start_day > calendar.monthrange(year, month)[1]:
-            last = date(year, month, calendar.monthrange(year, month)[1]) - timedelta(1)
+        # either end is held to its month's length on its own, so a start day of 30 has 28 February twice
+        first, last = day_of(*before, start_day), day_of(year, month, start_day - 1)
     return datetime(first.year, first.month, first.day), datetime(last.year, last.month, last.day, 23, 59, 59, 999000)
 
 
@@ -95,7 +94,7 @@ def billing_end(month_first: Column, start_day: int) -> Column:
     """Last day of that billing month."""
     if start_day <= 1:
         return F.last_day(month_first)
-    return F.date_add(month_first, F.least(F.lit(start_day), F.dayofmonth(F.last_day(month_first))) - 2)
+    return F.date_add(month_first, F.least(F.lit(start_day - 1), F.dayofmonth(F.last_day(month_first))) - 1)
 
 
 def day_key(ts: Column) -> Column:
@@ -121,12 +120,10 @@ def parse_minute(text: Column, now: Column) -> Column:
 
 
 def corrected_year(extracted: Column, received: Column, most_days: int = 183) -> Column:
-    """An extracted time whose year is off: more than ``most_days`` before or after receipt it moves by years towards it."""
-    gap = F.datediff(extracted, received)
-    moved = F.add_months(F.to_date(extracted), F.when(gap > most_days, -12).otherwise(12))
-    clock = F.hour(extracted) * 3600 + F.minute(extracted) * 60
-    shifted = F.timestamp_add("SECOND", clock, moved.cast("timestamp_ntz"))
-    return F.when(F.abs(gap) > most_days, shifted).otherwise(extracted)
+    """An extracted time more than ``most_days`` from receipt gets the receipt's year (29 February rolls over)."""
+    gap = F.abs(F.timestamp_diff("SECOND", received, extracted))
+    moved = lenient(F.year(received), F.month(extracted), F.dayofmonth(extracted), F.hour(extracted), F.minute(extracted))
+    return F.when(gap > most_days * 86_400, moved).otherwise(extracted)
 
 
 def lenient(year: Column, month: Column, day: Column, hour: Column, minute: Column) -> Column:

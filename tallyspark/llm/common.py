@@ -41,6 +41,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/tables/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def sliced(column, kind, work, rows: int = 256):
+    """``work`` (list to list of values) over an Arrow column, a few rows at a time: long texts are not all held as objects at once."""
+    import pyarrow as pa
+
+    parts = [pa.array(work(column.slice(k, rows).to_pylist()), kind) for k in range(0, len(column), rows)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
 def remainder(doc_id, modulus: int):
     """crc32 of the id written as text, modulo ``modulus``; -1 where the id is null."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus, F.lit(-1)).cast("int")

@@ -16,7 +16,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, sliced
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|</?[a-zA-Z][^<>]*(?:>|\Z)", re.S)
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
@@ -256,7 +256,7 @@ def extracted(page: Column) -> Column:
     def texts(pages):
         import pyarrow as pa
 
-        return pa.array([extract(p) for p in pages.to_pylist()], pa.string())
+        return sliced(pages, pa.string(), lambda part: list(map(extract, part)), 64)
 
     return texts(page)
 

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, remainder
+from .common import read, remainder, sliced
 
 BUCKETS = 1 << 13
 ORDERS = 3
@@ -132,9 +132,8 @@ def predicted(text: Column, decoder: Decoder) -> Column:
     def decode(texts):
         import pyarrow as pa
 
-        got = [decoder.decode(t) for t in texts.to_pylist()]
-        a, b, c = zip(*got, strict=True) if got else ((), (), ())
-        return pa.StructArray.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.float64()), pa.array(c, pa.bool_())], ["lang_pred", "score", "ambiguous"])
+        kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("ambiguous", pa.bool_())])
+        return sliced(texts, kind, lambda part: [dict(zip(("lang_pred", "score", "ambiguous"), decoder.decode(t), strict=True)) for t in part])
 
     return decode(text)
 

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read
+from .common import cut, read, sliced
 from .learn import SAMPLE, labelled_sample, logistic
 
 SHAPES = 512
@@ -74,7 +74,7 @@ def _features(text: Column) -> Column:
     def forms(texts):
         import pyarrow as pa
 
-        return pa.array([form(t).tobytes() for t in texts.to_pylist()], pa.binary())
+        return sliced(texts, pa.binary(), lambda part: [form(t).tobytes() for t in part])
 
     return forms(text.cast("binary"))
 
@@ -94,7 +94,7 @@ class Evidence:
         def odds(texts):
             import pyarrow as pa
 
-            return pa.array([float(np.clip(form(t) @ weights + bias, -12, 12)) for t in texts.to_pylist()], pa.float64())
+            return sliced(texts, pa.float64(), lambda part: [float(np.clip(form(t) @ weights + bias, -12, 12)) for t in part])
 
         return odds(text.cast("binary"))
 

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, read
+from .common import components, cut, read, sliced
 
 #: 35 bands of 5: (1 - 0.8 ** 5) ** 35 = 9e-7 is the chance that texts at 0.8 meet in no bucket.
 ROWS, BANDS = 5, 35
@@ -48,12 +48,17 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def set_digest(shingles: np.ndarray) -> bytes:
+    """128 bits that name a set."""
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 class Words(dict):
-    """Words to 64-bit hashes; starts anew at 400,000 words."""
+    """Words to 64-bit hashes; starts anew at 250,000 words."""
 
     def __missing__(self, word: bytes) -> int:
         h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        if len(self) >= 400_000:
+        if len(self) >= 250_000:
             self.clear()
         if len(word) <= 64:
             self[word] = h
@@ -288,13 +293,13 @@ def summaries(text: Column, size: int) -> Column:
     def summary(texts):
         import pyarrow as pa
 
-        n, digest, sig = [], [], []
-        for t in texts.to_pylist():
-            s = shingle_set(t, size)
-            n.append(len(s))
-            digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-            sig.append(signature(s).tobytes() if len(s) else None)
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], ["n", "digest", "signature"])
+        kind = pa.struct([("n", pa.int64()), ("digest", pa.binary()), ("signature", pa.binary())])
+
+        def of(text):
+            s = shingle_set(text, size)
+            return {"n": len(s), "digest": set_digest(s) if len(s) else None, "signature": signature(s).tobytes() if len(s) else None}
+
+        return sliced(texts, kind, lambda part: list(map(of, part)))
 
     return summary(text)
 
@@ -312,23 +317,19 @@ def _keys(sig: Column) -> Column:
 
 
 def _sets(text: Column, size: int) -> Column:
-    @F.arrow_udf("binary")
+    """struct<set, digest> of whole texts: the full set as bytes."""
+
+    @F.arrow_udf("struct<set:binary,digest:binary>")
     def sets(texts):
         import pyarrow as pa
 
-        return pa.array([shingle_set(t, size).tobytes() for t in texts.to_pylist()], pa.binary())
+        def of(text):
+            s = shingle_set(text, size)
+            return {"set": s.tobytes(), "digest": set_digest(s)}
 
-    return sets(text)
+        return sliced(texts, pa.struct([("set", pa.binary()), ("digest", pa.binary())]), lambda part: list(map(of, part)))
 
-
-def _digest(sets: Column) -> Column:
-    @F.arrow_udf("binary")
-    def digest(values):
-        import pyarrow as pa
-
-        return pa.array([hashlib.blake2b(v, digest_size=16).digest() for v in values.to_pylist()], pa.binary())
-
-    return digest(sets)
+    return sets(text)
 
 
 def clusters(documents: DataFrame, size: int = 5, threshold: int = THRESHOLD) -> DataFrame:
@@ -354,7 +355,7 @@ def clusters(documents: DataFrame, size: int = 5, threshold: int = THRESHOLD) ->
     small = named.count() <= BROADCAST_IDS
     member = classes.join(named, "id").select("id", "key", "signature")
     texts = base.join(F.broadcast(named.select("id")) if small else named.select("id"), "id")
-    sets = texts.select("id", _sets(F.col("text"), size).alias("set")).withColumn("digest", _digest(F.col("set"))).groupBy("id", "digest").agg(F.max("set").alias("set"))
+    sets = texts.select("id", _sets(F.col("text"), size).alias("s")).groupBy("id", "s.digest").agg(F.max("s.set").alias("set"))
     # a repeated id has several texts; the class's own is the one with its digest
     whole = cut(member.join(classes.select("id", "digest"), "id").join(sets, ["id", "digest"]).select("id", "key", "signature", "set"))
     loads = whole.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("set") / 8).alias("load"))

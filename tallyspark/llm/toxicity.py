@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, remainder
+from .common import read, remainder, sliced
 from .learn import SAMPLE, Adam, labelled_sample, sigmoid
 
 WORD = re.compile(r"\w+")
@@ -63,7 +63,7 @@ def _features(text: Column) -> Column:
         import pyarrow as pa
 
         terms = Terms()
-        return pa.array([np.array(sorted(terms.of(t)), "<u4").tobytes() for t in texts.to_pylist()], pa.binary())
+        return sliced(texts, pa.binary(), lambda part: [np.array(sorted(terms.of(t)), "<u4").tobytes() for t in part])
 
     return hashed(text)
 
@@ -136,7 +136,7 @@ def scored(text: Column, machine: Machine) -> Column:
         import pyarrow as pa
 
         terms = machine.terms()
-        return pa.array([machine.score(terms.of(t)) for t in texts.to_pylist()], pa.float64())
+        return sliced(texts, pa.float64(), lambda part: [machine.score(terms.of(t)) for t in part])
 
     return score(text)
 

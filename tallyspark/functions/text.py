@@ -12,8 +12,10 @@ from . import lexicon as lx
 
 
 def any_of(text: Column, words) -> Column:
-    """Whether any word is in the text, as a chain of substring tests."""
+    """Whether any word is in the text: substring tests for a few words, one alternation of quoted words for many."""
     words = list(words)
+    if len(words) > 6:
+        return text.rlike("|".join(re.sub(r"([\\\[\](){}.*+?^$|])", r"\\\1", w) for w in words))
     return reduce(lambda a, b: a | b, (text.contains(w) for w in words)) if words else F.lit(False)
 
 

@@ -65,11 +65,12 @@ def top_per(rows: DataFrame, keys: list[str], order: list[Column], most: int) ->
 
 def repeats(rows: DataFrame, keys: tuple[str, ...], id_column: str = "id") -> DataFrame:
     """All but the least id of each key (null keys are keys)."""
-    firsts = rows.groupBy(*keys).agg(F.min(id_column).alias("_first"))
+    named = {k: f"_key_{i}" for i, k in enumerate(keys)}
+    firsts = rows.groupBy(*(F.col(k).alias(n) for k, n in named.items())).agg(F.min(id_column).alias("_first"))
     match = F.lit(True)
-    for k in keys:
-        match = match & rows[k].eqNullSafe(firsts[k])
-    return rows.join(firsts, match).filter(F.col(id_column) > F.col("_first")).select(*(rows[c] for c in rows.columns))
+    for k, n in named.items():
+        match = match & F.col(k).eqNullSafe(F.col(n))
+    return rows.join(firsts, match).filter(F.col(id_column) > F.col("_first")).select(*rows.columns)
 
 
 def without_repeats(rows: DataFrame, keys: tuple[str, ...], id_column: str = "id") -> DataFrame:

@@ -49,6 +49,20 @@ def sliced(column, kind, work, rows: int = 256):
     return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
 
+_KEPT: dict = {}
+
+
+def worker_cache(kind: object, make):
+    """What ``make`` gave a worker for ``kind``; it stays while tasks ask for the same kind, and goes when they ask for another.
+
+    Workers outlive stages: without this each would keep every stage's caches.
+    """
+    if kind not in _KEPT:
+        _KEPT.clear()
+        _KEPT[kind] = make()
+    return _KEPT[kind]
+
+
 def remainder(doc_id, modulus: int):
     """crc32 of the id written as text, modulo ``modulus``; -1 where the id is null."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus, F.lit(-1)).cast("int")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .common import remainder
 
 #: Labelled documents a model is fitted on at most: those whose ids hash lowest.
-SAMPLE = 12_000
+SAMPLE = 8_000
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, features, fold: tuple[int, int] | None, most: int = SAMPLE) -> tuple[list[bytes], np.ndarray]:

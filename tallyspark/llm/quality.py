@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read, sliced
+from .common import cut, read, sliced, worker_cache
 from .learn import SAMPLE, labelled_sample, logistic
 
 SHAPES = 512
@@ -36,7 +36,7 @@ _SHAPE = bytes(
 
 
 class Shapes(dict):
-    """Class strings of words to buckets: runs of letters and digits count as one; starts anew at 100,000."""
+    """Class strings of words to buckets: runs of letters and digits count as one; starts anew at 50,000."""
 
     def __missing__(self, word: bytes) -> int:
         runs = bytearray()
@@ -44,24 +44,22 @@ class Shapes(dict):
             if not runs or runs[-1] != b:
                 runs.append(b)
         bucket = zlib.crc32(bytes(runs)) % SHAPES
-        if len(self) >= 100_000:
+        if len(self) >= 50_000:
             self.clear()
         if len(word) <= 64:
             self[word] = bucket
         return bucket
 
 
-_BUCKETS = Shapes()
-
-
 def form(text: bytes | None) -> np.ndarray:
     """Features of a whole text: square roots of shape shares, shares of words equal to the one before and of repeated lines."""
     out = np.zeros(SHAPES + 2, np.float32)
     words = text.split() if text else []
     if not words:
         return out
+    buckets = worker_cache("shapes", Shapes)
     for shape, n in Counter(text.translate(_SHAPE).split()).items():
-        out[_BUCKETS[shape]] += n
+        out[buckets[shape]] += n
     out[:SHAPES] = np.sqrt(out[:SHAPES] / len(words))
     out[SHAPES] = sum(map(eq, words, words[1:])) / len(words)
     lines = text.split(b"\n")

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, read, sliced
+from .common import components, cut, read, sliced, worker_cache
 
 #: 35 bands of 5: (1 - 0.8 ** 5) ** 35 = 9e-7 is the chance that texts at 0.8 meet in no bucket.
 ROWS, BANDS = 5, 35
@@ -65,15 +65,12 @@ class Words(dict):
         return h
 
 
-_WORDS = Words()
-
-
 def shingle_set(text: bytes | None, size: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles of ``size`` words; a shorter text is one shingle, one without words none."""
     words = text.lower().split() if text else []
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(worker_cache("shingles", Words).__getitem__, words), np.uint64, len(words))
     n = max(1, len(words) - size + 1)
     out = np.full(n, min(len(words), size), np.uint64)
     for k in range(min(size, len(words))):

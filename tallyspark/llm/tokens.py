@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from .common import worker_cache
+
 #: Chunks in each of a worker's two cache generations; both together take some 280 MB.
 CACHE_ENTRIES = 700_000
 #: ASCII marks that the tokenizer keeps together as a run of their own after letters (no apostrophe: it starts contractions).
@@ -58,11 +60,6 @@ class ChunkEncoder(dict):
         return b"".join(map(self.__getitem__, (text if b"<|" in text else text.lower()).split()))
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
-
-
 def encoder(path: str) -> ChunkEncoder:
     """The worker's encoder for a file; tasks that reuse the worker share its cache."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
-    return _ENCODERS[path]
+    return worker_cache(("tokens", path), lambda: ChunkEncoder(path))

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, remainder, sliced
+from .common import read, remainder, sliced, worker_cache
 from .learn import SAMPLE, Adam, labelled_sample, sigmoid
 
 WORD = re.compile(r"\w+")
@@ -36,7 +36,7 @@ def word_terms(word: str) -> tuple[int, ...]:
 
 
 class Terms(dict):
-    """Words to their terms, those in ``kept`` only if given; starts anew at 200,000 words."""
+    """Words to their terms, those in ``kept`` only if given; starts anew at 100,000 words."""
 
     def __init__(self, kept: dict[int, int] | None = None):
         super().__init__()
@@ -46,7 +46,7 @@ class Terms(dict):
         out = word_terms(word)
         if self.kept is not None:
             out = tuple(self.kept[t] for t in out if t in self.kept)
-        if len(self) >= 200_000:
+        if len(self) >= 100_000:
             self.clear()
         if len(word) <= 64:
             self[word] = out
@@ -62,7 +62,7 @@ def _features(text: Column) -> Column:
     def hashed(texts):
         import pyarrow as pa
 
-        terms = Terms()
+        terms = worker_cache("all terms", Terms)
         return sliced(texts, pa.binary(), lambda part: [np.array(sorted(terms.of(t)), "<u4").tobytes() for t in part])
 
     return hashed(text)
@@ -73,13 +73,8 @@ class Machine:
 
     def __init__(self, kept: dict[int, int], bias: float, w: np.ndarray, v: np.ndarray):
         self.kept, self.bias, self.w, self.v = kept, bias, w, v
-        self.cache: Terms | None = None
-
-    def terms(self) -> Terms:
-        """A task's cache of words to kept terms."""
-        if self.cache is None:
-            self.cache = Terms(self.kept)
-        return self.cache
+        #: Names the kept terms, so that a worker's cache of one machine never serves another.
+        self.name = zlib.crc32(repr(sorted(kept)).encode())
 
     def score(self, terms: set[int]) -> float:
         at = list(terms)
@@ -95,20 +90,22 @@ def fit(features: list[bytes], labels: np.ndarray, terms: int = TERMS, factors:
     bias0 = float(np.log(base / (1 - base)))
     if not len(y) or y.min() == y.max():
         return Machine({}, bias0, np.zeros(0), np.zeros((0, factors)))
-    sets = [np.frombuffer(f, "<u4") for f in features]
-    every, inverse = np.unique(np.concatenate(sets), return_inverse=True)
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    pos, all_ = np.bincount(inverse, y[row], len(every)), np.bincount(inverse, minlength=len(every))
+    sizes = np.array([len(f) // 4 for f in features])
+    every, inverse = np.unique(np.frombuffer(b"".join(features), "<u4"), return_inverse=True)
+    inverse, row = inverse.astype(np.int32), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    pos, all_ = np.bincount(inverse, y.astype(np.float32)[row], len(every)), np.bincount(inverse, minlength=len(every))
     want = all_ * base
     chi = (pos - want) ** 2 / (want * (1 - base) + 1)
     chi[all_ < 4] = 0
     best = np.argsort(-chi, kind="stable")[:terms]
     best = best[chi[best] > 0]
-    place = np.full(len(every), -1)
+    place = np.full(len(every), -1, np.int32)
     place[best] = np.arange(len(best))
-    x = np.zeros((len(sets), len(best)), np.float32)
     found = place[inverse]
+    x = np.zeros((len(sizes), len(best)), np.float32)
     x[row[found >= 0], found[found >= 0]] = 1
+    every = every[best]
+    del inverse, row, found, place
     rng = np.random.default_rng(seed)
     b, w, v = np.array([bias0]), np.zeros(len(best)), rng.normal(0, 0.05, (len(best), factors))
     adam = Adam([b, w, v], 0.02)
@@ -120,7 +117,7 @@ def fit(features: list[bytes], labels: np.ndarray, terms: int = TERMS, factors:
             z = b[0] + xs @ w + 0.5 * ((s * s).sum(axis=1) - xs @ (v * v).sum(axis=1))
             g = (sigmoid(z) - ys) / len(ys)
             adam.step([np.array([g.sum()]), xs.T @ g + 1e-4 * w, xs.T @ (g[:, None] * s) - (xs.T @ g)[:, None] * v + 1e-3 * v])
-    return Machine({int(every[t]): i for i, t in enumerate(best)}, float(b[0]), w, v)
+    return Machine({int(t): i for i, t in enumerate(every)}, float(b[0]), w, v)
 
 
 def train(documents: DataFrame, labels: DataFrame, fold: tuple[int, int] | None = (5, 0), most: int = SAMPLE) -> Machine:
@@ -135,7 +132,7 @@ def scored(text: Column, machine: Machine) -> Column:
     def score(texts):
         import pyarrow as pa
 
-        terms = machine.terms()
+        terms = worker_cache(("terms", machine.name), lambda: Terms(machine.kept))
         return sliced(texts, pa.float64(), lambda part: [machine.score(terms.of(t)) for t in part])
 
     return score(text)

@@ -17,7 +17,7 @@ def group(body: Column, pattern: str | Column, index: int | Column) -> Column:
     """A regex group, trimmed; null if it is blank or nothing matches. Patterns may come from a column of rules."""
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
     index = F.lit(index) if isinstance(index, int) else index
-    return F.nullif(trim_space(F.regexp_extract(body, pattern, index)), F.lit(""))
+    return F.nullif(trim_space(F.call_function("regexp_extract", body, pattern, index)), F.lit(""))
 
 
 def digits(text: Column) -> Column:
@@ -53,7 +53,7 @@ def parsed(body: Column, received: Column, amount_pattern: Column, store_pattern
     raw = F.substring(group(text, store_pattern, 1), 1, 20)
     one_letter = F.when((F.length(raw) == 1) & text.rlike(r"(?:^|\n)출금(?:\n|$)"), raw)
     store = F.when(valid_store_strict(raw), trim_space(raw)).otherwise(F.coalesce(one_letter, debit_store(raw, text)))
-    card = group(text, card_pattern, 1)
+    card = F.when(card_pattern != "", group(text, card_pattern, 1))
     good_card = F.when(F.length(card).between(2, 20) & ~card.rlike(r"^[\d*\-\s]+$") & ~any_of(F.lower(card), ("web발신", "승인", "출금", "입금", "잔액")), card)
     out = F.struct(
         n.alias("amount"), store.alias("storeName"), F.coalesce(good_card, bank_tag(text), F.lit(fallback_card)).alias("cardName"),

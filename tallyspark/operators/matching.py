@@ -46,7 +46,7 @@ def match_rules(messages: DataFrame, rules: DataFrame) -> DataFrame:
     m = messages.withColumn("senderAddress", normalize_sender(F.col("address"))).withColumn("_body", newlines(F.col("body")))
     j = m.join(rules, "senderAddress")
     pick = lambda index: F.when(F.col(index) > 0, group(F.col("_body"), F.col("bodyRegex"), F.col(index)))
-    hit = F.col("_body").rlike(F.col("bodyRegex"))
+    hit = F.rlike(F.col("_body"), F.col("bodyRegex"))
     amount = F.when(hit, digits(pick("amountIndex")))
     store = F.when(hit, store_or_debit(sanitize_store(pick("storeIndex")), F.col("_body")))
     store = F.coalesce(store, F.when(hit, store_fallback(F.col("_body"))))

@@ -580,7 +580,7 @@ def _(s, d):
     return clustering.cluster(rows, "sender", "greedy", 0.3)
 
 
-@query("categorized_stores", "SELECT id, CASE WHEN lower(storeName) LIKE '%#0000000%' THEN '식비' WHEN lower(storeName) LIKE '%99%' THEN '구독' WHEN contains(storeName, '00001') THEN '교통' ELSE '미분류' END AS category, CASE WHEN lower(storeName) LIKE '%#0000000%' OR lower(storeName) LIKE '%99%' THEN 'rule' WHEN contains(storeName, '00001') THEN 'mapping' ELSE 'none' END AS tier FROM expenses")
+@query("categorized_stores", "SELECT id, CASE WHEN lower(storeName) LIKE '%#0000000%' THEN '식비' WHEN lower(storeName) LIKE '%99%' THEN '구독' WHEN contains(storeName, '00001') THEN '교통' WHEN contains(lower(storeName), 'cu') THEN '식비' ELSE '미분류' END AS category, CASE WHEN lower(storeName) LIKE '%#0000000%' OR lower(storeName) LIKE '%99%' THEN 'rule' WHEN contains(storeName, '00001') THEN 'mapping' WHEN contains(lower(storeName), 'cu') THEN 'word' ELSE 'none' END AS tier FROM expenses")
 def _(s, d):
     rules = s.createDataFrame(STORE_RULES, "id int, keyword string, category string, isFixed boolean, createdAt long")
     m = s.createDataFrame([("00001", "교통")], "storeName string, category string")

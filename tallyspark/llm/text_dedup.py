@@ -54,11 +54,11 @@ def set_digest(shingles: np.ndarray) -> bytes:
 
 
 class Words(dict):
-    """Words to 64-bit hashes; starts anew at 250,000 words."""
+    """Words to 64-bit hashes; starts anew at 150,000 words."""
 
     def __missing__(self, word: bytes) -> int:
         h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        if len(self) >= 250_000:
+        if len(self) >= 150_000:
             self.clear()
         if len(word) <= 64:
             self[word] = h

@@ -10,8 +10,8 @@ import numpy as np
 
 from .common import worker_cache
 
-#: Chunks in each of a worker's two cache generations; both together take some 280 MB.
-CACHE_ENTRIES = 700_000
+#: Chunks in each of a worker's two cache generations; both together take some 200 MB.
+CACHE_ENTRIES = 500_000
 #: ASCII marks that the tokenizer keeps together as a run of their own after letters (no apostrophe: it starts contractions).
 TRAILING = b'.,!?;:*%$#&|()"-'
 

@@ -22,10 +22,10 @@ from functools import lru_cache
 from math import lgamma
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, read, sliced, worker_cache
+from .common import components, cut, read, worker_cache
 
 #: 35 bands of 5: (1 - 0.8 ** 5) ** 35 = 9e-7 is the chance that texts at 0.8 meet in no bucket.
 ROWS, BANDS = 5, 35
@@ -283,50 +283,59 @@ def _chunked(rows: DataFrame, key: str, chunks: DataFrame) -> DataFrame:
     return rows.withColumn("_p", F.explode(pair)).withColumn("x", F.col("_p.x")).withColumn("y", F.col("_p.y")).drop("_p", "k")
 
 
-def summaries(text: Column, size: int) -> Column:
-    """struct<n, digest, signature> of whole texts: set size, 128-bit digest of the set, MinHash signature (empty set: null)."""
+def _by_rows(rows: DataFrame, schema: str, work: Callable, size: int = 256) -> DataFrame:
+    """``work`` (lists of the columns to a dict of Arrow arrays) over a few rows at a time.
 
-    @F.arrow_udf("struct<n:long,digest:binary,signature:binary>")
-    def summary(texts):
-        import pyarrow as pa
+    All steps of this operator are of this kind: a second kind of Python function would keep a second set of workers.
+    """
 
-        kind = pa.struct([("n", pa.int64()), ("digest", pa.binary()), ("signature", pa.binary())])
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-        def of(text):
-            s = shingle_set(text, size)
-            return {"n": len(s), "digest": set_digest(s) if len(s) else None, "signature": signature(s).tobytes() if len(s) else None}
+        for batch in batches:
+            for k in range(0, batch.num_rows, size):
+                yield pa.RecordBatch.from_pydict(work(*(c.to_pylist() for c in batch.slice(k, size).columns)))
 
-        return sliced(texts, kind, lambda part: list(map(of, part)))
+    return rows.mapInArrow(run, schema)
 
-    return summary(text)
 
+def summaries(rows: DataFrame, size: int) -> DataFrame:
+    """id, n, digest, signature of whole texts (id, text): set size, 128-bit digest of the set, MinHash signature (empty set: null)."""
 
-def _keys(sig: Column) -> Column:
-    @F.arrow_udf("array<bigint>")
-    def keys(sigs):
+    def work(ids: list, texts: list) -> dict:
         import pyarrow as pa
 
-        n = len(sigs)
-        grid = band_keys(np.frombuffer(b"".join(sigs.to_pylist()), "<u2").reshape(n, -1)) if n else np.zeros((0, BANDS), np.int64)
-        return pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS), pa.int32()), pa.array(grid.ravel(), pa.int64()))
+        sets = [shingle_set(t, size) for t in texts]
+        return {
+            "id": pa.array(ids, pa.int64()), "n": pa.array(list(map(len, sets)), pa.int64()), "digest": pa.array([set_digest(s) if len(s) else None for s in sets], pa.binary()),
+            "signature": pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()),
+        }
 
-    return keys(sig)
+    return _by_rows(rows.select("id", "text"), "id long, n long, digest binary, signature binary", work)
 
 
-def _sets(text: Column, size: int) -> Column:
-    """struct<set, digest> of whole texts: the full set as bytes."""
+def _bands(classes: DataFrame) -> DataFrame:
+    """(id, key) of each band of each class."""
 
-    @F.arrow_udf("struct<set:binary,digest:binary>")
-    def sets(texts):
+    def work(ids: list, signatures: list) -> dict:
         import pyarrow as pa
 
-        def of(text):
-            s = shingle_set(text, size)
-            return {"set": s.tobytes(), "digest": set_digest(s)}
+        keys = band_keys(np.frombuffer(b"".join(signatures), "<u2").reshape(len(ids), -1))
+        return {"id": pa.array(np.repeat(np.array(ids, np.int64), BANDS)), "key": pa.array(keys.ravel())}
+
+    return _by_rows(classes.select("id", "signature"), "id long, key long", work)
+
+
+def _sets(texts: DataFrame, size: int) -> DataFrame:
+    """(id, digest, set) of whole texts: the full set as bytes."""
+
+    def work(ids: list, texts: list) -> dict:
+        import pyarrow as pa
 
-        return sliced(texts, pa.struct([("set", pa.binary()), ("digest", pa.binary())]), lambda part: list(map(of, part)))
+        sets = [shingle_set(t, size) for t in texts]
+        return {"id": pa.array(ids, pa.int64()), "digest": pa.array(list(map(set_digest, sets)), pa.binary()), "set": pa.array([s.tobytes() for s in sets], pa.binary())}
 
-    return sets(text)
+    return _by_rows(texts.select("id", "text"), "id long, digest binary, set binary", work)
 
 
 def clusters(documents: DataFrame, size: int = 5, threshold: int = THRESHOLD) -> DataFrame:
@@ -337,11 +346,11 @@ def clusters(documents: DataFrame, size: int = 5, threshold: int = THRESHOLD) ->
     rows is returned.
     """
     base = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
-    summed = cut(base.select("id", summaries(F.col("text"), size).alias("s")).select("id", "s.n", "s.digest", F.when(F.col("id").isNotNull(), F.col("s.signature")).alias("signature")))
-    usable = summed.filter(F.col("signature").isNotNull())
+    summed = cut(summaries(base, size))
+    usable = summed.filter(F.col("id").isNotNull() & F.col("signature").isNotNull())
     # a class is named by its least document; all of a class's signatures are equal
     classes = cut(usable.groupBy("digest").agg(F.min("id").alias("id"), F.max("signature").alias("signature")).select("id", "digest", "signature"))
-    bands = classes.select("id", F.explode(_keys(F.col("signature"))).alias("key"))
+    bands = _bands(classes)
     # buckets with two classes or more; of buckets with the same members one
     several = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("members")).filter("n > 1")
     chosen = several.groupBy("n", "members").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("k"))
@@ -352,7 +361,7 @@ def clusters(documents: DataFrame, size: int = 5, threshold: int = THRESHOLD) ->
     small = named.count() <= BROADCAST_IDS
     member = classes.join(named, "id").select("id", "key", "signature")
     texts = base.join(F.broadcast(named.select("id")) if small else named.select("id"), "id")
-    sets = texts.select("id", _sets(F.col("text"), size).alias("s")).groupBy("id", "s.digest").agg(F.max("s.set").alias("set"))
+    sets = _sets(texts, size).groupBy("id", "digest").agg(F.max("set").alias("set"))
     # a repeated id has several texts; the class's own is the one with its digest
     whole = cut(member.join(classes.select("id", "digest"), "id").join(sets, ["id", "digest"]).select("id", "key", "signature", "set"))
     loads = whole.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("set") / 8).alias("load"))

@@ -5,7 +5,7 @@ lengths: at most ``capacity`` numbers whatever the corpus. A configuration is a
 that fits a sequence. Multiplicative weights price lengths by how little they are covered so far; a
 knapsack dynamic program over the prices finds the best configurations, among them the best that
 holds each badly covered length. The fractional counts are rounded down within what is there, and
-what is left is packed best-fit-decreasing on the histogram. The plan maps (length, rank among the
+what is left is packed best-fit-decreasing on the histogram. Best fit alone is taken where it is better. The plan maps (length, rank among the
 pieces of that length) to a sequence and an offset; each task looks its pieces up.
 """
 
@@ -24,8 +24,8 @@ from .tokens import default_path, encoder
 
 CAPACITY = 2048
 END_ID = 0
-#: Rounds of multiplicative weights and configurations taken from each pricing.
-ROUNDS, PER_ROUND = 60, 64
+#: Most rounds of multiplicative weights, configurations taken from each pricing, the weights' rate, and the share of a demand that a step covers.
+ROUNDS, PER_ROUND, RATE, SHARE = 400, 32, 4.0, 0.1
 
 
 def knapsack(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -44,33 +44,33 @@ def knapsack(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.n
     return best, take
 
 
-def fill(take: np.ndarray, room: int) -> Counter:
-    """The lengths that the dynamic program takes for ``room``."""
-    out: Counter = Counter()
-    while room > 0:
-        if take[room]:
-            out[int(take[room])] += 1
-            room -= int(take[room])
-        else:
-            room -= 1
-    return out
+def fractional(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS, rate: float = RATE) -> dict[tuple, float]:
+    """Configurations with fractional counts that cover every length as often as it is there.
 
-
-def fractional(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS, rate: float = 4.0) -> dict[tuple, float]:
-    """Configurations with fractional counts that cover the histogram about evenly."""
+    A length's price is what its tokens are worth, less the more of its demand is covered beside the
+    least covered one, and nothing once all of it is: so all lengths run out together. Each pricing
+    is one dynamic program; the worst covered lengths each take the best configuration that holds
+    them, for a share of its scarcest length's demand. Rounds end when all are covered.
+    """
     sizes = np.array(sorted(histogram))
     demand = np.array([histogram[s] for s in sizes], float)
     at = {int(s): i for i, s in enumerate(sizes)}
     covered, x = np.zeros(len(sizes)), Counter()
     for _ in range(rounds):
-        # a length's price is what a token of it is worth, more the less of its demand is covered
-        weight = sizes * np.exp(-rate * (covered - covered.min()))
-        _, take = knapsack(sizes, weight, capacity)
-        for s in sizes[np.argsort(covered * 1e6 - sizes, kind="stable")][:PER_ROUND]:
-            config = fill(take, capacity - int(s))
-            config[int(s)] += 1
-            # as much of it as covers a tenth of its scarcest length's demand
-            step = min(demand[at[k]] / n for k, n in config.items()) / 10
+        open_ = np.flatnonzero(covered < 1 - 1e-9)
+        if not len(open_):
+            break
+        price = sizes[open_] * np.exp(-rate * (covered[open_] - covered[open_].min()))
+        _, take = knapsack(sizes[open_], price, capacity)
+        last = np.maximum.accumulate(np.where(take > 0, np.arange(capacity + 1), 0))
+        for s in sizes[open_[np.argsort(covered[open_] * 1e6 - sizes[open_], kind="stable")][:PER_ROUND]].tolist():
+            config, room = Counter({s: 1}), capacity - s
+            while (room := int(last[room])) > 0:
+                config[int(take[room])] += 1
+                room -= int(take[room])
+            step = min(min(demand[at[k]] * SHARE, demand[at[k]] * (1 - covered[at[k]])) / n for k, n in config.items())
+            if step <= 0:
+                continue
             x[tuple(sorted(config.items(), reverse=True))] += step
             for k, n in config.items():
                 covered[at[k]] += n * step / demand[at[k]]
@@ -114,36 +114,38 @@ class Groups:
         return
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[tuple[int, int], ...], int]]:
-    """Contents ((length, copies), ...) with the number of sequences of each; together they are the histogram."""
-    left = {int(s): int(n) for s, n in histogram.items() if n > 0}
-    out: list[tuple] = []
-    if capacity in left:
-        out.append((((capacity, 1),), left.pop(capacity)))
-    groups = Groups(capacity)
-    if left:
-        x = fractional(left, capacity)
-        demand = dict(left)
-        covered: Counter = Counter()
-        for config, n in x.items():
+Contents = list[tuple[tuple[tuple[int, int], ...], int]]
+
+
+def best_fit(left: dict[int, int], groups: Groups) -> Contents:
+    """What is left packed best-fit-decreasing into the groups and new sequences; all contents."""
+    for s in sorted(left, reverse=True):
+        groups.best_fit(s, left[s])
+    return [(content, n) for room in sorted(groups.by_room) for content, n in groups.by_room[room] if n]
+
+
+def rounded(x: dict[tuple, float], histogram: dict[int, int], capacity: int) -> Contents:
+    """The program's configurations, the fullest first, in whole numbers as far as the pieces go; then best fit."""
+    left, groups = dict(histogram), Groups(capacity)
+    for config, n in sorted(x.items(), key=lambda c: (capacity - sum(s * k for s, k in c[0]), -c[1], c[0])):
+        if use := int(min(min(left[s] // k for s, k in config), np.floor(n + 1e-6))):
+            groups.add(config, capacity - sum(s * k for s, k in config), use)
             for s, k in config:
-                covered[s] += k * n
-        scale = 1 / max(covered[s] / demand[s] for s in demand)  # no length is used above its demand
-        chosen = sorted(x.items(), key=lambda c: (capacity - sum(s * k for s, k in c[0]), -c[1], c[0]))
-        for stretch in (scale, np.inf):  # the program's shares, then whole configurations as far as the rest allows
-            for config, n in chosen:
-                room = capacity - sum(s * k for s, k in config)
-                if stretch == np.inf and room > 8:
-                    continue
-                most = min(left[s] // k for s, k in config)
-                if use := int(min(most, np.floor(n * stretch) if stretch != np.inf else most)):
-                    groups.add(config, room, use)
-                    for s, k in config:
-                        left[s] -= k * use
-        for s in sorted(left, reverse=True):
-            groups.best_fit(s, left[s])
-    out += [(content, n) for room in sorted(groups.by_room) for content, n in groups.by_room[room] if n]
-    return out
+                left[s] -= k * use
+    return best_fit(left, groups)
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Contents:
+    """Contents ((length, copies), ...) with the number of sequences of each; together they are the histogram.
+
+    The rounded program, or best fit alone where that takes fewer sequences (few pieces round badly).
+    """
+    left = {int(s): int(n) for s, n in histogram.items() if n > 0}
+    whole = [(((capacity, 1),), left.pop(capacity))] if capacity in left else []
+    if not left:
+        return whole
+    plans = [rounded(fractional(left, capacity), left, capacity), best_fit(left, Groups(capacity))]
+    return whole + min(plans, key=lambda p: sum(n for _, n in p))
 
 
 def slots(contents: list) -> dict[int, tuple[np.ndarray, ...]]:

@@ -34,7 +34,8 @@ def whole(vector, scale: int = 64):
 def threshold_top_k(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, id, score) of each query's k best of the block, ties to the smaller id, itself left out.
 
-    ``x`` is sorted by ascending id. Scores are exact: whole numbers below 2**53 as doubles, else Python integers.
+    ``x`` is sorted by ascending id. Scores are exact: whole numbers below 2**53 as doubles, else Python integers
+    (given back within the range of a long).
     """
     n, dims = x.shape
     exact = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * dims < 2**53
@@ -80,7 +81,7 @@ def threshold_top_k(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.nda
         good = [j for j in range(top) if place[i, j] < n and ids[place[i, j]] != q_ids[i]][:k]
         rows_out += [i] * len(good)
         ids_out += [int(ids[place[i, j]]) for j in good]
-        scores_out += [int(best[i, j]) for j in good]
+        scores_out += [max(-(2**63), min(2**63 - 1, int(best[i, j]))) for j in good]
     return np.array(rows_out, np.int64), np.array(ids_out, np.int64), np.array(scores_out, np.int64)
 
 

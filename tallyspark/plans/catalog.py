@@ -617,3 +617,6 @@ def _(s, d):
 @query("history_page", "SELECT strftime(ts, '%Y-%m-%d') AS date, count(*)::BIGINT AS n, sum(amount)::BIGINT AS total FROM expenses WHERE ts >= TIMESTAMP '1997-05-01' AND ts < TIMESTAMP '1997-06-01' AND NOT is_fixed AND (memo IS NULL OR NOT contains(lower(memo), 'f')) GROUP BY 1")
 def _(s, d):
     return screens.history(lg.expenses(s, d), 1997, 5, 1, "EXCLUDE_FIXED", s.createDataFrame([("f",)], "keyword string"))
+
+
+from . import catalog_messages  # noqa: E402, F401  registers its queries

@@ -309,3 +309,54 @@ def _(s, d):
 def _(s, d):
     e = lg.expenses(s, d).select("id", "category")
     return mu.replace_rows(e, e.filter("id % 9 = 0").withColumn("category", F.lit("x")).unionByName(s.createDataFrame([(-5, "none")], e.schema)))
+
+
+@query("exact_matches", "SELECT smsId AS \"smsId\", CASE WHEN id % 2 = 0 THEN id END AS stored_id, CASE WHEN id % 2 = 0 THEN memo END AS stored_memo FROM expenses")
+def _(s, d):
+    e = lg.expenses(s, d)
+    return joins.exact(e.select("smsId"), e.filter("id % 2 = 0").select("smsId", "id", "memo"))
+
+
+@query("resolved_categories", "SELECT CASE id % 5 WHEN 0 THEN '카페/간식' WHEN 1 THEN '식비' WHEN 2 THEN '기타' WHEN 3 THEN '미분류' ELSE 'my own' END AS category, sum(amount)::BIGINT AS total FROM expenses GROUP BY 1")
+def _(s, d):
+    from ..functions.categories import resolved
+
+    k = F.col("id") % 5
+    raw = F.when(k == 0, "카페").when(k == 1, "식비").when(k == 2, "who knows").when(k == 3, "AI 분류 중").otherwise("my own")
+    return ag.total_by(lg.expenses(s, d), category=resolved(raw, True, ("my own",)))
+
+
+@query("looked_up_categories", "SELECT CASE id % 3 WHEN 0 THEN '온라인쇼핑' WHEN 1 THEN '기타' ELSE 'mine' END AS resolved_category, count(*)::BIGINT AS n FROM expenses GROUP BY 1")
+def _(s, d):
+    from ..functions.categories import dimension
+
+    k = F.col("id") % 3
+    rows = lg.expenses(s, d).select("id", F.when(k == 0, "쇼핑").when(k == 1, "nothing").otherwise("mine").alias("category"))
+    table = dimension(s, s.createDataFrame([("mine", "EXPENSE")], "name string, type string"))
+    return joins.category_lookup(rows, table).groupBy("resolved_category").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("budget_total", "SELECT sum(monthlyLimit)::BIGINT AS total FROM budgets WHERE yearMonth = 'default'", "b")
+def _(s, d):
+    return lg.budgets(s).filter("yearMonth = 'default'").agg(F.sum("monthlyLimit").alias("total"))
+
+
+@query("coverage_by_day", "SELECT id, CASE WHEN id % 2 = 0 THEN 'FULL' ELSE 'PARTIAL' END AS status FROM expenses WHERE id <= 400")
+def _(s, d):
+    from ..operators.windows import coverage_by_day
+
+    e = lg.expenses(s, d).filter("id <= 400").select("id")
+    # each row's own span of days, far from the others'; odd ones lack their second day
+    day = F.col("id") * 10 * 86_400_000
+    targets = e.select("id", day.alias("start"), (day + 3 * 86_400_000 - 1).alias("end"))
+    covered = e.select((day + 5000).alias("start"), F.when(F.col("id") % 2 == 0, day + 86_400_000 + 7).otherwise(day + 9000).alias("end"))
+    return coverage_by_day(targets, covered.unionByName(e.select((day + 2 * 86_400_000 + 1).alias("start"), (day + 2 * 86_400_000 + 2).alias("end"))))
+
+
+@query("period_bounds", "SELECT * FROM (VALUES (1, '1998-08-01 00:00:00', '1998-08-02 12:00:00'), (2, '1997-01-01 00:00:00', '1997-02-01 23:59:59'), (3, '1970-01-01 00:00:00', '1998-08-02 12:00:00')) t(id, first, last)", "")
+def _(s, d):
+    from .catalog import NOW
+
+    asked = [(1, None, None), (2, "1997-01-01", "1997-02-01"), (3, "not a day", "neither")]
+    rows = [(i, *(f"{t:%Y-%m-%d %H:%M:%S}" for t in dates.period(a, b, NOW))) for i, a, b in asked]
+    return s.createDataFrame(rows, "id int, first string, last string")

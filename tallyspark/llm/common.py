@@ -62,6 +62,27 @@ def sliced(column, kind, work, rows: int = 256):
     return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
 
+def with_value(rows: DataFrame, source: str, name: str, kind: str, work) -> DataFrame:
+    """``rows`` with a column ``name`` (double or binary) that ``work`` (list of bytes to list) gives for the text or binary column ``source``.
+
+    Other columns pass through Arrow untouched. One kind of Python function for all stages of a pipeline
+    means one set of workers.
+    """
+    from pyspark.sql.types import StructType
+
+    at = rows.columns.index(source)
+    schema = StructType([*rows.schema.fields, *StructType.fromDDL(f"{name} {kind}").fields])
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            value = sliced(batch.column(at).cast(pa.binary()), pa.float64() if kind == "double" else pa.binary(), work)
+            yield pa.RecordBatch.from_arrays([*batch.columns, value], [*batch.schema.names, name])
+
+    return rows.mapInArrow(run, schema)
+
+
 _KEPT: dict = {}
 
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder
+from .common import remainder, with_value
 
 #: Labelled documents a model is fitted on at most: those whose ids hash lowest.
 SAMPLE = 8_000
@@ -15,7 +15,7 @@ SAMPLE = 8_000
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, features, fold: tuple[int, int] | None, most: int = SAMPLE) -> tuple[list[bytes], np.ndarray]:
     """Feature bytes and 0/1 labels of at most ``most`` labelled documents.
 
-    ``features`` is a Column of ``documents`` giving binary. ``fold`` is (modulus, remainder held out).
+    ``features`` gives the feature bytes of a list of texts (UTF-8 bytes or None). ``fold`` is (modulus, remainder held out).
     Ids are taken by lowest hash, so the sample is the same in each run; null labels and ids take no
     part; a repeated label row counts once (its greatest label), a repeated document once.
     """
@@ -24,8 +24,8 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, feature
         chosen = chosen.filter(remainder(F.col("doc_id"), fold[0]) != fold[1])
     chosen = chosen.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(label).cast("int").alias("_y"))
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id").limit(most)
-    rows = documents.select(F.col("doc_id").cast("long").alias("_id"), "text").join(F.broadcast(chosen), "_id")  # at most ``most`` ids
-    got = rows.select("_id", "_y", features(F.col("text")).alias("_f")).groupBy("_id", "_y").agg(F.min("_f").alias("_f")).orderBy("_id").toArrow()
+    rows = documents.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "_id")  # at most ``most`` ids
+    got = with_value(rows, "text", "_f", "binary", features).groupBy("_id", "_y").agg(F.min("_f").alias("_f")).orderBy("_id").toArrow()
     return got.column("_f").to_pylist(), np.array(got.column("_y").to_pylist(), np.float64)
 
 

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read, sliced, worker_cache
+from .common import cut, read, with_value, worker_cache
 from .learn import SAMPLE, labelled_sample, logistic
 
 SHAPES = 512
@@ -67,14 +67,8 @@ def form(text: bytes | None) -> np.ndarray:
     return out
 
 
-def _features(text: Column) -> Column:
-    @F.arrow_udf("binary")
-    def forms(texts):
-        import pyarrow as pa
-
-        return sliced(texts, pa.binary(), lambda part: [form(t).tobytes() for t in part])
-
-    return forms(text.cast("binary"))
+def _features(texts: list[bytes | None]) -> list[bytes]:
+    return [form(t).tobytes() for t in texts]
 
 
 @dataclass
@@ -84,17 +78,10 @@ class Evidence:
     weights: np.ndarray
     bias: float
 
-    def of(self, text: Column) -> Column:
-        """A document's own log-odds of good quality, within -12 and 12; texts without words have those of no features."""
+    def of(self, rows: DataFrame, text: str, name: str = "evidence") -> DataFrame:
+        """``rows`` with a text's own log-odds of good quality, within -12 and 12; texts without words have those of no features."""
         weights, bias = self.weights, self.bias
-
-        @F.arrow_udf("double")
-        def odds(texts):
-            import pyarrow as pa
-
-            return sliced(texts, pa.float64(), lambda part: [float(np.clip(form(t) @ weights + bias, -12, 12)) for t in part])
-
-        return odds(text.cast("binary"))
+        return with_value(rows, text, name, "double", lambda texts: [float(np.clip(form(t) @ weights + bias, -12, 12)) for t in texts])
 
 
 def train(documents: DataFrame, labels: DataFrame, fold: tuple[int, int] | None = None, most: int = SAMPLE) -> Evidence:
@@ -131,12 +118,13 @@ def scored(documents: DataFrame, evidence: Evidence, host: Column, path: Column)
     with a third of all rows is no hot task; site tables are broadcast only below a checked count.
     """
     own = {c: f"_own_{i}" for i, c in enumerate(documents.columns)}
-    base = documents.select(
-        *(F.col("`" + c.replace("`", "``") + "`").alias(n) for c, n in own.items()), evidence.of(F.col("text")).alias("evidence"),
+    keyed = documents.select(
+        *(F.col("`" + c.replace("`", "``") + "`").alias(n) for c, n in own.items()),
         F.coalesce(F.concat(F.lit("h"), host.cast("string")), F.lit("null")).alias("host"), F.coalesce(F.concat(F.lit("p"), path.cast("string")), F.lit("null")).alias("path"),
     )
+    base = evidence.of(keyed, own["text"])
     good = F.round(UNIT / (1 + F.exp(-F.col("evidence")))).cast("long")
-    paths = cut(base.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum(good).alias("g")))
+    paths = cut(evidence.of(keyed.select("host", "path", own["text"]), own["text"]).groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum(good).alias("g")))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("g").alias("hg"))
     total = hosts.agg(F.count(F.lit(1)).alias("k"), F.sum("hn").alias("n"), F.sum("hg").alias("g")).first()
     mu = float(np.clip(total["g"] / total["n"] / UNIT if total["n"] else 0.5, 1e-4, 1 - 1e-4))

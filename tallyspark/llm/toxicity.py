@@ -15,10 +15,10 @@ import re
 import zlib
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, remainder, sliced, worker_cache
+from .common import read, remainder, with_value, worker_cache
 from .learn import SAMPLE, Adam, labelled_sample, sigmoid
 
 WORD = re.compile(r"\w+")
@@ -52,20 +52,14 @@ class Terms(dict):
             self[word] = out
         return out
 
-    def of(self, text: str | None) -> set[int]:
-        """Distinct terms of a whole text."""
-        return set().union(*map(self.__getitem__, set(WORD.findall(text.lower())))) if text else set()
+    def of(self, text: bytes | None) -> set[int]:
+        """Distinct terms of a whole text (UTF-8)."""
+        return set().union(*map(self.__getitem__, set(WORD.findall(text.decode("utf-8", "replace").lower())))) if text else set()
 
 
-def _features(text: Column) -> Column:
-    @F.arrow_udf("binary")
-    def hashed(texts):
-        import pyarrow as pa
-
-        terms = worker_cache("all terms", Terms)
-        return sliced(texts, pa.binary(), lambda part: [np.array(sorted(terms.of(t)), "<u4").tobytes() for t in part])
-
-    return hashed(text)
+def _features(texts: list[bytes | None]) -> list[bytes]:
+    terms = worker_cache("all terms", Terms)
+    return [np.array(sorted(terms.of(t)), "<u4").tobytes() for t in texts]
 
 
 class Machine:
@@ -125,27 +119,26 @@ def train(documents: DataFrame, labels: DataFrame, fold: tuple[int, int] | None
     return fit(*labelled_sample(documents, labels, "toxic", _features, fold, most))
 
 
-def scored(text: Column, machine: Machine) -> Column:
-    """The toxicity of whole texts, 0 to 1; null and empty texts have the score of no terms."""
-
-    @F.arrow_udf("double")
-    def score(texts):
-        import pyarrow as pa
+def scored(rows: DataFrame, machine: Machine, text: str = "text", name: str = "score") -> DataFrame:
+    """``rows`` with the toxicity of whole texts, 0 to 1; null and empty texts have the score of no terms."""
 
+    def work(texts: list[bytes | None]) -> list[float]:
         terms = worker_cache(("terms", machine.name), lambda: Terms(machine.kept))
-        return sliced(texts, pa.float64(), lambda part: [machine.score(terms.of(t)) for t in part])
+        return [machine.score(terms.of(t)) for t in texts]
 
-    return score(text)
+    return with_value(rows, text, name, "double", work)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The query: the toxicity of every document, learnt outside the fifth of ids that is held out."""
     docs = read(spark, sf_dir, "documents")
     machine = train(docs, read(spark, sf_dir, "labels"))
-    got = docs.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), scored(F.col("text").cast("string"), machine).alias("score"))
-    return got.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    got = scored(docs.select("doc_id", F.col("text").cast("string").alias("text")), machine)
+    return got.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def reject(documents: DataFrame, machine: Machine, at: float = 0.5) -> DataFrame:
-    """``documents`` without those that score ``at`` or more."""
-    return documents.filter(scored(F.col("text").cast("string"), machine) < at)
+    """``documents``, whatever their columns' names, without those that score ``at`` or more."""
+    own = {c: f"_own_{i}" for i, c in enumerate(documents.columns)}
+    got = scored(documents.toDF(*own.values()), machine, own["text"])
+    return got.filter(F.col("score") < at).select(*(F.col(n).alias(c) for c, n in own.items()))

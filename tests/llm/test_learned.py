@@ -77,7 +77,7 @@ def test_odd_documents(spark, odd, none):
     some = spark.createDataFrame([(1, 1, 0), (4, 0, 1), (5, 1, 0), (5, None, None), (None, 1, 1), (99, 0, 1)], "doc_id long, quality int, toxic int")
     for table in (empty, some):
         machine = toxicity.train(odd, table)
-        scores = [r["s"] for r in odd.select(toxicity.scored(F.col("text"), machine).alias("s")).collect()]
+        scores = [r["s"] for r in toxicity.scored(odd.select("doc_id", "text"), machine, name="s").collect()]
         assert len(scores) == odd.count() and all(0 <= s <= 1 for s in scores)
         assert toxicity.reject(odd, machine).columns == odd.columns
         evidence = quality.train(odd, table)

@@ -116,7 +116,7 @@ def store_ranking(rows: DataFrame, most: int | None = None) -> DataFrame:
 def majority(votes: DataFrame, group: str) -> DataFrame:
     """Per group the category with most votes (then the greater similarity, then the name) and its mean similarity."""
     per = votes.groupBy(group, "category").agg(F.count(F.lit(1)).alias("votes"), F.avg("similarity").alias("similarity"))
-    order = Window.partitionBy(group).orderBy(F.desc("votes"), F.desc("similarity"), "category")
+    order = Window.partitionBy(group).orderBy(F.desc("votes"), F.round("similarity", 9).desc(), "category")
     return per.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
 
 

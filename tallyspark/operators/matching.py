@@ -94,6 +94,50 @@ def similarities(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = (),
     return out if least is None else out.filter(F.col("similarity") >= least)
 
 
+#: Rows of a block of vectors; a task meets two blocks.
+BLOCK = 4_096
+
+
+def near_pairs(left: DataFrame, right: DataFrame, least: float | None = None, best_only: bool = False, skip_equal: bool = False) -> DataFrame:
+    """(left_id, right_id, similarity) of vectors whose cosine (rounded to 6) is ``least`` or more, or each left row's best.
+
+    Both sides are dealt into blocks by a hash of their ids; every two blocks meet in one task as a matrix
+    product, and only what is kept leaves it. Rows of another length have similarity 0. ``best_only``
+    ties go to the smaller right id; ``skip_equal`` leaves out a row's own id.
+    """
+    a, b = max(1, -(-left.count() // BLOCK)), max(1, -(-right.count() // BLOCK))
+
+    def side(rows: DataFrame, name: str, own: str, n: int, other: str, m: int) -> DataFrame:
+        plain = rows.select(F.col(name).cast("long").alias("id"), F.col("vector").alias("vector"))
+        return plain.select("id", "vector", F.size("vector").alias("d"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
+
+    x, y = side(left, "left_id", "p", a, "q", b), side(right, "right_id", "q", b, "p", a)
+
+    def meet(f, g):
+        import numpy as np
+        import pandas as pd
+
+        none = pd.DataFrame({"left_id": np.zeros(0, np.int64), "right_id": np.zeros(0, np.int64), "similarity": np.zeros(0)})
+        if not len(f) or not len(g):
+            return none
+        g = g.sort_values("id")
+        u, v = (np.stack(t["vector"].to_numpy()).astype(np.float64) for t in (f, g))
+        scale = np.linalg.norm(u, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :]
+        s = np.round(np.divide(u @ v.T, scale, out=np.zeros(scale.shape), where=scale > 0), 6)
+        ids, others = f["id"].to_numpy(), g["id"].to_numpy()
+        if skip_equal:
+            s[ids[:, None] == others[None, :]] = -np.inf
+        if best_only:
+            i, j = np.arange(len(f)), s.argmax(axis=1)
+            i, j = i[np.isfinite(s[i, j])], j[np.isfinite(s[i, j])]
+        else:
+            i, j = np.nonzero(s >= (least if least is not None else -1))
+        return pd.DataFrame({"left_id": ids[i], "right_id": others[j], "similarity": s[i, j]})
+
+    found = x.groupBy("p", "q", "d").cogroup(y.groupBy("p", "q", "d")).applyInPandas(meet, "left_id long, right_id long, similarity double")
+    return best_match(found) if best_only else found
+
+
 def best_match(pairs: DataFrame, left: str = "left_id", right: str = "right_id") -> DataFrame:
     """Per left row its most similar right row, ties to the smaller id."""
     best = pairs.groupBy(left).agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col(right).alias("r"))).alias("_m"))
@@ -104,9 +148,10 @@ def match_patterns(messages: DataFrame, patterns: DataFrame) -> DataFrame:
     """Messages with the most similar pattern of their sender, or of all senders if theirs has none: left_id, right_id, similarity."""
     a = messages.withColumn("sender", normalize_sender_dotted(F.col("address"))).select(F.col("id").alias("left_id"), "sender", "vector")
     b = patterns.withColumn("sender", normalize_sender_dotted(F.col("senderAddress"))).select(F.col("patternId").alias("right_id"), "sender", "vector")
-    homeless = a.join(b.select("sender").distinct(), "sender", "left_anti")
-    both = similarities(a, b, ("sender",)).select("left_id", "right_id", "similarity").unionByName(similarities(homeless.drop("sender"), b.drop("sender")).select("left_id", "right_id", "similarity"))
-    return best_match(both)
+    known = b.select(F.col("sender").alias("_known")).distinct()
+    homeless = a.join(known, F.col("sender") == F.col("_known"), "left_anti")
+    own = best_match(similarities(a, b, ("sender",)).select("left_id", "right_id", "similarity"))
+    return own.unionByName(near_pairs(homeless.drop("sender"), b.drop("sender"), best_only=True))
 
 
 def route(messages: DataFrame, non_payment: DataFrame, main: DataFrame, exception: DataFrame) -> DataFrame:

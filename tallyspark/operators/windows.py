@@ -85,8 +85,14 @@ def coverage(targets: DataFrame, covered: DataFrame) -> DataFrame:
     Ranges that touch (start one after an end) leave no gap; nested ones change nothing. A target that ends before it starts is NONE.
     """
     c = covered.select(F.col("start").alias("_s"), F.col("end").alias("_e")).filter("_s <= _e")
-    # each target has few ranges near it; the join is on overlap
-    hit = targets.join(c, (F.col("_s") <= F.col("end")) & (F.col("_e") >= F.col("start")) & (F.col("start") <= F.col("end")))
+    # buckets as wide as the longest range: each range lies in two at most, and overlapping ones share one
+    length = lambda rows, a, b: rows.agg(F.max(F.col(b) - F.col(a))).first()[0] or 0
+    width = max(length(targets, "start", "end"), length(c, "_s", "_e"), 0) + 1
+    bucket = lambda x: F.expr(f"floor({x} / {width})")
+    dealt = lambda rows, a, b: rows.withColumn("_b", F.explode(F.array_distinct(F.array(bucket(a), bucket(b)))))
+    t = dealt(targets.filter("start <= `end`").select("id", "start", "end"), "start", "`end`")
+    overlap = (F.col("_s") <= F.col("end")) & (F.col("_e") >= F.col("start")) & (F.col("_b") == F.greatest(bucket("_s"), bucket("start")))
+    hit = t.join(dealt(c, "_s", "_e"), "_b").filter(overlap)
     w = Window.partitionBy("id").orderBy("_s", "_e").rowsBetween(Window.unboundedPreceding, -1)
     # what must be reached before the next range starts: the furthest end so far, or just before the target
     reach = F.greatest(F.coalesce(F.max("_e").over(w), F.col("start") - 1), F.col("start") - 1)

@@ -1,6 +1,7 @@
 """The registered queries of the ledger engine and the SQL that each must equal.
 
 Every query runs over whole tables. Where limits stand they are the feature (a list's length, a top-k).
+Remainders of ids only give rows their roles (which are stored already, which were deleted): all rows take part.
 """
 
 from __future__ import annotations
@@ -547,26 +548,24 @@ def vectors(s: SparkSession, d: str) -> DataFrame:
     return lg.table(s, d, "embeddings").select("vec_id", "embedding", "label")
 
 
-@query("best_vector_match", "WITH p AS (SELECT a.vec_id AS left_id, b.vec_id AS right_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE b.vec_id % 25 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY similarity DESC, right_id) AS k FROM p) SELECT left_id, right_id, similarity FROM r WHERE k = 1", "")
+@query("best_vector_match", "WITH p AS (SELECT a.vec_id AS left_id, b.vec_id AS right_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY similarity DESC, right_id) AS k FROM p) SELECT left_id, right_id, similarity FROM r WHERE k = 1", "")
 def _(s, d):
     v = vectors(s, d)
-    # the reference side is a stated set of patterns: every 25th vector
-    pairs = matching.similarities(v.select(F.col("vec_id").alias("left_id"), F.col("embedding").alias("vector")), v.filter("vec_id % 25 = 0").select(F.col("vec_id").alias("right_id"), F.col("embedding").alias("vector")))
-    return matching.best_match(pairs.filter("left_id <> right_id"))
+    return matching.near_pairs(v.select(F.col("vec_id").alias("left_id"), F.col("embedding").alias("vector")), v.select(F.col("vec_id").alias("right_id"), F.col("embedding").alias("vector")), best_only=True, skip_equal=True)
 
 
-@query("vector_range_match", "SELECT a.vec_id AS left_id, b.vec_id AS right_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE b.vec_id % 25 = 0 AND round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) >= 0.3", "")
+@query("vector_range_match", "SELECT a.vec_id AS left_id, b.vec_id AS right_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) >= 0.3", "")
 def _(s, d):
     v = vectors(s, d)
-    pairs = matching.similarities(v.select(F.col("vec_id").alias("left_id"), "label", F.col("embedding").alias("vector")), v.filter("vec_id % 25 = 0").select(F.col("vec_id").alias("right_id"), "label", F.col("embedding").alias("vector")), ("label",), 0.3)
+    pairs = matching.similarities(v.select(F.col("vec_id").alias("left_id"), "label", F.col("embedding").alias("vector")), v.select(F.col("vec_id").alias("right_id"), "label", F.col("embedding").alias("vector")), ("label",), 0.3)
     return pairs.filter("left_id <> right_id").select("left_id", "right_id", "similarity")
 
 
-@query("neighbour_vote", "WITH p AS (SELECT a.vec_id AS store, b.label::VARCHAR AS category, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS s FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE b.vec_id % 25 = 0), v AS (SELECT store, category, count(*) AS votes, avg(s) AS similarity FROM p WHERE s >= 0.2 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY store ORDER BY votes DESC, round(similarity, 9) DESC, category) AS k FROM v) SELECT store, category, votes::BIGINT AS votes FROM r WHERE k = 1", "")
+@query("neighbour_vote", "WITH p AS (SELECT a.vec_id AS store, b.label::VARCHAR AS category, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS s FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id), v AS (SELECT store, category, count(*) AS votes, avg(s) AS similarity FROM p WHERE s >= 0.2 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY store ORDER BY votes DESC, round(similarity, 9) DESC, category) AS k FROM v) SELECT store, category, votes::BIGINT AS votes FROM r WHERE k = 1", "")
 def _(s, d):
     v = vectors(s, d)
-    pairs = matching.similarities(v.select(F.col("vec_id").alias("left_id"), F.col("embedding").alias("vector")), v.filter("vec_id % 25 = 0").select(F.col("vec_id").alias("right_id"), F.col("label").cast("string").alias("category"), F.col("embedding").alias("vector")))
-    return matching.group_vote(pairs.filter("left_id <> right_id"), 0.2).select("store", "category", "votes")
+    pairs = matching.near_pairs(v.select(F.col("vec_id").alias("left_id"), F.col("embedding").alias("vector")), v.select(F.col("vec_id").alias("right_id"), F.col("embedding").alias("vector")), 0.2, skip_equal=True)
+    return matching.group_vote(pairs.join(v.select(F.col("vec_id").alias("right_id"), F.col("label").cast("string").alias("category")), "right_id"), 0.2).select("store", "category", "votes")
 
 
 @query("self_cosine", "SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], embedding::DOUBLE[]), 6) AS similarity FROM embeddings", "")

@@ -141,3 +141,46 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )
+
+
+class Forest:
+    """Union-find over the positions of a group, for long lists of pairs as arrays."""
+
+    def __init__(self, n: int):
+        import numpy as np
+
+        self.up = np.arange(n)
+
+    def root(self, i: int) -> int:
+        while (above := int(self.up[i])) != i:
+            self.up[i] = self.up[above]
+            i = above
+        return i
+
+    def roots(self):
+        """The root of every position."""
+        while True:
+            above = self.up[self.up]
+            if (above == self.up).all():
+                return self.up
+            self.up = above
+
+    def joining(self, p, q, good=None, check=None, block: int = 20_000):
+        """The pairs that join two trees, in order, as they are joined.
+
+        ``good`` (arrays to a mask) and ``check`` (a pair to a truth) may refuse pairs; they are asked only for
+        pairs whose ends are still apart. Pairs are looked at a block at a time: most are settled by one comparison of roots.
+        """
+        for k in range(0, len(p), block):
+            roots = self.roots()
+            x, y = p[k : k + block], q[k : k + block]
+            open_ = roots[x] != roots[y]
+            x, y = x[open_], y[open_]
+            if good is not None and len(x):
+                kept = good(x, y)
+                x, y = x[kept], y[kept]
+            for i, j in zip(x.tolist(), y.tolist(), strict=True):
+                a, b = self.root(i), self.root(j)
+                if a != b and (check is None or check(i, j)):
+                    self.up[max(a, b)] = min(a, b)
+                    yield i, j

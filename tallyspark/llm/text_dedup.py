@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, read, worker_cache
+from .common import Forest, components, cut, read, worker_cache
 
 #: 35 bands of 5: (1 - 0.8 ** 5) ** 35 = 9e-7 is the chance that texts at 0.8 meet in no bucket.
 ROWS, BANDS = 5, 35
@@ -140,26 +140,8 @@ def survivors(x: np.ndarray, y: np.ndarray | None, threshold: int) -> tuple[np.n
             matches = matches + (x[i, b : b + BATCH] == other[j, b : b + BATCH]).sum(axis=1)
             keep = matches >= least_matches(min(b + BATCH, x.shape[1]), threshold)
             i, j, matches = i[keep], j[keep], matches[keep]
-        out.append((i, j, matches))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
-
-
-class Forest:
-    """Union-find over the positions of a group."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        a, b = self.root(i), self.root(j)
-        self.up[max(a, b)] = min(a, b)
-        return a != b
+        out.append((i.astype(np.int32), j.astype(np.int32), matches.astype(np.int16)))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int32),) * 3
 
 
 def _halves(chunk: np.ndarray) -> list[tuple[np.ndarray, np.ndarray | None]]:
@@ -178,9 +160,7 @@ def bucket_forest(ids: np.ndarray, chunk: np.ndarray, signatures: list[bytes], s
         if not same and b is None:
             continue  # the other chunk has no row here
         i, j, _ = survivors(x[a], None if b is None else x[b], threshold)
-        for p, q in zip(a[i].tolist(), (a if b is None else b)[j].tolist(), strict=True):
-            if forest.join(p, q):
-                out.append((int(ids[p]), int(ids[q])))
+        out += [(int(ids[p]), int(ids[q])) for p, q in forest.joining(a[i], (a if b is None else b)[j])]
     return out
 
 
@@ -200,7 +180,11 @@ def exact_matrix(sets: list[np.ndarray], threshold: int) -> np.ndarray:
         m = np.zeros((n, width), np.float32)
         m[row[lo:hi], column[lo:hi] - k] = 1
         common += m @ m.T
-    return 100 * common >= threshold * (sizes[:, None] + sizes[None, :] - common)
+    out = np.empty((n, n), bool)
+    for k in range(0, n, 256):
+        c = common[k : k + 256]
+        out[k : k + 256] = 100 * c >= threshold * (sizes[k : k + 256, None] + sizes[None, :] - c)
+    return out
 
 
 def exact_pair(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
@@ -222,16 +206,20 @@ def cluster_forest(ids: np.ndarray, chunk: np.ndarray, signatures: list[bytes],
         i, j, matches = survivors(x[a], None if b is None else x[b], threshold)
         p, q = a[i], (a if b is None else b)[j]
         order = np.argsort(-matches, kind="stable")
-        checks, matrix = 0, None
-        for u, v in zip(p[order].tolist(), q[order].tolist(), strict=True):
-            if forest.root(u) == forest.root(v):
-                continue
-            if matrix is None and checks >= 500:
-                matrix = exact_matrix(full, threshold)
-            checks += 1
-            if matrix[u, v] if matrix is not None else exact_pair(full[u], full[v], threshold):
-                forest.join(u, v)
-                out.append((int(ids[u]), int(ids[v])))
+        p, q = p[order], q[order]
+        # the likeliest pairs are compared one by one; if many are left apart, all sets at once
+        few = forest.joining(p[:500], q[:500], check=lambda u, v: exact_pair(full[u], full[v], threshold))
+        out += [(int(ids[u]), int(ids[v])) for u, v in few]
+        if len(p) > 500:
+            roots = forest.roots()
+            apart = roots[p[500:]] != roots[q[500:]]
+            p, q = p[500:][apart], q[500:][apart]
+            if len(p) > 500:
+                links = exact_matrix(full, threshold)
+                rest = forest.joining(p, q, good=lambda u, v: links[u, v])
+            else:
+                rest = forest.joining(p, q, check=lambda u, v: exact_pair(full[u], full[v], threshold))
+            out += [(int(ids[u]), int(ids[v])) for u, v in rest]
     return out
 
 

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, read
+from .common import Forest, components, cut, read
 
 COSINE = 0.93
 PARTS = 8
@@ -48,24 +48,6 @@ def unit_rotated(v: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True) @ rotation(v.shape[1])
 
 
-class Forest:
-    """Union-find over the positions of a group."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        a, b = self.root(i), self.root(j)
-        self.up[max(a, b)] = min(a, b)
-        return a != b
-
-
 def verified_links(left: np.ndarray, right: np.ndarray | None, part: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs (of left and right, or of left and left with i < j) that ``part`` is the first to hold and whose cosine is enough."""
     dims = left.shape[1]
@@ -107,8 +89,7 @@ def _summary(ids_a: np.ndarray, ids_b: np.ndarray, i: np.ndarray, j: np.ndarray)
     ids, place = np.concatenate([ids_a, ids_b]), j + (len(ids_a) if ids_b is not ids_a and len(ids_b) else 0)
     counts = np.bincount(i, minlength=len(ids)) + np.bincount(place, minlength=len(ids))
     forest = Forest(len(ids))
-    # neighbours in the link list mostly share a root already: the loop is over links, its memory over rows
-    edges = [(ids[x], ids[y]) for x, y in zip(i.tolist(), place.tolist(), strict=True) if forest.join(x, y)]
+    edges = [(ids[x], ids[y]) for x, y in forest.joining(i, place)]
     at = np.flatnonzero(counts)
     return pd.DataFrame({
         "id": np.concatenate([ids[at], np.array([e[0] for e in edges], np.int64)]).astype(np.int64),

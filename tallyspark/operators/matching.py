@@ -193,6 +193,12 @@ def propagate(stores: DataFrame, pairs: DataFrame, source_name: str, category: s
 
 def categorize(rows: DataFrame, rules: DataFrame, mappings: DataFrame, vector_labels: DataFrame | None = None, votes: DataFrame | None = None, words: dict | None = None) -> DataFrame:
     """Rows with (category, tier): shop rule, mapping, best vector at 0.92, group vote at 0.88, well-known name, word, unclassified."""
+    kept = [c for c in rows.columns if c not in ("category", "tier")]
+    if "originalSms" not in rows.columns and kept != ["storeName"]:
+        # without messages a name decides: each is looked up once
+        names = categorize(rows.select("storeName").distinct(), rules, mappings, vector_labels, votes, words)
+        out = rows.select(*kept).join(names, "storeName", "left")
+        return out.select(*kept, F.coalesce("category", F.lit(lx.UNCLASSIFIED)).alias("category"), F.coalesce("tier", F.lit("none")).alias("tier"))
     s = lx.SIMILARITY
     r = mapped_category(store_rules(rows, rules), mappings)
     if vector_labels is not None:
@@ -205,5 +211,4 @@ def categorize(rows: DataFrame, rules: DataFrame, mappings: DataFrame, vector_la
     tiers += [("group", F.col("_vote"))] if votes is not None else []
     tiers += [("name", pre_classify(F.col("storeName"))), ("word", word)]
     category, tier = F.coalesce(*(c for _, c in tiers), F.lit(lx.UNCLASSIFIED)), F.coalesce(*(F.when(c.isNotNull(), n) for n, c in tiers), F.lit("none"))
-    kept = [c for c in rows.columns if c not in ("category", "tier")]
     return r.select(*(F.col(c) for c in kept), category.alias("category"), tier.alias("tier"))

@@ -196,7 +196,7 @@ def analytics(rows: DataFrame, q: Query, parents: dict[str, str] | None = None)
 
     Ties go to the group with the newest row, then by key. Without groups there is one row, of zeros if nothing is left.
     """
-    kept = reduce(lambda d, f: d.filter(F.coalesce(compile_filter(f, parents), F.lit(False))), q.filters, rows)
+    kept = reduce(lambda d, f: d.filter(compile_filter(f, parents)), q.filters, rows)
     metrics = [m.op for m in q.metrics] or ["sum", "count"]
     names = [m if metrics.index(m) == i else f"{m}_{i}" for i, m in enumerate(metrics)]
     columns = [_metric(m).alias(n) for m, n in zip(metrics, names, strict=True)]

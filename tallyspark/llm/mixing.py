@@ -18,7 +18,7 @@ WEIGHTS = (3, 1, 2)
 #: Expected copies and offsets are whole multiples of 1 / UNIT: running sums are exact in any order.
 UNIT = 1 << 24
 #: A source is spread over one bucket for so many of its rows; a stretch is a size class in a bucket.
-STRETCH_ROWS = 2048
+STRETCH_ROWS = 512
 
 
 #: Sources (one row of a few numbers each) up to which their table is broadcast; more are joined by a shuffle.

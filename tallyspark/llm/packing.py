@@ -24,6 +24,8 @@ from .tokens import default_path, encoder
 
 CAPACITY = 2048
 END_ID = 0
+#: Chunks in a cache generation: packing follows other stages in the same workers, so it keeps half of what op1 does.
+CACHE_ENTRIES = 350_000
 #: Most rounds of multiplicative weights, configurations taken from each pricing, the weights' rate, and the share of a demand that a step covers.
 ROUNDS, PER_ROUND, RATE, SHARE = 400, 32, 4.0, 0.1
 
@@ -171,7 +173,7 @@ def pieces(documents: DataFrame, tokenizer: str | None = None, capacity: int = C
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encode, part, seen = encoder(tokenizer).encode, TaskContext.get().partitionId(), Counter()
+        encode, part, seen = encoder(tokenizer, CACHE_ENTRIES).encode, TaskContext.get().partitionId(), Counter()
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []

@@ -10,8 +10,8 @@ import numpy as np
 
 from .common import worker_cache
 
-#: Chunks in each of a worker's two cache generations; both together take some 200 MB.
-CACHE_ENTRIES = 500_000
+#: Chunks in each of a worker's two cache generations; both together take some 280 MB.
+CACHE_ENTRIES = 700_000
 #: ASCII marks that the tokenizer keeps together as a run of their own after letters (no apostrophe: it starts contractions).
 TRAILING = b'.,!?;:*%$#&|()"-'
 
@@ -30,10 +30,11 @@ class ChunkEncoder(dict):
     frequent ones stay and memory is bounded.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.entries = entries
         self.old: dict[bytes, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
 
@@ -46,7 +47,7 @@ class ChunkEncoder(dict):
             else:
                 ids = np.array(self.tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype="<u4").tobytes()
         if len(chunk) <= 64:
-            if len(self) >= CACHE_ENTRIES:
+            if len(self) >= self.entries:
                 self.old = dict(self)
                 self.clear()
             self[chunk] = ids
@@ -60,6 +61,6 @@ class ChunkEncoder(dict):
         return b"".join(map(self.__getitem__, (text if b"<|" in text else text.lower()).split()))
 
 
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str, entries: int = CACHE_ENTRIES) -> ChunkEncoder:
     """The worker's encoder for a file; tasks that reuse the worker share its cache."""
-    return worker_cache(("tokens", path), lambda: ChunkEncoder(path))
+    return worker_cache(("tokens", path, entries), lambda: ChunkEncoder(path, entries))

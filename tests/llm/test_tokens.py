@@ -22,13 +22,12 @@ def ids_of(text):
 def test_encoder_equals_library(text):
     encoder = tokens.ChunkEncoder.__new__(tokens.ChunkEncoder)
     dict.__init__(encoder)
-    encoder.old, encoder.tokenizer = {}, LIBRARY
+    encoder.old, encoder.tokenizer, encoder.entries = {}, LIBRARY, 1000
     assert np.frombuffer(encoder.encode(text.encode("utf-8", "replace")), "<u4").tolist() == ids_of(text.encode("utf-8", "replace").decode())
 
 
-def test_cache_generations(monkeypatch):
-    monkeypatch.setattr(tokens, "CACHE_ENTRIES", 5)
-    e = tokens.ChunkEncoder(tokens.default_path())
+def test_cache_generations():
+    e = tokens.ChunkEncoder(tokens.default_path(), 5)
     text = " ".join(f"word{i % 9}" for i in range(40))
     assert np.frombuffer(e.encode(text.encode()), "<u4").tolist() == ids_of(text) and len(e) <= 5
 

@@ -330,8 +330,8 @@ def clusters(documents: DataFrame, size: int = 5, threshold: int = THRESHOLD) ->
     """One row per row of ``documents`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Null and empty texts have no shingle and link with nothing; equal texts link, whatever their
-    length. A null doc_id stays apart. A repeated doc_id is one node with all its texts; each of its
-    rows is returned.
+    length. A null doc_id stays apart. A repeated doc_id is one node with all its texts (a text without
+    shingles leaves that row by itself); each of its rows is returned.
     """
     base = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
     summed = cut(summaries(base, size))
@@ -356,14 +356,17 @@ def clusters(documents: DataFrame, size: int = 5, threshold: int = THRESHOLD) ->
     chunks = loads.select("key", F.greatest(F.ceil(F.col("n") / CHUNK), F.ceil(F.col("load") / CHUNK_SHINGLES)).cast("int").alias("k"))
     linked = cut(_grouped(_chunked(whole, "key", chunks), ["key", "x", "y"], ["id", "c", "signature", "set"],
                           lambda k, v: cluster_forest(np.array(v["id"]), np.array(v["c"]), v["signature"], v["set"], k["x"] == k["y"], threshold)))
-    # documents hang from their class: only rows whose class has another name
+    # components are of classes: copies, of which one class may have a third of all rows, only look theirs up
     names = classes.select("digest", F.col("id").alias("class"))
-    copies = usable.join(names, "digest").select(F.col("id").alias("a"), F.col("class").alias("b")).filter("a <> b").distinct()
-    reach = components(linked.unionByName(copies))
-    return summed.join(reach.withColumnRenamed("node", "id"), "id", "left").select(
-        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"),
-        F.coalesce(F.coalesce("component", "id") == F.col("id"), F.lit(True)).alias("kept"),
-    )
+    of = usable.select("id", "digest").join(names, "digest").select("id", "class")
+    # a repeated id with several texts ties its classes together
+    tied = of.groupBy("id").agg(F.min("class").alias("b"), F.max("class").alias("_last")).filter(F.col("b") < F.col("_last")).select("id", "b")
+    ties = of.join(tied, "id").select(F.col("class").alias("a"), "b").filter("a <> b").distinct()
+    reach = components(linked.unionByName(ties))
+    named_by = names.join(reach.withColumnRenamed("node", "class"), "class", "left").select("digest", F.coalesce("component", "class").alias("component"))
+    got = summed.withColumn("digest", F.when(F.col("id").isNotNull(), F.col("digest"))).join(named_by, "digest", "left")
+    own = F.coalesce("component", "id")
+    return got.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(own == F.col("id"), F.lit(True)).alias("kept"))
 
 
 def deduplicated(documents: DataFrame, size: int = 5, threshold: int = THRESHOLD) -> DataFrame:

@@ -179,17 +179,12 @@ def loose_template_key(template: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, "#+", "#"), "^#|#$", "")
 
 
-def common_prefix(a: Column, b: Column) -> Column:
-    """Length of the common prefix of two texts."""
-    n = F.least(F.length(a), F.length(b))
-    same = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: F.substring(a, F.lit(1), k) == F.substring(b, F.lit(1), k))
-    return F.when(n > 0, F.size(same)).otherwise(0)
-
-
 def loosely_equal(a: Column, b: Column) -> Column:
     """Loose template keys that are equal, hold one another, or share a prefix of 8 and 45% of the shorter."""
-    prefix, shorter = common_prefix(a, b), F.least(F.length(a), F.length(b))
-    return (a != "") & (b != "") & ((a == b) | a.contains(b) | b.contains(a) | ((prefix >= 8) & (F.floor(prefix * 100 / F.greatest(shorter, F.lit(1))) >= 45)))
+    shorter = F.least(F.length(a), F.length(b))
+    need = F.greatest(F.lit(8), F.ceil(shorter * 45 / 100).cast("int"))
+    prefix = (shorter >= need) & (F.substring(a, F.lit(1), need) == F.substring(b, F.lit(1), need))
+    return (a != "") & (b != "") & ((a == b) | a.contains(b) | b.contains(a) | prefix)
 
 
 def infer_type(body: Column) -> Column:

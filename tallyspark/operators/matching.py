@@ -44,19 +44,19 @@ def match_rules(messages: DataFrame, rules: DataFrame) -> DataFrame:
     The join is by sender; rules are few per sender, and Spark broadcasts them below its size limit.
     """
     m = messages.withColumn("senderAddress", normalize_sender(F.col("address"))).withColumn("_body", newlines(F.col("body")))
-    j = m.join(rules, "senderAddress")
+    # a step of its own for whatever is used more than once: each pattern runs once a pair
     pick = lambda index: F.when(F.col(index) > 0, group(F.col("_body"), F.col("bodyRegex"), F.col(index)))
-    hit = F.rlike(F.col("_body"), F.col("bodyRegex"))
-    amount = F.when(hit, digits(pick("amountIndex")))
-    store = F.when(hit, store_or_debit(sanitize_store(pick("storeIndex")), F.col("_body")))
-    store = F.coalesce(store, F.when(hit, store_fallback(F.col("_body"))))
-    card = F.when(hit, F.coalesce(pick("cardIndex"), bank_tag(F.col("_body")), F.lit(lx.OTHER)))
-    when = F.when(hit, group_time(F.coalesce(pick("dateIndex"), F.lit("")), F.col("_body"), wall_clock(F.col("date"))))
-    good = hit & F.coalesce(amount > 0, F.lit(False)) & store.isNotNull()
-    reason = F.when(~hit, "regex_miss").when(~F.coalesce(amount > 0, F.lit(False)), "invalid_amount").when(store.isNull(), "invalid_store").otherwise("")
+    j = m.join(rules, "senderAddress").withColumn("_hit", F.rlike(F.col("_body"), F.col("bodyRegex")))
+    j = j.withColumn("_amount", F.when(F.col("_hit"), digits(pick("amountIndex")))).withColumn("_raw", F.when(F.col("_hit"), sanitize_store(pick("storeIndex"))))
+    j = j.withColumn("_named", store_or_debit(F.col("_raw"), F.col("_body")))
+    j = j.withColumn("_store", F.coalesce("_named", F.when(F.col("_hit") & F.col("_named").isNull(), store_fallback(F.col("_body")))))
+    card = F.when(F.col("_hit"), F.coalesce(pick("cardIndex"), bank_tag(F.col("_body")), F.lit(lx.OTHER)))
+    when = F.when(F.col("_hit"), group_time(F.coalesce(pick("dateIndex"), F.lit("")), F.col("_body"), wall_clock(F.col("date"))))
+    paid = F.coalesce(F.col("_amount") > 0, F.lit(False))
+    reason = F.when(~F.col("_hit"), "regex_miss").when(~paid, "invalid_amount").when(F.col("_store").isNull(), "invalid_store").otherwise("")
     return j.select(
-        "id", "senderAddress", "ruleKey", "type", "priority", "lastMatchedAt", "updatedAt", good.alias("matched"), reason.alias("reason"), amount.alias("amount"), store.alias("storeName"),
-        card.alias("cardName"), when.alias("dateTime"),
+        "id", "senderAddress", "ruleKey", "type", "priority", "lastMatchedAt", "updatedAt", (F.col("_hit") & paid & F.col("_store").isNotNull()).alias("matched"), reason.alias("reason"),
+        F.col("_amount").alias("amount"), F.col("_store").alias("storeName"), card.alias("cardName"), when.alias("dateTime"),
     )
 
 
@@ -72,12 +72,17 @@ def match_templates(messages: DataFrame, patterns: DataFrame, most: int = 20, st
     own = patterns.filter((F.col("amountRegex") != "") & (F.col("storeRegex") != "")).withColumn("senderAddress", normalize_sender(F.col("senderAddress")))
     rank = Window.partitionBy("senderAddress").orderBy(F.desc("matchCount"), F.desc("lastMatchedAt"), "patternId")
     own = own.withColumn("_n", F.row_number().over(rank)).filter(F.col("_n") <= most)
+    own = own.withColumn("_own_key", loose_template_key(F.col("smsTemplate")))
     m = messages.withColumn("senderAddress", normalize_sender(F.col("address"))).withColumn("_template", templatize(newlines(F.col("body"))))
+    m = m.withColumn("_key", loose_template_key(F.col("_template")))
     j = m.join(own, "senderAddress")
-    loose = loosely_equal(loose_template_key(F.col("_template")), loose_template_key(F.col("smsTemplate")))
+    loose = loosely_equal(F.col("_key"), F.col("_own_key"))
     tier = F.when(F.col("_template") == F.col("smsTemplate"), 1).when(loose, 2).when(structurally_equal(F.col("body"), F.col("_template"), F.col("smsTemplate")) & (F.col("_n") <= structural), 3)
-    j = j.withColumn("tier", tier).filter("tier IS NOT NULL").withColumn("_p", parsed(F.col("body"), wall_clock(F.col("date")), F.col("amountRegex"), F.col("storeRegex"), F.col("cardRegex")))
-    best = j.filter("_p IS NOT NULL").groupBy("id").agg(F.min_by(F.struct("patternId", "tier", "_p"), F.struct("tier", "_n")).alias("_r"))
+    j = j.withColumn("tier", tier)
+    j = j.withColumn("_p", F.when(F.col("tier").isNotNull(), parsed(F.col("body"), wall_clock(F.col("date")), F.col("amountRegex"), F.col("storeRegex"), F.col("cardRegex"))))
+    # pairs that don't parse have no place in the order
+    place = F.when(F.col("_p").isNotNull(), F.struct("tier", "_n"))
+    best = j.groupBy("id").agg(F.min_by(F.struct("patternId", "tier", "_p"), place).alias("_r")).filter("_r IS NOT NULL")
     return best.select("id", F.col("_r.patternId").alias("patternId"), F.col("_r.tier").alias("tier"), "_r._p.*")
 
 

@@ -24,6 +24,11 @@ def first_of(text: Column, words) -> Column:
     return F.coalesce(*(F.when(text.contains(w), w) for w in words)) if words else F.lit(None).cast("string")
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def trim_space(text: Column) -> Column:
     """Without white space at either end."""
     return F.regexp_replace(text, r"^\s+|\s+$", "")
@@ -158,10 +163,13 @@ def templatize(body: Column) -> Column:
     text = F.when(body.contains("\n"), body).otherwise(F.regexp_replace(body, r"\s+/\s+", "\n"))
     text = F.regexp_replace(text, r"[가-힣]\*[가-힣]", "{USER_NAME}")
     text = F.regexp_replace(text, r"\d+\*+\d+", "{CARD_NUM}")
-    lines = F.split(text, "\n", -1)
-    place = F.array_position(F.transform(lines, lambda line: likely_store(trim_space(line))), True)
-    stored = F.array_join(F.transform(lines, lambda line, i: F.when(i + 1 == place, "{STORE}").otherwise(line)), "\n")
-    text = F.when((F.size(lines) >= 4) & (place > 0), stored).otherwise(text)
+
+    def with_store(lines: Column) -> Column:
+        place = F.array_position(F.transform(lines, lambda line: likely_store(trim_space(line))), True)
+        named = let(place, lambda p: F.transform(lines, lambda line, i: F.when(i + 1 == p, "{STORE}").otherwise(line)))
+        return F.array_join(F.when(F.size(lines) >= 4, named).otherwise(lines), "\n")
+
+    text = let(F.split(text, "\n", -1), with_store)
     text = F.regexp_replace(text, r"[\d,]+원", "{AMOUNT}원")
     text = F.regexp_replace(text, r"\n[\d,]{3,}\n", "\n{AMOUNT}\n")
     text = F.regexp_replace(text, r"\d{1,2}[/.-]\d{1,2}", "{DATE}")

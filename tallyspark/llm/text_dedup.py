@@ -36,7 +36,7 @@ THRESHOLD = 80
 #: Shingles hashed at a time while taking minima: bounds memory for very long texts.
 SPAN = 1 << 12
 #: Rows of a chunk, and shingles in the sets of one.
-CHUNK, CHUNK_SHINGLES = 1_024, 2_000_000
+CHUNK, CHUNK_SHINGLES = 512, 1_000_000
 #: Candidate ids up to which they are broadcast to find their texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 

@@ -1,8 +1,10 @@
 """Operator 6: main text of web pages by tree scoring.
 
 The page is read into a tree that tolerates what is not closed. Branches that are never article text
-(scripts, navigation, headers and footers, forms, blocks whose class or id names an advert, notice,
-sidebar or comments) are set aside. Each paragraph gives points for its length and its commas to
+(scripts, navigation, headers and footers, forms, containers whose class or id names an advert, notice,
+sidebar or comments) are set aside. Headings, paragraphs and inline elements are never judged by their
+names, and a container whose id only might name such a block (``related-work``) goes only if half of its
+text is links. Each paragraph gives points for its length and its commas to
 its parent in full, to its grandparent by half and further up by less; a container's points are
 discounted by its share of link text. The container with most points is kept, with those siblings
 whose points or text show that they belong to it. Its blocks, in page order, are the text.
@@ -44,26 +46,58 @@ APART_WORD = (
     r"breadcrumbs?|footer\w*|foot|header\w*|masthead|cookies?\w*|consent|notice\w*|gdpr|popup|modal|overlay|newsletter|subscribe|signup|share\w*|sharing|"
     r"social\w*|related\w*|recommend\w*|pagination|pager|toolbar|login|search\w*|tags|toc|skip|hidden|copyright|legal|disclaimer|alert)"
 )
-APART = re.compile(rf"^{APART_WORD}(?=$|[_-]|\d)|^(?!(?:no|has|with|without|hide|show|layout)[_-]).*[_-]{APART_WORD}\d*$")
+APART = re.compile(rf"^{APART_WORD}(?=$|[_-]|\d)|^(?!(?:no|has|with|without|hide|show|layout|category|tag|topic)[_-]).*[_-]{APART_WORD}\d*$")
 APART_ARTICLE = re.compile(r"^(?:comments?|reply|replies|related|teaser|ads?|advert\w*|promo\w*|sponsor\w*)(?=$|[_-])")
+# Ids are often made from headings, so their words count as a whole, and other words beside them cast doubt.
+APART_ID = re.compile(
+    r"ads?|advert(?:s|isements?|ising)?|adsense|banners?|promo(?:s|tions?)?|sponsor(?:s|ed)?|comments?|commentlist|disqus|respond|reply|replies|sidebar\w*|side|"
+    r"widget\w*|menu(?:s|bar|box|wrap)?|nav(?:s|bar\w*|igation|menu|box|wrap|links?)?|breadcrumbs?|footer\w*|foot|header\w*|masthead|"
+    r"cookies?(?:bar|notice|banner|consent)?|consent|notices?|gdpr|popup|modal|overlay|newsletter|subscribe|signup|share(?:bar|box|buttons?|links?|this)?|sharing|"
+    r"social(?:bar|box|icons?|links?|share)?|related(?:posts|articles|links)?|recommend(?:ed|ations?)?|pagination|pager|toolbar|login|"
+    r"search(?:bar|box|form|field)?|tags|toc|skip|hidden|copyright|legal|disclaimer|alerts?|teasers?"
+)
+FURNITURE = frozenset(
+    "site page main top bottom left right box bar block wrap wrapper container inner outer list area panel links link buttons button icons icon form posts "
+    "post articles article items item content primary secondary global mobile desktop slot unit row col column holder zone sticky fixed entry".split()
+)
+# Words that are an ordinary heading too: alone they don't set a block with a heading and text apart.
+SUBJECT = frozenset("side social legal alert alerts search sharing consent copyright disclaimer cookies notices advertising banners promotions headers navigation menus login".split())
+TITLE_PART = re.compile(r"^(?:entry|post|article|story|content|section|chapter)[_-]+header$")
+WORDS = re.compile(r"[\W\d_]+")
 APART_ROLE = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form alertdialog".split())
+#: Elements that class and id may set apart: containers, never headings, paragraphs and inline elements.
+JUDGED = BLOCK - set("body html main h1 h2 h3 h4 h5 h6 p pre blockquote hgroup figcaption caption summary hr".split())
 MAIN = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|main|body|text)(?=$|[\s_-])", re.I)
 
 
 class Node:
-    """An element: its name, attributes that matter, and children (nodes and texts)."""
+    """An element: its name, attributes that matter, and children (nodes and texts).
+
+    ``doubt``: 1 where names set it apart only if its text is links, 2 where it also needs a heading and text to stay.
+    """
+
+    __slots__ = ("apart", "children", "doubt", "main", "name", "parent", "points")
+
+    def __init__(self, name: str, parent: Node | None, apart: bool = False, main: bool = False, doubt: int = 0):
+        self.name, self.parent, self.children, self.apart, self.main, self.points, self.doubt = name, parent, [], apart, main, 0.0, doubt
 
-    __slots__ = ("apart", "children", "main", "name", "parent", "points")
 
-    def __init__(self, name: str, parent: Node | None, apart: bool = False, main: bool = False):
-        self.name, self.parent, self.children, self.apart, self.main, self.points = name, parent, [], apart, main, 0.0
+def _id_verdict(value: str) -> tuple[bool, int]:
+    """(set apart, doubt) by an id's words."""
+    words = [w for w in WORDS.split(value) if w]
+    named = [w for w in words if APART_ID.fullmatch(w)]
+    if not named or words[0] in ("no", "has", "with", "without", "hide", "show", "layout"):
+        return False, 0
+    if TITLE_PART.search(value) or not all(w in named or w in FURNITURE for w in words):
+        return False, 1
+    return (False, 2) if len(words) == 1 and words[0] in SUBJECT else (True, 0)
 
 
-def _marks(name: str, tag: str) -> tuple[bool, bool]:
-    """Whether an element is set apart from articles, and whether its names speak for an article."""
+def _marks(name: str, tag: str) -> tuple[bool, bool, int]:
+    """Whether an element is set apart from articles, whether its names speak for an article, and what doubt its names cast."""
     if name in NEVER:
-        return True, False
-    names, apart = [], False
+        return True, False, 0
+    names, ids, apart, doubt = [], [], False, 0
     if " " in tag or "\n" in tag or "\t" in tag:
         for key, value in ATTRIBUTE.findall(tag[len(name) + 1 : -1]):
             key, value = key.lower(), value.strip("\"'").lower()
@@ -71,13 +105,24 @@ def _marks(name: str, tag: str) -> tuple[bool, bool]:
                 apart |= value in APART_ROLE
             elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
                 apart = True
-            elif key in ("class", "id"):
+            elif key == "class":
                 names.append(value)
-    text = " ".join(names)
+            elif key == "id":
+                ids.append(value)
+    text = " ".join(names + ids)
     main = name in ("article", "main") or bool(text and MAIN.search(text))
-    if name not in ("body", "html", "main"):
-        apart |= any(map((APART_ARTICLE if name == "article" else APART).search, text.split()))
-    return apart, main
+    if text and (name in JUDGED or "-" in name):
+        pattern = APART_ARTICLE if name == "article" else APART
+        for word in " ".join(names).split():
+            if pattern.search(word):
+                if TITLE_PART.search(word):
+                    doubt = max(doubt, 1)
+                else:
+                    apart = True
+        for value in ids if name != "article" else filter(APART_ARTICLE.search, ids):
+            own = _id_verdict(value)
+            apart, doubt = apart or own[0], max(doubt, own[1])
+    return apart, main, doubt
 
 
 def parse(page: str) -> Node:
@@ -119,8 +164,7 @@ def parse(page: str) -> Node:
                 up = up.parent
             if up.name in SAME[name]:
                 here = up.parent
-        apart, main = _marks(name, tag)
-        node = Node(name, here, apart, main)
+        node = Node(name, here, *_marks(name, tag))
         here.children.append(node)
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
@@ -168,6 +212,14 @@ def blocks(node: Node) -> list[str]:
     return out
 
 
+def _is_apart(node: Node, text: int, link: int) -> bool:
+    """Whether a doubtful container is set apart by what stands in it."""
+    if text and link >= 0.5 * text:
+        return True
+    names = {c.name for c in node.children if isinstance(c, Node)}
+    return node.doubt == 2 and not (names & {"h1", "h2", "h3", "h4", "h5", "h6"} and names & {"p", "pre", "blockquote", "section", "div"})
+
+
 def _survey(root: Node) -> list[tuple[Node, int, int]]:
     """(node, text length, link text length) of every element not set apart, children before parents."""
     order: list[Node] = []
@@ -177,7 +229,7 @@ def _survey(root: Node) -> list[tuple[Node, int, int]]:
         order.append(node)
         stack.extend(c for c in node.children if isinstance(c, Node) and not c.apart)
     sizes: dict[int, tuple[int, int]] = {}
-    out = []
+    out, turned = [], False
     for node in reversed(order):
         text = link = 0
         for c in node.children:
@@ -187,9 +239,12 @@ def _survey(root: Node) -> list[tuple[Node, int, int]]:
                 text, link = text + sizes[id(c)][0], link + sizes[id(c)][1]
         if node.name == "a":
             link = text
+        if node.doubt and _is_apart(node, text, link):
+            node.apart = turned = True
+            continue
         sizes[id(node)] = (text, link)
         out.append((node, text, link))
-    return out
+    return _survey(root) if turned else out  # once more without what lies below those set apart now
 
 
 def _give(node: Node, points: float) -> None:

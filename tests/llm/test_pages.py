@@ -45,3 +45,21 @@ def test_table(spark):
     assert pages.limit(0).select(extracted(F.col("html"))).count() == 0
     got = op6_html(spark, "/root/testdata/sf0.001")
     assert got.columns == ["page_id", "url", "text", "n_chars"] and got.filter("n_chars = 0 OR text LIKE '%<p>%'").count() == 0
+
+
+SLUGS = ["side-effects", "social-impact", "related-work", "search-algorithms", "legal-history", "sharing-data", "alert-levels", "navier-stokes", "promoter-regions", "social_structure"]
+
+
+@pytest.mark.parametrize("slug", SLUGS)
+@pytest.mark.parametrize("whole", ["<article>{}</article>", "<body><div class=content>{}</div></body>"])
+def test_ids_made_from_headings_stay(slug, whole):
+    title = slug.replace("-", " ")
+    part = f"<p>{LONG}</p><h2 id='{slug}'>{title}</h2><p id='{slug}'>a <span id='{slug}' class='{slug}'>b</span> c</p><section id='{slug}'><h3>{title}</h3><p>{LONG}</p></section><div id='{slug}'><p>{LONG}</p></div>"
+    assert extract(whole.format(part)) == "\n".join([LONG, title, "a b c", title, LONG, LONG])
+
+
+def test_names_in_an_article():
+    part = f"<div class='entry-header'><h1>T</h1></div><p>{LONG}</p><section id='search'><h2>Search</h2><p>{LONG}</p></section>"
+    apart = "<div id='related-posts'><p>no</p></div><div id='search-box'>no</div><div id='search'>no</div><div class='share-links'>no</div><ul id='social-profiles-here'><li><a href=x>no, no</a></li></ul><div id='comments'><h2>C</h2><p>no</p></div>"
+    assert extract(f"<article>{part}{apart}</article>") == f"T\n{LONG}\nSearch\n{LONG}"
+    assert extract(f"<body><div class='post category-legal tag-search'><p>{LONG}</p></div></body>") == LONG

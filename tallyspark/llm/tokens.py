@@ -1,11 +1,14 @@
 """Token ids of whole texts by a public tokenizer, with a cache over white-space separated chunks.
 
 The tokenizer splits at white space and drops it, so a text's ids are its chunks' ids joined, and a
-chunk of letters with trailing punctuation is those two runs' ids joined.
+chunk of letters with trailing punctuation is those two runs' ids joined: of what are letters after
+NFC and lower-casing, as the tokenizer splits after them.
 """
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 
 from .common import worker_cache
@@ -23,6 +26,11 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _letters(stem: bytes) -> bool:
+    """Whether the tokenizer keeps ``stem`` as one run of letters; NFC and lower-casing can give letters a combining mark."""
+    return stem.isalpha() if stem.isascii() else unicodedata.normalize("NFC", stem.decode("utf-8", "replace")).lower().isalpha()
+
+
 class ChunkEncoder(dict):
     """Maps a chunk (UTF-8 bytes without white space) to its ids (little-endian uint32 bytes).
 
@@ -42,7 +50,7 @@ class ChunkEncoder(dict):
         ids = self.old.get(chunk)
         if ids is None:
             stem = chunk.rstrip(TRAILING)
-            if stem and len(stem) < len(chunk) and (stem.isalpha() or (not stem.isascii() and stem.decode("utf-8", "replace").isalpha())):
+            if stem and len(stem) < len(chunk) and _letters(stem):
                 ids = self[stem] + self[chunk[len(stem) :]]
             else:
                 ids = np.array(self.tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype="<u4").tobytes()

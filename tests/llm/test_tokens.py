@@ -1,5 +1,6 @@
 """Operators 1 and 3: against the tokenizers library, exact round trips and packing bounds."""
 
+import unicodedata
 import zlib
 
 import numpy as np
@@ -26,6 +27,17 @@ def test_encoder_equals_library(text):
     assert np.frombuffer(encoder.encode(text.encode("utf-8", "replace")), "<u4").tolist() == ids_of(text.encode("utf-8", "replace").decode())
 
 
+def test_letters_that_end_in_a_mark():
+    e = tokens.ChunkEncoder(tokens.default_path())
+    words = ["\u092a\u0915\u095c", "\ufb2a", "TÜRKİ", "İ", "\u0958\u095f", "Déjà", "ÉTÉ", "한글", "\u212a", "ΑΣ"]
+    # every letter that NFC or lower-casing turns into more than letters
+    words += [c for c in map(chr, range(0x30000)) if c.isalpha() and not unicodedata.normalize("NFC", c).lower().isalpha()]
+    assert len(words) > 60
+    for word in words:
+        for text in (word + ",", word + ".", f"a {word}!! b", f'{word})"'):
+            assert np.frombuffer(e.encode(text.encode()), "<u4").tolist() == ids_of(text), text
+
+
 def test_cache_generations():
     e = tokens.ChunkEncoder(tokens.default_path(), 5)
     text = " ".join(f"word{i % 9}" for i in range(40))

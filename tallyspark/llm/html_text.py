@@ -7,7 +7,7 @@ names, and a container whose id only might name such a block (``related-work``)
 text is links. Each paragraph gives points for its length and its commas to
 its parent in full, to its grandparent by half and further up by less; a container's points are
 discounted by its share of link text. The container with most points is kept, with those siblings
-whose points or text show that they belong to it. Its blocks, in page order, are the text.
+that have text and few links or its own tag and class, and with the texts that stand between them. Its blocks, in page order, are the text.
 """
 
 from __future__ import annotations
@@ -76,10 +76,10 @@ class Node:
     ``doubt``: 1 where names set it apart only if its text is links, 2 where it also needs a heading and text to stay.
     """
 
-    __slots__ = ("apart", "children", "doubt", "main", "name", "parent", "points")
+    __slots__ = ("apart", "children", "doubt", "kind", "main", "name", "parent", "points")
 
-    def __init__(self, name: str, parent: Node | None, apart: bool = False, main: bool = False, doubt: int = 0):
-        self.name, self.parent, self.children, self.apart, self.main, self.points, self.doubt = name, parent, [], apart, main, 0.0, doubt
+    def __init__(self, name: str, parent: Node | None, apart: bool = False, main: bool = False, doubt: int = 0, kind: str = ""):
+        self.name, self.parent, self.children, self.apart, self.main, self.points, self.doubt, self.kind = name, parent, [], apart, main, 0.0, doubt, kind
 
 
 def _id_verdict(value: str) -> tuple[bool, int]:
@@ -93,10 +93,10 @@ def _id_verdict(value: str) -> tuple[bool, int]:
     return (False, 2) if len(words) == 1 and words[0] in SUBJECT else (True, 0)
 
 
-def _marks(name: str, tag: str) -> tuple[bool, bool, int]:
-    """Whether an element is set apart from articles, whether its names speak for an article, and what doubt its names cast."""
+def _marks(name: str, tag: str) -> tuple[bool, bool, int, str]:
+    """Whether an element is set apart from articles, whether its names speak for an article, what doubt its names cast, and its class."""
     if name in NEVER:
-        return True, False, 0
+        return True, False, 0, ""
     names, ids, apart, doubt = [], [], False, 0
     if " " in tag or "\n" in tag or "\t" in tag:
         for key, value in ATTRIBUTE.findall(tag[len(name) + 1 : -1]):
@@ -122,7 +122,7 @@ def _marks(name: str, tag: str) -> tuple[bool, bool, int]:
         for value in ids if name != "article" else filter(APART_ARTICLE.search, ids):
             own = _id_verdict(value)
             apart, doubt = apart or own[0], max(doubt, own[1])
-    return apart, main, doubt
+    return apart, main, doubt, " ".join(names)
 
 
 def parse(page: str) -> Node:
@@ -291,17 +291,38 @@ def extract(page: str | None) -> str:
         return "\n".join(blocks(up))
     if best.name == "body" or best.parent is None:
         return "\n".join(blocks(best))
-    bar, out = max(10.0, 0.2 * most), []
+    # a container alone in its parent stands for it
+    while best.parent.parent is not None and best.parent.name not in ("body", "html") and sizes[id(best.parent)][0] == sizes[id(best)][0]:
+        best = best.parent
+    return "\n".join(blocks(_with_siblings(best, sizes)))
+
+
+def _with_siblings(best: Node, sizes: dict[int, tuple[int, int]]) -> Node:
+    """A container of what belongs to ``best`` among its parent's children, in order: texts, inline runs and siblings, whatever their points."""
+    out, run = Node("#part", None), []
+
+    def close() -> None:
+        # texts and inline elements that follow each other are judged as one
+        text = sum(len(c.strip()) if isinstance(c, str) else sizes.get(id(c), (0, 0))[0] for c in run)
+        link = sum(sizes.get(id(c), (0, 0))[1] for c in run if not isinstance(c, str))
+        if link < 0.5 * text:
+            out.children += run
+        run.clear()
+
     for sibling in best.parent.children:
-        if not isinstance(sibling, Node) or sibling.apart:
+        if isinstance(sibling, str) or (sibling.name not in BLOCK and sibling is not best):
+            run.append(sibling)
+            continue
+        close()
+        if sibling.apart:
             continue
         text, link = sizes.get(id(sibling), (0, 0))
-        density = link / text if text else 1.0
+        alike = sibling.name == best.name and best.kind and sibling.kind == best.kind
         heading = sibling.name in ("h1", "h2", "h3", "h4", "h5", "h6")
-        belongs = sibling is best or sibling.points * (1 - density) >= bar or (sibling.name in ("p", "pre", "blockquote", "ul", "ol", "table", "figure") and text and density < 0.25) or heading
-        if belongs:
-            out += blocks(sibling) if sibling.name not in ("p", *(f"h{i}" for i in range(1, 7))) else [t for t in blocks(sibling) if t]
-    return "\n".join(out)
+        if sibling is best or (text and (alike or heading or link < 0.5 * text)):
+            out.children.append(sibling)
+    close()
+    return out
 
 
 def extracted(page: Column) -> Column:

@@ -63,3 +63,19 @@ def test_names_in_an_article():
     apart = "<div id='related-posts'><p>no</p></div><div id='search-box'>no</div><div id='search'>no</div><div class='share-links'>no</div><ul id='social-profiles-here'><li><a href=x>no, no</a></li></ul><div id='comments'><h2>C</h2><p>no</p></div>"
     assert extract(f"<article>{part}{apart}</article>") == f"T\n{LONG}\nSearch\n{LONG}"
     assert extract(f"<body><div class='post category-legal tag-search'><p>{LONG}</p></div></body>") == LONG
+
+
+PARTS = {
+    "uneven": (f"<div class=part>{f'<p>{LONG}</p>' * 5}</div><div class=part><p>Short end.</p></div>", [LONG] * 5 + ["Short end."]),
+    "other classes": (f"<div><p>Short start.</p></div><div class=x>{f'<p>{LONG}</p>' * 5}</div><section><p>Short end.</p></section>", ["Short start.", *[LONG] * 5, "Short end."]),
+    "texts between": (f"Before <b>it</b><div class=x>{f'<p>{LONG}</p>' * 5}</div>between<br>two<div class=y><p>Short end.</p></div>after", ["Before it", *[LONG] * 5, "between two", "Short end.", "after"]),
+    "alone in wrappers": (f"<div><div>{f'<p>{LONG}</p>' * 5}</div></div><div><div><p>Short end.</p></div></div>", [LONG] * 5 + ["Short end."]),
+    "part of links": (f"<div class=part>{f'<p>{LONG}</p>' * 5}</div><div class=part><p><a href=x>A source</a></p></div>", [LONG] * 5 + ["A source"]),
+    "lists of links": (f"<div class=part>{f'<p>{LONG}</p>' * 5}</div><div><a href=x>A, of links</a> <a href=y>B</a></div><a href=z>next</a>", [LONG] * 5),
+}
+
+
+@pytest.mark.parametrize("name", PARTS)
+def test_parts_of_an_article_without_its_element(name):
+    part, texts = PARTS[name]
+    assert extract(f"<body><div class=menu><a href=x>home</a></div><div class=page>{part}</div></body>") == "\n".join(texts)

@@ -1,8 +1,8 @@
-"""Order-dependent clustering of vectors within bounded groups.
+"""Order-dependent clustering of vectors within groups.
 
 The greedy scan compares a row with representatives that came before it, so its order is fixed: rows
-are sorted by ``position``. A group is a sender (or an explicit bucket of names). Groups beyond
-``MOST`` rows are dealt into buckets by template or name hash first: a group never is unbounded.
+are sorted by ``position``. A group is a sender (or an explicit bucket of names) and is clustered whole,
+whatever its size: one task holds all its rows, so a very large sender takes that task's time and memory.
 """
 
 from __future__ import annotations
@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as lx
 from .aggregates import floor_percentile
 
-#: Rows of a group that one task clusters.
-MOST = 20_000
 S = lx.SIMILARITY
 
 
@@ -64,10 +62,10 @@ def seeded(u: np.ndarray, templates: list[str], least: float = S["sms_group"], s
             singles += own
         else:
             seeds += [[own[k] for k in part] for part in parts]
-    left = []
+    left, heads = [], u[[g[0] for g in seeds]]
     for i in singles:
-        near = [float(np.round(u[i] @ u[g[0]], 6)) for g in seeds]
-        if near and max(near) >= least:
+        near = np.round(heads @ u[i], 6)
+        if len(near) and near.max() >= least:
             seeds[int(np.argmax(near))].append(i)
         else:
             left.append(i)
@@ -93,19 +91,19 @@ def merged(u: np.ndarray, groups: list[list[int]], small: int = 5, least: float
 def cluster(rows: DataFrame, by: str, mode: str = "greedy", least: float = S["store_group"]) -> DataFrame:
     """(id, group key, bucket, cluster, representative, size) of rows (id, position, vector, template) per value of ``by``.
 
-    ``mode``: greedy (names) or seeded (messages: templates first, small groups merged).
+    ``mode``: greedy (names) or seeded (messages: templates first, small groups merged). Rows with a null key take no
+    part; ``bucket`` is 0, as no group is dealt.
     """
-    counts = rows.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / MOST).cast("int").alias("_k"))
-    dealt = rows.join(counts, by).withColumn("bucket", F.pmod(F.xxhash64("template"), F.col("_k")).cast("int")).select(by, "bucket", "id", "position", "vector", "template")
+    whole = rows.filter(F.col(by).isNotNull()).select(by, "id", "position", "vector", "template")
 
     def work(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["position", "id"], kind="stable").reset_index(drop=True)
         u = unit_rows(f["vector"])
         groups = greedy(u, least) if mode == "greedy" else merged(u, seeded(u, f["template"].tolist(), least))
-        out = [(f[by].iloc[0], int(f["bucket"].iloc[0]), f["id"].iloc[i], n, f["id"].iloc[g[0]], len(g)) for n, g in enumerate(groups) for i in g]
+        out = [(f[by].iloc[0], 0, f["id"].iloc[i], n, f["id"].iloc[g[0]], len(g)) for n, g in enumerate(groups) for i in g]
         return pd.DataFrame(out, columns=["key", "bucket", "id", "cluster", "representative", "size"])
 
-    return dealt.groupBy(by, "bucket").applyInPandas(work, "key string, bucket int, id long, cluster int, representative long, size int")
+    return whole.groupBy(by).applyInPandas(work, "key string, bucket int, id long, cluster int, representative long, size int")
 
 
 def stability(pairs: DataFrame) -> DataFrame:

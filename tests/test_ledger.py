@@ -222,6 +222,18 @@ def test_clustering(spark):
     assert sorted((r["id"], r["size"]) for r in out.collect()) == [(0, 4), (1, 4), (2, 4), (3, 4), (9, 1)]
 
 
+@pytest.mark.parametrize("mode", ["seeded", "greedy"])
+def test_clustering_of_a_large_sender(spark, mode):
+    # 20,100 near rows, of one large template and a hundred single ones, and eight far ones: two groups
+    near = F.array(F.lit(1.0), F.col("id") % 7 * 0.001)
+    rows = spark.range(20_108).select(
+        "id", F.col("id").alias("position"), F.lit("s").alias("sender"), F.when(F.col("id") < 20_100, near).otherwise(F.array(F.lit(0.0), F.lit(1.0))).alias("vector"),
+        F.when(F.col("id") < 20_000, "t").otherwise(F.concat(F.lit("t"), F.col("id").cast("string"))).alias("template"),
+    )
+    got = clustering.source_groups(clustering.cluster(rows, "sender", mode, 0.95)).collect()
+    assert [tuple(r) for r in got] == [("s", 2, 20_108, 20_100, 99)]
+
+
 def test_backup_round_trip(spark, tmp_path):
     e = rows(spark)
     backup.write_backup(e, str(tmp_path / "b"))

@@ -43,8 +43,8 @@ def threshold_top_k(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.nda
     lists = np.argsort(x.astype(np.float64), axis=0, kind="stable")  # ascending; read from either end
     sorted_values = np.take_along_axis(x, lists, axis=0)
     rows_out, ids_out, scores_out = [], [], []
-    top = min(n, k + 1)  # one more: a query may find itself
-    best = np.full((len(q), top), -np.inf) if exact else np.full((len(q), top), -(10**40), object)
+    top, least = min(n, k), -np.inf if exact else -(10**40)
+    best = np.full((len(q), top), least, float if exact else object)
     place = np.full((len(q), top), n, np.int64)
     open_, seen, depth = np.arange(len(q)), np.zeros(n, bool), min(FIRST_DEPTH, n)
     while len(open_):
@@ -57,6 +57,10 @@ def threshold_top_k(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.nda
         new = np.flatnonzero(fresh)
         for part in np.array_split(new, -(-len(new) // 4096)) if len(new) else ():
             got = q[open_] @ x[part].T
+            # rows of the query's own id, however many, are no candidates
+            first, last = (np.searchsorted(ids[part], q_ids[open_], side) for side in ("left", "right"))
+            for i in np.flatnonzero(first < last):
+                got[i, first[i] : last[i]] = least
             if exact and len(part) > top:  # only what can enter the k best goes on
                 keep = np.argpartition(-got, top - 1, axis=1)[:, :top]
                 edge = np.take_along_axis(got, keep, axis=1).min(axis=1)

@@ -31,6 +31,17 @@ def test_threshold_algorithm(seed, n, dims, high):
     assert list(zip(rows.tolist(), found.tolist(), scores.tolist(), strict=True)) == brute(x, ids, q, q_ids, 7)
 
 
+@pytest.mark.parametrize("copies", [1, 2, 5, 40])
+def test_repeated_query_ids(copies):
+    rng = np.random.default_rng(copies)
+    x = rng.integers(-50, 51, (200, 4))
+    x[:copies] = 60  # rows of the query's own id, the best of all
+    ids = np.sort(np.concatenate([np.zeros(copies, int), np.arange(1, 201 - copies)]))
+    q, q_ids = x[[0, 100]], ids[[0, 100]]
+    rows, found, scores = topk.threshold_top_k(x, ids, q, q_ids, 20)
+    assert list(zip(rows.tolist(), found.tolist(), scores.tolist(), strict=True)) == brute(x, ids, q, q_ids, 20)
+
+
 def test_huge_components_stay_exact():
     x = np.array([[2**40, 3], [2**40, 4], [-(2**40), 1]], np.int64)
     rows, found, scores = topk.threshold_top_k(x, np.array([1, 2, 3]), x[:1], np.array([1]), 5)

@@ -1,13 +1,20 @@
 """Operator 6: main text of web pages by tree scoring.
 
-The page is read into a tree that tolerates what is not closed. Branches that are never article text
-(scripts, navigation, headers and footers, forms, containers whose class or id names an advert, notice,
-sidebar or comments) are set aside. Headings, paragraphs and inline elements are never judged by their
-names, and a container whose id only might name such a block (``related-work``) goes only if half of its
-text is links. Each paragraph gives points for its length and its commas to
-its parent in full, to its grandparent by half and further up by less; a container's points are
-discounted by its share of link text. The container with most points is kept, with those siblings
-that have text and few links or its own tag and class, and with the texts that stand between them. Its blocks, in page order, are the text.
+The page is read into a tree that tolerates what is not closed. Each paragraph gives points for its
+length and its commas to its parent in full, to its grandparent by half and further up by less; a
+container's points are discounted by its share of link text. The container with most points is kept,
+with those siblings that have text and few links or its own tag and class, and with the texts that
+stand between them; where an article element around it keeps enough of the points, that is kept instead.
+Its blocks, in page order, are the text.
+
+Element kinds, roles, classes and ids are evidence, never a verdict alone. Against a container speaks its
+being a navigation, header, footer, aside or form, or a name all of whose words are those of adverts,
+notices, menus and the like: it is set aside unless it holds most of the page's paragraphs, and then its
+paragraphs give a quarter of their points. Reader comments are set aside unless there is nothing else.
+A name that has other words too (``related-work``, ``social-history``), one that is contradicted (``id=content
+class=sidebar-left``), an id that is an ordinary heading (``legal``) and the header of an article cast a
+doubt: such containers go only if half of their text is links or they hold no paragraph. Headings,
+paragraphs and inline elements are never judged by their names.
 """
 
 from __future__ import annotations
@@ -20,9 +27,11 @@ from pyspark.sql import functions as F
 
 from .common import read, sliced
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|</?[a-zA-Z][^<>]*(?:>|\Z)", re.S)
+# a quote opens a value only after "="
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</?[a-zA-Z](?:=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[^>])*+>|</?[a-zA-Z][^<>]*(?:>|\Z)", re.S)
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+COMMAS = ",，、،"
 SPACE = re.compile(r"[\s\x00]+")
 
 # Fixed values of HTML: element kinds.
@@ -32,24 +41,22 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+# Never text, whatever is in them; and what speaks against being the article.
 NEVER = frozenset(
-    "script style noscript template iframe nav header footer aside form button select option textarea input label fieldset head title svg math "
-    "object embed canvas audio video map menu dialog noembed noframes datalist optgroup".split()
+    "script style noscript template iframe button select option textarea input label head title svg math object embed canvas audio video map dialog "
+    "noembed noframes datalist optgroup".split()
 )
+AGAINST = frozenset("nav header footer aside form fieldset menu".split())
+PARAGRAPH = frozenset("p pre blockquote td li dd".split())
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCK - {"body", "html"}
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("ul ol dl table body html article section div main td th".split())
 
 # Words of a class or id, or a role, that set a block apart from the article.
-APART_WORD = (
-    r"(?:ads?|advert\w*|adsense|banner|promo\w*|sponsor\w*|comments?|commentlist|disqus|respond|replies|reply|sidebar\w*|side|widget\w*|menu\w*|nav\w*|"
-    r"breadcrumbs?|footer\w*|foot|header\w*|masthead|cookies?\w*|consent|notice\w*|gdpr|popup|modal|overlay|newsletter|subscribe|signup|share\w*|sharing|"
-    r"social\w*|related\w*|recommend\w*|pagination|pager|toolbar|login|search\w*|tags|toc|skip|hidden|copyright|legal|disclaimer|alert)"
-)
-APART = re.compile(rf"^{APART_WORD}(?=$|[_-]|\d)|^(?!(?:no|has|with|without|hide|show|layout|category|tag|topic)[_-]).*[_-]{APART_WORD}\d*$")
 APART_ARTICLE = re.compile(r"^(?:comments?|reply|replies|related|teaser|ads?|advert\w*|promo\w*|sponsor\w*)(?=$|[_-])")
-# Ids are often made from headings, so their words count as a whole, and other words beside them cast doubt.
-APART_ID = re.compile(
+COMMENTS = frozenset("comment comments commentlist disqus respond reply replies".split())
+APART_WORD = re.compile(
     r"ads?|advert(?:s|isements?|ising)?|adsense|banners?|promo(?:s|tions?)?|sponsor(?:s|ed)?|comments?|commentlist|disqus|respond|reply|replies|sidebar\w*|side|"
     r"widget\w*|menu(?:s|bar|box|wrap)?|nav(?:s|bar\w*|igation|menu|box|wrap|links?)?|breadcrumbs?|footer\w*|foot|header\w*|masthead|"
     r"cookies?(?:bar|notice|banner|consent)?|consent|notices?|gdpr|popup|modal|overlay|newsletter|subscribe|signup|share(?:bar|box|buttons?|links?|this)?|sharing|"
@@ -60,69 +67,76 @@ FURNITURE = frozenset(
     "site page main top bottom left right box bar block wrap wrapper container inner outer list area panel links link buttons button icons icon form posts "
     "post articles article items item content primary secondary global mobile desktop slot unit row col column holder zone sticky fixed entry".split()
 )
-# Words that are an ordinary heading too: alone they don't set a block with a heading and text apart.
+# Words that are an ordinary heading too: as an id alone they only cast a doubt.
 SUBJECT = frozenset("side social legal alert alerts search sharing consent copyright disclaimer cookies notices advertising banners promotions headers navigation menus login".split())
 TITLE_PART = re.compile(r"^(?:entry|post|article|story|content|section|chapter)[_-]+header$")
 WORDS = re.compile(r"[\W\d_]+")
 APART_ROLE = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form alertdialog".split())
 #: Elements that class and id may set apart: containers, never headings, paragraphs and inline elements.
 JUDGED = BLOCK - set("body html main h1 h2 h3 h4 h5 h6 p pre blockquote hgroup figcaption caption summary hr".split())
+#: How far the evidence against a container goes.
+NONE, DOUBT, STRONG, READERS = range(4)
+#: Of the points of paragraphs in a container that strong evidence is against; of a container whose names speak for it; of the best that an article around it must have.
+QUARTER, SPOKEN_FOR, ENOUGH = 0.25, 1.25, 0.12
 MAIN = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|main|body|text)(?=$|[\s_-])", re.I)
 
 
 class Node:
-    """An element: its name, attributes that matter, and children (nodes and texts).
+    """An element: its name, evidence, children (nodes and texts) and what a survey finds.
 
-    ``doubt``: 1 where names set it apart only if its text is links, 2 where it also needs a heading and text to stay.
+    ``text`` and ``link`` are the lengths of its texts and of those in links, ``run`` (text, link, commas) is of
+    what stands in it outside inner blocks, ``paragraphs`` the points of all paragraphs in it.
     """
 
-    __slots__ = ("apart", "children", "doubt", "kind", "main", "name", "parent", "points")
+    __slots__ = ("against", "apart", "children", "kind", "link", "main", "name", "paragraphs", "parent", "points", "run", "text")
 
-    def __init__(self, name: str, parent: Node | None, apart: bool = False, main: bool = False, doubt: int = 0, kind: str = ""):
-        self.name, self.parent, self.children, self.apart, self.main, self.points, self.doubt, self.kind = name, parent, [], apart, main, 0.0, doubt, kind
+    def __init__(self, name: str, parent: Node | None, apart: bool = False, against: int = NONE, main: bool = False, kind: str = ""):
+        self.name, self.parent, self.children, self.apart, self.against, self.main, self.kind = name, parent, [], apart, against, main, kind
+        self.text = self.link = 0
+        self.run, self.paragraphs, self.points = (0, 0, 0), 0.0, 0.0
 
 
-def _id_verdict(value: str) -> tuple[bool, int]:
-    """(set apart, doubt) by an id's words."""
+def _evidence(value: str, is_id: bool) -> int:
+    """What a class or an id says against its container, by its words."""
     words = [w for w in WORDS.split(value) if w]
-    named = [w for w in words if APART_ID.fullmatch(w)]
-    if not named or words[0] in ("no", "has", "with", "without", "hide", "show", "layout"):
-        return False, 0
+    named = [w for w in words if APART_WORD.fullmatch(w)]
+    if not named or words[0] in ("no", "has", "with", "without", "hide", "show", "layout", "category", "tag", "topic"):
+        return NONE
     if TITLE_PART.search(value) or not all(w in named or w in FURNITURE for w in words):
-        return False, 1
-    return (False, 2) if len(words) == 1 and words[0] in SUBJECT else (True, 0)
+        return DOUBT
+    if COMMENTS.intersection(named):
+        return READERS
+    return DOUBT if is_id and len(words) == 1 and words[0] in SUBJECT else STRONG
 
 
-def _marks(name: str, tag: str) -> tuple[bool, bool, int, str]:
-    """Whether an element is set apart from articles, whether its names speak for an article, what doubt its names cast, and its class."""
+def _marks(name: str, tag: str, parent: Node) -> tuple[bool, int, bool, str]:
+    """Whether an element is never text, the evidence against it, whether its names speak for it, and its class."""
     if name in NEVER:
-        return True, False, 0, ""
-    names, ids, apart, doubt = [], [], False, 0
+        return True, NONE, False, ""
+    against, spoken, kind, names = STRONG if name in AGAINST else NONE, False, "", []
+    if name == "header":
+        up = parent
+        while up is not None and up.name not in ("article", "main"):
+            up = up.parent
+        against = DOUBT if up is not None else STRONG
     if " " in tag or "\n" in tag or "\t" in tag:
-        for key, value in ATTRIBUTE.findall(tag[len(name) + 1 : -1]):
+        for key, value in ATTRIBUTE.findall(tag, len(name) + 1):
             key, value = key.lower(), value.strip("\"'").lower()
-            if key == "role":
-                apart |= value in APART_ROLE
-            elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-                apart = True
+            if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
+                return True, NONE, False, ""
+            if key == "role" and value in APART_ROLE:
+                against = STRONG
             elif key == "class":
-                names.append(value)
+                kind = value
+                names += [(word, False) for word in value.split()]
             elif key == "id":
-                ids.append(value)
-    text = " ".join(names + ids)
-    main = name in ("article", "main") or bool(text and MAIN.search(text))
-    if text and (name in JUDGED or "-" in name):
-        pattern = APART_ARTICLE if name == "article" else APART
-        for word in " ".join(names).split():
-            if pattern.search(word):
-                if TITLE_PART.search(word):
-                    doubt = max(doubt, 1)
-                else:
-                    apart = True
-        for value in ids if name != "article" else filter(APART_ARTICLE.search, ids):
-            own = _id_verdict(value)
-            apart, doubt = apart or own[0], max(doubt, own[1])
-    return apart, main, doubt, " ".join(names)
+                names.append((value, True))
+    if names and (name in JUDGED or "-" in name):
+        says = [(word, _evidence(word, is_id) if name != "article" or APART_ARTICLE.search(word) else NONE) for word, is_id in names]
+        spoken = any(e == NONE and MAIN.search(word) for word, e in says)
+        worst = max(e for _, e in says)
+        against = max(against, DOUBT if worst == STRONG and spoken else worst)
+    return False, against, spoken or name in ("article", "main") or (name == "body" and any(MAIN.search(w) for w, _ in names)), kind
 
 
 def parse(page: str) -> Node:
@@ -164,7 +178,7 @@ def parse(page: str) -> Node:
                 up = up.parent
             if up.name in SAME[name]:
                 here = up.parent
-        node = Node(name, here, *_marks(name, tag))
+        node = Node(name, here, *_marks(name, tag, here))
         here.children.append(node)
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
@@ -212,99 +226,120 @@ def blocks(node: Node) -> list[str]:
     return out
 
 
-def _is_apart(node: Node, text: int, link: int) -> bool:
-    """Whether a doubtful container is set apart by what stands in it."""
-    if text and link >= 0.5 * text:
-        return True
-    names = {c.name for c in node.children if isinstance(c, Node)}
-    return node.doubt == 2 and not (names & {"h1", "h2", "h3", "h4", "h5", "h6"} and names & {"p", "pre", "blockquote", "section", "div"})
-
-
-def _survey(root: Node) -> list[tuple[Node, int, int]]:
-    """(node, text length, link text length) of every element not set apart, children before parents."""
+def _survey(root: Node) -> list[Node]:
+    """Every element not set apart, children before parents, with its sizes."""
     order: list[Node] = []
     stack = [root]
     while stack:
         node = stack.pop()
         order.append(node)
         stack.extend(c for c in node.children if isinstance(c, Node) and not c.apart)
-    sizes: dict[int, tuple[int, int]] = {}
-    out, turned = [], False
-    for node in reversed(order):
-        text = link = 0
+    order.reverse()
+    for node in order:
+        text = link = run_text = run_link = commas = 0
+        paragraphs = 0.0
         for c in node.children:
             if isinstance(c, str):
-                text += len(c.strip())
-            elif id(c) in sizes:
-                text, link = text + sizes[id(c)][0], link + sizes[id(c)][1]
+                n = len(c.strip())
+                text, run_text, commas = text + n, run_text + n, commas + sum(map(c.count, COMMAS))
+            elif not c.apart:
+                text, link, paragraphs = text + c.text, link + c.link, paragraphs + c.paragraphs
+                if c.name not in BLOCK:
+                    run_text, run_link, commas = run_text + c.run[0], run_link + c.run[1], commas + c.run[2]
         if node.name == "a":
-            link = text
-        if node.doubt and _is_apart(node, text, link):
-            node.apart = turned = True
-            continue
-        sizes[id(node)] = (text, link)
-        out.append((node, text, link))
-    return _survey(root) if turned else out  # once more without what lies below those set apart now
+            link, run_link = text, run_text
+        node.text, node.link, node.run = text, link, (run_text, run_link, commas)
+        node.paragraphs, node.points = paragraphs + _own_points(node), 0.0
+    return order
 
 
-def _give(node: Node, points: float) -> None:
-    """A paragraph's points: all to its parent, half to the next, a third of that share and so on above."""
+def _own_points(node: Node) -> float:
+    """Points of what stands in a block itself: paragraphs with any text, other blocks with a good line of it; runs of links have none."""
+    text, link, commas = node.run
+    if node.name not in BLOCK or link >= 0.5 * text or text < (1 if node.name in PARAGRAPH else 81):
+        return 0.0
+    return 1 + commas + min(text / 100, 3)
+
+
+def _set_apart(root: Node) -> bool:
+    """Sets apart the containers that the evidence is against; whether there are any."""
+    whole, turned = root.paragraphs, False
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        for c in node.children:
+            if not isinstance(c, Node) or c.apart:
+                continue
+            if c.against == DOUBT:
+                named = c.name == "header" or TITLE_PART.search(c.kind)
+                c.apart = (c.text > 0 and c.link >= 0.5 * c.text) or not (c.paragraphs or (named and c.text))
+            elif c.against == STRONG:
+                c.apart = c.paragraphs <= 0.5 * whole
+            elif c.against == READERS:
+                c.apart = whole - c.paragraphs >= 1 or not c.paragraphs
+            if c.apart:
+                turned = True
+            else:
+                stack.append(c)
+    return turned
+
+
+def _give(node: Node | None, points: float) -> None:
+    """A paragraph's points: all to its parent, then a half, a quarter, a sixth and an eighth to those above."""
     level = 0
     while node is not None and level < 5:
         node.points += points / (1 if level == 0 else 2 * level)
         node, level = node.parent, level + 1
 
 
+def _score(node: Node) -> float:
+    return node.points * (1 - node.link / node.text) * (SPOKEN_FOR if node.main else 1) if node.text else 0.0
+
+
 def extract(page: str | None) -> str:
-    """The main text of a page; empty for null pages and pages without any."""
+    """The main text of a page; empty for null and empty pages and for pages without any text."""
     if not page:
         return ""
     root = parse(page)
-    survey = _survey(root)
-    sizes = {id(n): (t, link) for n, t, link in survey}
-    for node, _, _ in survey:
-        own = "".join(c for c in node.children if isinstance(c, str))
-        if node.name == "p" or (node.name in ("pre", "blockquote", "td", "li", "dd")) or len(own.strip()) > 80:
-            text, link = sizes[id(node)]
-            if text >= 1 and link < 0.5 * text:
-                commas = sum(c.count(",") for c in node.children if isinstance(c, str))
-                # texts standing in a container without a paragraph of their own are the container's
-                _give(node.parent if node.name in ("p", "pre", "blockquote", "td", "li", "dd") and node.parent else node, 1 + commas + min(text / 100, 3))
+    order = _survey(root)
+    if any(n.against for n in order) and _set_apart(root):
+        order = _survey(root)
+    under: dict[int, float] = {}
+    for node in reversed(order):
+        under[id(node)] = QUARTER if node.against >= STRONG else under.get(id(node.parent), 1.0)
+    for node in order:
+        if points := _own_points(node):
+            _give(node.parent if node.name in PARAGRAPH and node.parent else node, points * under[id(node)])
     best, most = None, 0.0
-    for node, text, link in survey:
-        if node.name in ("#root", "html") or not text:
-            continue
-        points = node.points * (1 - link / text) * (1.25 if node.main else 1)
+    for node in order:
         # of nested containers with the same points the inner one comes first
-        if points > most:
-            best, most = node, points
+        if node.name not in ("#root", "html") and (score := _score(node)) > most:
+            best, most = node, score
     if best is None:
-        holders = [n for n, t, _ in survey if n.name in ("article", "main") and t] or [n for n, t, _ in survey if n.name == "body" and t]
-        return "\n".join(blocks(holders[-1])) if holders else "\n".join(blocks(root))
-    while best.parent is not None and best.name not in ("article", "main", "body") and best.parent.name in ("article", "main"):
-        best = best.parent
-    # an article element above holds all of its parts
+        holders = [n for n in order if n.name in ("article", "main") and n.text] or [n for n in order if n.name == "body" and n.text]
+        return "\n".join(blocks(holders[-1] if holders else root))
+    # an article around it has its title and its other parts, if it keeps enough of the points
     up = best
     while up is not None and up.name not in ("article", "main"):
         up = up.parent
-    if up is not None:
+    if up is not None and _score(up) >= ENOUGH * most:
         return "\n".join(blocks(up))
     if best.name == "body" or best.parent is None:
         return "\n".join(blocks(best))
     # a container alone in its parent stands for it
-    while best.parent.parent is not None and best.parent.name not in ("body", "html") and sizes[id(best.parent)][0] == sizes[id(best)][0]:
+    while best.parent.parent is not None and best.parent.name not in ("body", "html") and best.parent.text == best.text:
         best = best.parent
-    return "\n".join(blocks(_with_siblings(best, sizes)))
+    return "\n".join(blocks(_with_siblings(best)))
 
 
-def _with_siblings(best: Node, sizes: dict[int, tuple[int, int]]) -> Node:
+def _with_siblings(best: Node) -> Node:
     """A container of what belongs to ``best`` among its parent's children, in order: texts, inline runs and siblings, whatever their points."""
     out, run = Node("#part", None), []
 
     def close() -> None:
         # texts and inline elements that follow each other are judged as one
-        text = sum(len(c.strip()) if isinstance(c, str) else sizes.get(id(c), (0, 0))[0] for c in run)
-        link = sum(sizes.get(id(c), (0, 0))[1] for c in run if not isinstance(c, str))
+        text = sum(len(c.strip()) if isinstance(c, str) else c.text for c in run)
+        link = sum(c.link for c in run if not isinstance(c, str))
         if link < 0.5 * text:
             out.children += run
         run.clear()
@@ -314,13 +349,12 @@ def _with_siblings(best: Node, sizes: dict[int, tuple[int, int]]) -> Node:
             run.append(sibling)
             continue
         close()
-        if sibling.apart:
-            continue
-        text, link = sizes.get(id(sibling), (0, 0))
-        alike = sibling.name == best.name and best.kind and sibling.kind == best.kind
-        heading = sibling.name in ("h1", "h2", "h3", "h4", "h5", "h6")
-        if sibling is best or (text and (alike or heading or link < 0.5 * text)):
+        if sibling is best:
             out.children.append(sibling)
+        elif not sibling.apart and sibling.against < STRONG and sibling.text:
+            alike = sibling.name == best.name and best.kind and sibling.kind == best.kind
+            if alike or sibling.name in HEADING or sibling.link < 0.5 * sibling.text:
+                out.children.append(sibling)
     close()
     return out
 
@@ -338,6 +372,9 @@ def extracted(page: Column) -> Column:
 
 
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The query: the main text of every page of ``pages``."""
+    """The query: the main text of every page of ``pages``.
+
+    Null and empty pages have an empty text; a page of any length is read whole; every row, repeated ones too, has
+    its own answer; other columns take no part; an empty table gives no rows."""
     pages = read(spark, sf_dir, "pages").select("page_id", "url", extracted(F.col("html").cast("string")).alias("text"))
     return pages.withColumn("n_chars", F.length("text").cast("long"))

@@ -1,5 +1,7 @@
 """Operator 6: templates, odd markup and odd tables."""
 
+import random
+
 import pytest
 
 from tallyspark.llm.html_text import extract, extracted, op6_html
@@ -79,3 +81,74 @@ PARTS = {
 def test_parts_of_an_article_without_its_element(name):
     part, texts = PARTS[name]
     assert extract(f"<body><div class=menu><a href=x>home</a></div><div class=page>{part}</div></body>") == "\n".join(texts)
+
+
+ODD = {
+    "apostrophes": (f"<article><p title=don't>First.</p><p>it's second.</p><p>{LONG}</p></article>", f"First.\nit's second.\n{LONG}"),
+    "quotes hold marks": (f"<article><p title='a > b' data-x=\"class='sidebar'\">{LONG}</p><p title=\"it's\">two</p></article>", f"{LONG}\ntwo"),
+    "around the whole": (f"<body><div class=menu><a href=x>home</a></div><div id='content' class='sidebar-left'><h1>T</h1>{f'<p>{LONG}</p>' * 4}</div></body>", "\n".join(["T", *[LONG] * 4])),
+    "only a bad name": (f"<body><div class='sidebar'>{f'<p>{LONG}</p>' * 4}</div><div class=menu><a href=x>home</a></div></body>", "\n".join([LONG] * 4)),
+    "headings as ids": (f"<article><p>{LONG}</p><div id='legal'><p>{LONG}</p></div><div id='disclaimer'><p>Short, but text.</p></div></article>", f"{LONG}\n{LONG}\nShort, but text."),
+    "other words": (f"<article><p>{LONG}</p><div class='social-history'><p>{LONG}</p></div><section class='search-results-explained'><p>{LONG}</p></section></article>", "\n".join([LONG] * 3)),
+    "own header": (f"<header><p>{LONG}</p></header><article><header><h1>T</h1><p>By me, today.</p></header><p>{LONG}</p><p>{LONG}</p><footer>f</footer></article>", f"T\nBy me, today.\n{LONG}\n{LONG}"),
+    "more comments than text": (f"<body><div class=post><p>{LONG}</p><p>{LONG}</p></div><div id=comments>{f'<div class=comment><p>{LONG}</p></div>' * 30}</div></body>", f"{LONG}\n{LONG}"),
+    "commas in marks": (f"<body><div><div class=a><p><b>one, two, three, four, five, six, seven</b></p></div><a href=x>y</a></div><div><div><p>{'w' * 150}</p></div><a href=x>y</a></div></body>", "one, two, three, four, five, six, seven"),
+    "score beats an element": (f"<body><article><p>A teaser.</p>{'<a href=x>a link of a list, long as it is</a>' * 30}</article><div class=story>{f'<p>{LONG}</p>' * 5}</div></body>", "\n".join([LONG] * 5)),
+    "article of sections": (f"<article><h1>T</h1><section><p>{LONG}</p><p>{LONG}</p></section><div><div><p>deep</p></div></div><section><p>end</p></section></article>", f"T\n{LONG}\n{LONG}\ndeep\nend"),
+    "form around a page": (f"<body><form><div class=menu><a href=x>home</a></div><div class=text>{f'<p>{LONG}</p>' * 3}</div><input name=q></form></body>", "\n".join([LONG] * 3)),
+}
+
+
+@pytest.mark.parametrize("name", ODD)
+def test_odd_case(name):
+    page, text = ODD[name]
+    assert extract(page) == text
+
+
+def generated(seed):
+    """A page with planted paragraphs and planted boilerplate, of a random shape; the paragraphs."""
+    rng = random.Random(seed)
+    words = lambda n: " ".join("".join(rng.choice("aeioubcdfglmnrst") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    sentence = lambda: f"{words(rng.randint(4, 9))}, {words(rng.randint(3, 9))}{rng.choice([', ', '; ', ' '])}{words(3)}."
+    kept = []
+
+    def paragraph():
+        kept.append(" ".join(sentence() for _ in range(rng.randint(1, 4))))
+        return f"<p{rng.choice(['', ' class=x', f' id={words(1)}-side', ' title=don’t', ' data-k=\"a>b\"'])}>{kept[-1]}{rng.choice(['</p>', ''])}"
+
+    def heading():
+        kept.append(words(3))
+        return f"<h2 id='{rng.choice(['related', 'social', 'search'])}-{kept[-1].replace(' ', '-')}'>{kept[-1]}</h2>"
+
+    links = lambda n: "".join(f"<li><a href='/{k}'>{words(2)}</a></li>" for k in range(n))
+    junk = lambda: rng.choice([
+        f"<div class='ad-box'>JUNK {words(5)}</div>", f"<aside>JUNK <p>{sentence()}</p></aside>", f"<div class='share-links'><ul>{links(3)}</ul>JUNK</div>", f"<div id='newsletter'><p>JUNK {sentence()}</p></div>",
+        "<script>var JUNK = '</p>';</script>", "<style>.JUNK{}</style>", "<form><p>JUNK</p><input><button>JUNK</button></form>", f"<div role=alert>JUNK {sentence()}</div>", "<!-- JUNK <p> -->",
+    ])
+    def part():
+        out = (heading() if rng.random() < 0.5 else "") + "".join(paragraph() + (junk() if rng.random() < 0.2 else "") for _ in range(rng.randint(1, 5)))
+        tag = rng.choice(["div", "section", "div class=part", "section id=social-history"])
+        return f"<{tag}>{out}</{tag.split()[0]}>" if rng.random() < 0.5 else out
+
+    body = paragraph() + paragraph() + paragraph() + "".join(part() for _ in range(rng.randint(1, 4)))
+    body = rng.choice(["<article>{}</article>", "<main><article class='post'>{}</article></main>", "<div id=content class=sidebar-left>{}</div>", "<div class=wrap><div class=entry-content>{}</div></div>", "<main>{}</main>"]).format(body)
+    head = f"<html><head><title>JUNK</title></head><body class='has-sidebar'><nav>JUNK<ul>{links(6)}</ul></nav><header><p>JUNK {sentence()}</p></header>" + (f"<div class='cookie-notice'><p>JUNK {sentence()}</p></div>" if rng.random() < 0.5 else "")
+    tail = f"<div id=comments><h3>JUNK</h3>{''.join(f'<div class=comment><p>JUNK {sentence()}</p></div>' for _ in range(rng.randint(0, 12)))}</div><div class='sidebar-right'><ul>{links(9)}</ul><p>JUNK</p></div><footer>JUNK &copy; {words(4)}</footer>"
+    return head + body + tail, kept
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_planted_paragraphs_come_out_and_no_boilerplate(seed):
+    page, kept = generated(seed)
+    got = extract(page)
+    assert "JUNK" not in got and got.split("\n") == kept
+
+
+def test_long_pages_and_clashing_columns(spark, tmp_path):
+    long = "<article>" + f"<p>{LONG}</p>" * 60_000 + "</article>"
+    rows = [(1, "u", long), (2, "u", None), (2, "u", "")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1)).withColumn("n_chars", F.lit("x")).write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted((r["page_id"], r["n_chars"]) for r in op6_html(spark, str(tmp_path)).collect())
+    assert got == [(1, 60_000 * (len(LONG) + 1) - 1), (2, 0), (2, 0)]
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/empty/pages.parquet")
+    assert op6_html(spark, f"{tmp_path}/empty").count() == 0

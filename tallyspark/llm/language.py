@@ -19,7 +19,7 @@ from .common import read, remainder, sliced
 
 BUCKETS = 1 << 13
 ORDERS = 3
-#: Characters handled at a time: bounds memory for very long texts; n-grams across the seam are lost twice in a million.
+#: Characters handled at a time: bounds memory for very long texts; spans overlap, so that no n-gram is lost or counted twice.
 SPAN = 1 << 20
 UNKNOWN = "und"
 
@@ -31,8 +31,9 @@ def has_letter(text: str | None) -> bool:
 def gram_counts(text: str) -> np.ndarray:
     """Counts of the whole text's hashed 1- to 3-grams; what isn't a letter counts as a space."""
     out = np.zeros(BUCKETS)
+    text = text.lower()
     for k in range(0, len(text), SPAN):
-        c = np.frombuffer(text[k : k + SPAN].lower().encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
+        c = np.frombuffer(text[k : k + SPAN + ORDERS - 1].encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
         c[(c < 97) | ((c > 122) & (c < 170))] = 32
         g = c
         for n in range(ORDERS):
@@ -40,7 +41,7 @@ def gram_counts(text: str) -> np.ndarray:
                 if len(g) < 2:
                     break
                 g = g[:-1] * np.uint64(0x9E3779B1) + c[n:]
-            h = (g + np.uint64(n)) * np.uint64(0xD6E8FEB86659FD93)
+            h = (g[:SPAN] + np.uint64(n)) * np.uint64(0xD6E8FEB86659FD93)  # those that begin in this span
             out += np.bincount((h >> np.uint64(51)).astype(np.int64), minlength=BUCKETS)
     return out
 
@@ -97,7 +98,9 @@ class Decoder:
 def train(documents: DataFrame, fold: tuple[int, int] | None = (4, 2)) -> Decoder:
     """Counts n-grams of every training text (non-null text and lang, outside the fold) and builds the decoder.
 
-    Tasks add their texts up, so what moves is one number per task, language and bucket.
+    Tasks add their texts up, so what moves is one number per task, language and bucket. The driver holds
+    the model, ``BUCKETS`` numbers per distinct lang and bit: lang is a label, so its values are few.
+    Repeated rows count as often as they are there; texts without a letter and empty tables teach nothing.
     """
     rows = documents.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     if fold:
@@ -139,7 +142,9 @@ def predicted(text: Column, decoder: Decoder) -> Column:
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The query: the language of every document, learnt outside the quarter of ids that is held out."""
+    """The query: the language of every document, learnt outside the quarter of ids that is held out.
+
+    Every row, repeated ones too, has its own answer; other columns take no part; an empty table gives no rows."""
     docs = read(spark, sf_dir, "documents")
     decoder = train(docs)
     got = docs.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), predicted(F.col("text").cast("string"), decoder).alias("p"))

@@ -69,7 +69,16 @@ def test_ambiguity_and_und(spark):
     assert d.decode("the dog")[0] == "en" and d.decode("die katze")[0] == "de"
     assert d.decode("12 !!") == ("und", 0.0, True) and d.decode(None)[0] == "und" and d.decode("")[0] == "und"
     assert language.Decoder([], np.zeros((0, language.BUCKETS))).decode("abc")[0] == "und"
-    assert np.array_equal(language.gram_counts("ab" * 700_000)[:10] > 0, language.gram_counts("abab")[:10] > 0)
+
+
+@pytest.mark.parametrize("n", [1, 2, 6, 7, 8, 9, 13, 14, 15, 16, 21, 40])
+def test_spans_lose_no_gram(monkeypatch, n):
+    text = "Déjà vu, ΑΣ İx 한글! the quick brown fox jumps over"[:n]
+    whole = language.gram_counts(text)
+    monkeypatch.setattr(language, "SPAN", 7)
+    assert np.array_equal(language.gram_counts(text), whole)
+    m = len(text.lower())
+    assert whole.sum() == sum(max(0, m - k) for k in range(3))
 
 
 def test_odd_documents(spark, odd, none):

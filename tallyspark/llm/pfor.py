@@ -9,7 +9,7 @@ are segments. A segment holds whole consecutive documents:
     blocks: minimum u32 | width u8 | n_exceptions u16 | packed (value - minimum) low bits
             | exception positions u16 | exception high parts u32
 
-A block has 1024 ids (the last is padded with its minimum). The width is the number of bits that
+A block has 1024 ids (the last is padded with the last id). The width is the number of bits that
 ``percentile`` of the block's residuals fit into; residuals above it keep their low bits in place
 and their high part in the exception list. Documents are in ascending id order, nulls first.
 """
@@ -131,8 +131,9 @@ def decode_segment(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarra
 def write(documents: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, percentile: float = 90.0) -> None:
     """Encode every text of ``documents`` (doc_id, text) and write segments below ``path``.
 
-    One range shuffle puts the documents in id order; equal ids are ordered by a hash of their texts.
-    A null text is empty and still gets the end id; an empty table writes no segment.
+    One range shuffle puts the documents in id order; equal and null ids are ordered by a hash of their texts, and
+    repeated rows by their place in the table, so that no id, however often repeated, is one task's.
+    A null text is empty and still gets the end id; an empty table writes no segment; other columns take no part.
     """
     tokenizer = tokenizer or default_path()
 
@@ -168,9 +169,10 @@ def write(documents: DataFrame, path: str, tokenizer: str | None = None, end_id:
 
     (
         documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-        .repartitionByRange("doc_id")  # its sample reads ids alone
         .withColumn("_h", F.xxhash64("text"))
-        .sortWithinPartitions("doc_id", "_h")
+        .withColumn("_n", F.monotonically_increasing_id())
+        .repartitionByRange("doc_id", "_h", "_n")
+        .sortWithinPartitions("doc_id", "_h", "_n")
         .select("doc_id", "text")
         .mapInArrow(segments, "shard int, segment int, shard_start long, n_tokens long, payload binary")
         .write.option("compression", "none")
@@ -213,7 +215,7 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The query: every document of ``documents`` written as blocks, and read from the files again."""
+    """The query: every document of ``documents`` written as blocks, and read from the files again; odd rows as in ``write``."""
     path = scratch_path(spark, "token-ids")
     write(read(spark, sf_dir, "documents"), path)
     return read_back(spark, path)

@@ -72,6 +72,55 @@ def test_files_of_odd_documents(spark, odd, none, tmp_path):
     assert pfor.read_back(spark, str(tmp_path / "n")).count() == 0
 
 
+def test_repeated_ids_are_not_one_task(spark, tmp_path):
+    """A third of all rows has no id, a third one id and one text: their order still gives one range per task."""
+    rows = [(None, f"text {i}") for i in range(600)] + [(5, "same text")] * 600 + [(i, "x") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    name = "spark.sql.adaptive.coalescePartitions.enabled"  # else so few rows become one partition
+    spark.conf.set(name, "false")
+    try:
+        pfor.write(docs, str(tmp_path / "t"))
+    finally:
+        spark.conf.unset(name)
+    got = pfor.read_back(spark, str(tmp_path / "t")).orderBy("start").collect()
+    assert max(len([g for g in got if g["shard"] == k]) for k in {g["shard"] for g in got}) < 900
+    assert [g["doc_id"] for g in got] == sorted([d for d, _ in rows], key=lambda d: (d is not None, d or 0))
+    start = 0
+    for g in got:
+        assert g["start"] == start
+        start += g["n_tokens"]
+
+
+def optimum(pieces, capacity):
+    """The fewest sequences, by trying every place for every piece."""
+    best = len(pieces)
+
+    def place(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(pieces):
+            best = len(rooms)
+            return
+        for k in sorted({r: k for k, r in enumerate(rooms) if r >= pieces[i]}.values()):
+            rooms[k] -= pieces[i]
+            place(i + 1, rooms)
+            rooms[k] += pieces[i]
+        place(i + 1, [*rooms, capacity - pieces[i]])
+
+    place(0, [])
+    return best
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 24), min_size=1, max_size=9))
+def test_plan_is_within_one_of_the_optimum(pieces):
+    pieces = sorted(pieces, reverse=True)
+    histogram = {s: pieces.count(s) for s in set(pieces)}
+    n, least = sum(n for _, n in packing.plan(histogram, 24)), optimum(pieces, 24)
+    assert least <= n <= least + 1
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 30), min_size=1, max_size=20))
 def test_plan_holds_every_piece(histogram):

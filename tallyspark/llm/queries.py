@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from corpus_pipeline import ORACLE_SQL as _PIPELINE_SQL
-from corpus_pipeline import run as _pipeline
+from pyspark.sql import DataFrame, SparkSession
 
 from .html_text import op6_html
 from .language import op5_language
@@ -16,6 +15,15 @@ from .topk import OP7_SQL, op7_topk
 from .toxicity import op4_toxicity
 from .vector_dedup import OP8_SQL, op8_vector_dedup
 
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query: all stages of ``corpus_pipeline``, the module at the repository's top, over ``documents``."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_token_ids": op1_token_ids,
     "op2_mixing": op2_mixing,
@@ -27,12 +35,11 @@ QUERIES = {
     "op8_vector_dedup": op8_vector_dedup,
     "op9_quality": op9_quality,
     "op10_text_dedup": op10_text_dedup,
-    "pipeline": _pipeline,
+    "pipeline": pipeline,
 }
+#: The others and the pipeline learn, tokenize or parse, which SQL can't express.
 ORACLES: dict[str, str] = {
     "op2_mixing": OP2_SQL,
     "op7_topk": OP7_SQL,
     "op8_vector_dedup": OP8_SQL,
 }
-if _PIPELINE_SQL:
-    ORACLES["pipeline"] = _PIPELINE_SQL

@@ -29,13 +29,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``; where that is unset (tests, one machine), a new
-    temporary folder is made once and set.
+    A cluster names it in ``spark.checkpoint.dir``; where that is unset and the master is local (tests, one
+    machine), a new temporary folder is made once and set. A cluster without the setting is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     context = spark.sparkContext._jsc.sc()
     if not found:
         now = context.getCheckpointDir()
+        if not now.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = now.get() if now.isDefined() else tempfile.mkdtemp(prefix="tallyspark-")
     if not context.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(found)
@@ -102,15 +104,36 @@ def remainder(doc_id, modulus: int):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus, F.lit(-1)).cast("int")
 
 
+#: Keys with more than a 500th of all rows are hubs: there are at most 500 of them, whatever the table, so they are broadcast.
+HUB_SHARE = 500
+#: Rows of a key that never make it a hub.
+HUB_LEAST = 256
+
+
+def hub_limit(rows: int) -> int:
+    """Rows of a key beyond which it is a hub; at most ``rows`` / limit keys are."""
+    return max(HUB_LEAST, rows // HUB_SHARE)
+
+
+def look_up(rows: DataFrame, table: DataFrame, keys: list[str], limit: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined by ``keys`` with ``table``, which has a row per key and in ``_n`` how many of ``rows`` have it.
+
+    Hubs (``_n`` above ``limit``, so at most as many as there are rows by limit) are broadcast: their rows
+    stay where they are. The others meet by a shuffle in which no key has more than ``limit`` rows. ``how``: inner or left.
+    """
+    hubs = F.broadcast(table.filter(F.col("_n") > limit).drop("_n"))
+    rest = table.filter(F.col("_n") <= limit).drop("_n")
+    return rows.join(hubs, keys).unionByName(rows.join(hubs.select(*keys), keys, "left_anti").join(rest, keys, how))
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of the undirected ``edges`` (a long, b long).
 
     Returns (node, component) for each node that has an edge to another; component is the least
-    node reachable. Large-star and small-star rounds: every step is a partial aggregation plus
-    an equi-join that adaptive execution may split, so a star with millions of leaves is no hot task.
+    node reachable. Large-star and small-star rounds: every step is a partial aggregation and a join
+    in which hubs (the centres of stars) are broadcast, so a star with millions of leaves is no hot task.
     Rounds stop when the edge set no longer changes, which is O(log n) rounds.
     """
-    sym = lambda e: e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     now = cut(
         edges.filter(F.col("a") != F.col("b"))
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
@@ -125,11 +148,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if not before[0]:
             break
-        both = sym(now)
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        hung = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        limit = hub_limit(before[0])
+        turned = now.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        # _n counts the larger neighbours, whose rows are joined
+        low = now.unionByName(turned).groupBy("a").agg(F.min("b").alias("m"), F.count(F.when(F.col("b") > F.col("a"), 1)).alias("_n"))
+        low = low.select("a", F.least("a", "m").alias("m"), "_n")
+        large = cut(look_up(turned, low, ["a"], limit).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("_n"))
+        hung = look_up(large, low, ["a"], limit).select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = cut(low.select("a", F.col("m").alias("b")).unionByName(hung).filter(F.col("a") != F.col("b")).distinct())
         after = mark(now)
         if after == before:

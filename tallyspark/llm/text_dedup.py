@@ -7,11 +7,13 @@
    the posterior of its similarity (uniform prior), similarity >= threshold has a probability below
    ``PRUNE``. A bucket gives a spanning forest of its survivors, never their pairs; the forests'
    components are clusters of classes that may link.
-4. In a cluster the survivors are verified exactly on full sets, and a spanning forest of the links
-   gives the components. Clusters are disjoint, so each pair is verified once.
+4. In a cluster every member is first verified exactly against the cluster's leader (its least class),
+   which is linear. Those that don't link with it, the rest, are verified against all other members as
+   far as the pair survives, and a spanning forest of the links gives the components. Members that
+   link with the leader are together already; no two of them need be compared.
 
-Members of a large bucket or cluster are dealt into chunks and every two chunks are a group of their
-own, so no group grows beyond two chunks.
+Members of a large bucket are dealt into chunks and every two chunks are a group of their own; in a
+cluster every chunk of the rest meets every chunk of members. No group grows beyond two chunks.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Forest, components, cut, read, worker_cache
+from .common import Forest, components, cut, hub_limit, look_up, read, worker_cache
 
 #: 35 bands of 5: (1 - 0.8 ** 5) ** 35 = 9e-7 is the chance that texts at 0.8 meet in no bucket.
 ROWS, BANDS = 5, 35
@@ -173,13 +175,13 @@ def exact_matrix(sets: list[np.ndarray], threshold: int) -> np.ndarray:
     row, column = row[shared], (np.cumsum(counts > 1) - 1)[inverse[shared]]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    common = np.zeros((n, n), np.float32)
+    common = np.zeros((n, n), np.int64)
     width = 4096
     for k in range(0, int(column[-1]) + 1 if len(column) else 0, width):
         lo, hi = np.searchsorted(column, [k, k + width])
         m = np.zeros((n, width), np.float32)
         m[row[lo:hi], column[lo:hi] - k] = 1
-        common += m @ m.T
+        common += (m @ m.T).astype(np.int64)  # a product is 4096 at most, so exact
     out = np.empty((n, n), bool)
     for k in range(0, n, 256):
         c = common[k : k + 256]
@@ -196,35 +198,47 @@ def exact_pair(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
     return 100 * common >= threshold * (len(merged) - common)
 
 
-def cluster_forest(ids: np.ndarray, chunk: np.ndarray, signatures: list[bytes], sets: list[bytes], same: bool, threshold: int) -> list[tuple[int, int]]:
-    """A spanning forest of a cluster's exact links: survivors are verified, likeliest first, unless already joined."""
+def leader_links(ids: np.ndarray, rows: list[int], lead: list[bool], sets: list[bytes], threshold: int) -> list[tuple[int, int, int]]:
+    """(leader, member, the member's row) of the members of a chunk that link with the leader, which is in every chunk of its cluster."""
+    at = lead.index(True)
+    own = np.frombuffer(sets[at], "<u8")
+    return [(int(ids[at]), int(ids[i]), rows[i]) for i in range(len(ids)) if i != at and exact_pair(own, np.frombuffer(sets[i], "<u8"), threshold)]
+
+
+def rest_forest(ids: np.ndarray, rows: np.ndarray, side: np.ndarray, rest: np.ndarray, signatures: list[bytes], sets: list[bytes], threshold: int) -> list[tuple[int, int]]:
+    """A spanning forest of the exact links between a chunk of the rest and a chunk of members, likeliest pairs first, unless already joined.
+
+    ``side`` marks the chunk of the rest; ``rest`` marks members that belong to the rest themselves and may stand on
+    both sides: of two such the pair with the smaller row first counts.
+    """
+    a, b = np.flatnonzero(side), np.flatnonzero(~side)
+    if not len(a) or not len(b):
+        return []
     x = np.frombuffer(b"".join(signatures), "<u2").reshape(len(ids), -1)
-    full = [np.frombuffer(s, "<u8") for s in sets]
-    forest, out = Forest(len(ids)), []
-    halves = [(np.arange(len(ids)), None)] if same else [h for h in _halves(chunk) if h[1] is not None]
-    for a, b in halves:
-        i, j, matches = survivors(x[a], None if b is None else x[b], threshold)
-        p, q = a[i], (a if b is None else b)[j]
-        order = np.argsort(-matches, kind="stable")
-        p, q = p[order], q[order]
-        # the likeliest pairs are compared one by one; if many are left apart, all sets at once
-        few = forest.joining(p[:500], q[:500], check=lambda u, v: exact_pair(full[u], full[v], threshold))
-        out += [(int(ids[u]), int(ids[v])) for u, v in few]
+    i, j, matches = survivors(x[a], x[b], threshold)
+    p, q = a[i], b[j]
+    once = ~rest[q] | (rows[p] < rows[q])
+    order = np.argsort(-matches[once], kind="stable")
+    _, place, node = np.unique(rows, return_index=True, return_inverse=True)
+    p, q = node[p[once][order]], node[q[once][order]]
+    full, forest = [np.frombuffer(sets[k], "<u8") for k in place], Forest(len(place))
+    one = lambda u, v: exact_pair(full[u], full[v], threshold)
+    # the likeliest pairs are compared one by one; if many are left apart, all sets at once
+    out = list(forest.joining(p[:500], q[:500], check=one))
+    if len(p) > 500:
+        roots = forest.roots()
+        apart = roots[p[500:]] != roots[q[500:]]
+        p, q = p[500:][apart], q[500:][apart]
         if len(p) > 500:
-            roots = forest.roots()
-            apart = roots[p[500:]] != roots[q[500:]]
-            p, q = p[500:][apart], q[500:][apart]
-            if len(p) > 500:
-                links = exact_matrix(full, threshold)
-                rest = forest.joining(p, q, good=lambda u, v: links[u, v])
-            else:
-                rest = forest.joining(p, q, check=lambda u, v: exact_pair(full[u], full[v], threshold))
-            out += [(int(ids[u]), int(ids[v])) for u, v in rest]
-    return out
+            links = exact_matrix(full, threshold)
+            out += list(forest.joining(p, q, good=lambda u, v: links[u, v]))
+        else:
+            out += list(forest.joining(p, q, check=one))
+    return [(int(ids[place[u]]), int(ids[place[v]])) for u, v in out]
 
 
-def _grouped(rows: DataFrame, keys: list[str], values: list[str], work: Callable) -> DataFrame:
-    """Edges (a, b) that ``work(key row, columns of values as lists)`` gives for each group of ``keys``.
+def _grouped(rows: DataFrame, keys: list[str], values: list[str], work: Callable, names: tuple[str, ...] = ("a", "b")) -> DataFrame:
+    """Rows of longs (``names``) that ``work(key row, columns of values as lists)`` gives for each group of ``keys``.
 
     Groups are read as they come from sorted partitions: many small groups cost little.
     """
@@ -250,7 +264,7 @@ def _grouped(rows: DataFrame, keys: list[str], values: list[str], work: Callable
             return out, None if whole else t.slice(starts[last])
 
         def batch_of(found: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"a": pa.array([e[0] for e in found], pa.int64()), "b": pa.array([e[1] for e in found], pa.int64())})
+            return pa.RecordBatch.from_pydict({n: pa.array([e[i] for e in found], pa.int64()) for i, n in enumerate(names)})
 
         for batch in batches:
             t = pa.Table.from_batches([batch])
@@ -261,7 +275,7 @@ def _grouped(rows: DataFrame, keys: list[str], values: list[str], work: Callable
         if held is not None and held.num_rows:
             yield batch_of(edges(held, True)[0])
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).select(*keys, *values).mapInArrow(run, "a long, b long")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).select(*keys, *values).mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def _chunked(rows: DataFrame, key: str, chunks: DataFrame) -> DataFrame:
@@ -337,7 +351,7 @@ def clusters(documents: DataFrame, size: int = 5, threshold: int = THRESHOLD) ->
     summed = cut(summaries(base, size))
     usable = summed.filter(F.col("id").isNotNull() & F.col("signature").isNotNull())
     # a class is named by its least document; all of a class's signatures are equal
-    classes = cut(usable.groupBy("digest").agg(F.min("id").alias("id"), F.max("signature").alias("signature")).select("id", "digest", "signature"))
+    classes = cut(usable.groupBy("digest").agg(F.min("id").alias("id"), F.max("signature").alias("signature"), F.count(F.lit(1)).alias("n")).select("id", "digest", "signature", "n"))
     bands = _bands(classes)
     # buckets with two classes or more; of buckets with the same members one
     several = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("members")).filter("n > 1")
@@ -351,28 +365,61 @@ def clusters(documents: DataFrame, size: int = 5, threshold: int = THRESHOLD) ->
     texts = base.join(F.broadcast(named.select("id")) if small else named.select("id"), "id")
     sets = _sets(texts, size).groupBy("id", "digest").agg(F.max("set").alias("set"))
     # a repeated id has several texts; the class's own is the one with its digest
-    whole = cut(member.join(classes.select("id", "digest"), "id").join(sets, ["id", "digest"]).select("id", "key", "signature", "set"))
-    loads = whole.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("set") / 8).alias("load"))
-    chunks = loads.select("key", F.greatest(F.ceil(F.col("n") / CHUNK), F.ceil(F.col("load") / CHUNK_SHINGLES)).cast("int").alias("k"))
-    linked = cut(_grouped(_chunked(whole, "key", chunks), ["key", "x", "y"], ["id", "c", "signature", "set"],
-                          lambda k, v: cluster_forest(np.array(v["id"]), np.array(v["c"]), v["signature"], v["set"], k["x"] == k["y"], threshold)))
+    whole = cut(member.join(classes.select("id", "digest"), "id").join(sets, ["id", "digest"]).select("id", "key", "digest", "signature", "set"))
+    linked = _verified(whole, threshold)
     # components are of classes: copies, of which one class may have a third of all rows, only look theirs up
-    names = classes.select("digest", F.col("id").alias("class"))
-    of = usable.select("id", "digest").join(names, "digest").select("id", "class")
+    names = classes.select("digest", F.col("id").alias("class"), F.col("n").alias("_n"))
+    limit = hub_limit(classes.agg(F.sum("n")).first()[0] or 0)
+    of = look_up(usable.select("id", "digest"), names, ["digest"], limit).select("id", "class")
     # a repeated id with several texts ties its classes together
     tied = of.groupBy("id").agg(F.min("class").alias("b"), F.max("class").alias("_last")).filter(F.col("b") < F.col("_last")).select("id", "b")
     ties = of.join(tied, "id").select(F.col("class").alias("a"), "b").filter("a <> b").distinct()
     reach = components(linked.unionByName(ties))
-    named_by = names.join(reach.withColumnRenamed("node", "class"), "class", "left").select("digest", F.coalesce("component", "class").alias("component"))
-    got = summed.withColumn("digest", F.when(F.col("id").isNotNull(), F.col("digest"))).join(named_by, "digest", "left")
-    own = F.coalesce("component", "id")
-    return got.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(own == F.col("id"), F.lit(True)).alias("kept"))
+    named_by = names.join(reach.withColumnRenamed("node", "class"), "class", "left").select("digest", F.coalesce("component", "class").alias("component"), "_n")
+    placed = F.col("id").isNotNull() & F.col("digest").isNotNull()
+    got = look_up(summed.filter(placed), named_by, ["digest"], limit).select("id", "n", "component")
+    # the others have no class
+    got = got.unionByName(summed.filter(~placed).select("id", "n", F.col("id").alias("component")))
+    return got.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("component") == F.col("id"), F.lit(True)).alias("kept"))
+
+
+def _verified(whole: DataFrame, threshold: int) -> DataFrame:
+    """(a, b): exact links of ``whole`` (id, key, digest, signature, set; ``key`` is the cluster, its least id) that span its components."""
+    in_chunks = lambda n, shingles: F.greatest(F.ceil(n / CHUNK), F.ceil(shingles / CHUNK_SHINGLES)).cast("int")
+    deal = lambda many: F.pmod(F.col("row"), F.col(many)).cast("int")
+    every = lambda many: F.explode(F.sequence(F.lit(0), F.col(many) - 1))
+    load = F.sum(F.length("set") / 8)
+    # of several texts of the least id one leads
+    sizes = whole.groupBy("key").agg(F.count(F.lit(1)).alias("n"), in_chunks(F.count(F.lit(1)), load).alias("k"), F.min(F.when(F.col("id") == F.col("key"), F.col("digest"))).alias("first"))
+    members = cut(whole.join(sizes, "key").select("key", "id", F.xxhash64("digest").alias("row"), "signature", "set", "n", "k", (F.col("digest") == F.col("first")).alias("lead")))
+    led = members.filter("NOT lead").withColumn("c", deal("k")).unionByName(members.filter("lead").withColumn("c", every("k")))  # the leader goes to each chunk
+    work = lambda k, v: leader_links(np.array(v["id"]), v["row"], v["lead"], v["set"], threshold)
+    near = cut(_grouped(led.select("key", "c", "id", "row", "lead", "set"), ["key", "c"], ["id", "row", "lead", "set"], work, ("a", "b", "row")))
+    # of two members nothing is left to ask
+    others = members.filter("n > 2 AND NOT lead").select("key", "id", "row", "signature", "set")
+    settled = near.select(F.col("a").alias("key"), "row", F.lit(False).alias("rest")).distinct()
+    others = cut(others.join(settled, ["key", "row"], "left").withColumn("rest", F.coalesce("rest", F.lit(True))))
+    chunks = others.groupBy("key").agg(
+        in_chunks(F.count(F.lit(1)), load).alias("k"), in_chunks(F.count(F.when(F.col("rest"), 1)), F.coalesce(F.sum(F.when(F.col("rest"), F.length("set") / 8)), F.lit(0.0))).alias("kr")
+    ).filter("kr > 0")
+    dealt = others.join(chunks, "key")
+    columns = ["key", "x", "y", "id", "row", "side", "rest", "signature", "set"]
+    left = dealt.filter("rest").withColumn("x", deal("kr")).withColumn("y", every("k")).withColumn("side", F.lit(True)).select(*columns)
+    right = dealt.withColumn("x", every("kr")).withColumn("y", deal("k")).withColumn("side", F.lit(False)).select(*columns)
+    work = lambda k, v: rest_forest(np.array(v["id"]), np.array(v["row"]), np.array(v["side"]), np.array(v["rest"]), v["signature"], v["set"], threshold)
+    return cut(near.select("a", "b").unionByName(_grouped(left.unionByName(right), columns[:3], columns[3:], work)))
 
 
 def deduplicated(documents: DataFrame, size: int = 5, threshold: int = THRESHOLD) -> DataFrame:
-    """``documents`` with one document of each group (the least id; of a repeated id every row)."""
-    gone = clusters(documents, size, threshold).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(gone, documents["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    """``documents``, whatever their columns' names, with one document of each group: the least id.
+
+    Documents without an id can't be told apart by it and all stay, as do all rows of a repeated id that
+    is the least of its group. Null and empty texts are groups of their own.
+    """
+    gone = clusters(documents, size, threshold).filter(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
+    own = {c: f"_own_{i}" for i, c in enumerate(documents.columns)}
+    rows = documents.toDF(*own.values())
+    return rows.join(gone, rows[own["doc_id"]].cast("long") == F.col("gone"), "left_anti").select(*(F.col(n).alias(c) for c, n in own.items()))
 
 
 def op10_text_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

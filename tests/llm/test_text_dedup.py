@@ -81,6 +81,43 @@ def test_near_texts(spark, monkeypatch, size, chunk):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {low for _, low in want.values()}
 
 
+def test_a_cluster_beyond_its_leader(spark, monkeypatch):
+    """A chain of texts, each near the next only: links far from the leader are found too."""
+    monkeypatch.setattr(td, "CHUNK", 4)
+    words = [f"v{i}" for i in range(300)]
+    texts = [" ".join(words[4 * k : 4 * k + 60]) for k in range(40)] + [" ".join(words[:60])] * 9
+    ids = [int(i) for i in np.random.default_rng(4).permutation(len(texts))]
+    want = brute(ids, texts, 4)
+    got = td.clusters(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string"), 4).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want and len(set(want.values())) < 40
+
+
+def test_texts_of_one_id_are_one_node(spark):
+    near = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    rows = [(5, near), (5, "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20 21 22 23 24 25 26"), (7, near + " zz"), (9, "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20 21 22 23 24 25 27"), (3, "alone with these words here")]
+    got = td.clusters(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(3, 3), (5, 5), (5, 5), (7, 5), (9, 5)]
+
+
+def test_products_of_large_sets_are_exact():
+    a = np.arange(1_000_000, dtype=np.uint64)
+    # at 80 % exactly, and one shingle below
+    assert td.exact_matrix([a, a[:800_000]], 80)[0, 1] and not td.exact_matrix([a, a[:799_999]], 80)[0, 1]
+    assert td.exact_pair(a, a[:800_000], 80) and not td.exact_pair(a, a[:799_999], 80)
+
+
+@pytest.mark.parametrize("leaves", [5, 3000])
+def test_hubs_are_looked_up_apart(spark, leaves):
+    star = spark.range(1, leaves + 1).select(F.col("id").alias("a"), F.lit(0).cast("long").alias("b"))
+    tail = spark.createDataFrame([(leaves, leaves + 7), (leaves + 7, leaves + 9), (100_000, 100_001)], "a long, b long")
+    got = components(star.unionByName(tail)).groupBy("component").count().collect()
+    assert {r["component"]: r["count"] for r in got} == {0: leaves + 3, 100_000: 2}
+
+
+def test_names_that_clash(odd):
+    assert td.deduplicated(odd.withColumn("gone", F.lit(1)).withColumn("_gone", F.lit(2))).columns[-2:] == ["gone", "_gone"]
+
+
 def test_odd_documents(odd, none):
     got = {(r["doc_id"], r["n_shingles"]): (r["component_id"], r["kept"]) for r in td.clusters(odd, 4).collect()}
     assert got[(6, 2)] == (5, False) and got[(5, 2)] == (5, True) and got[(2, 0)] == (2, True) and got[(None, 1)] == (None, True)

@@ -17,12 +17,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 #: Expected copies and offsets are whole multiples of 1 / UNIT: running sums are exact in any order.
 UNIT = 1 << 24
-#: A source is spread over one bucket for so many of its rows; a stretch is a size class in a bucket.
+#: A size class of a source is dealt into one stretch for so many of its rows, and so many stretches make a block.
 STRETCH_ROWS = 512
-
-
-#: Sources (one row of a few numbers each) up to which their table is broadcast; more are joined by a shuffle.
-BROADCAST_SOURCES = 20_000
+#: Size classes of sources (one row of a few numbers each) up to which their table is broadcast; more are joined by a shuffle.
+BROADCAST_CLASSES = 20_000
 
 
 def word_count(text: Column) -> Column:
@@ -41,7 +39,8 @@ def source_targets(sized: DataFrame, share: float = 1.5, most: float = 2.0, weig
     Sources in code point order, null last, take ``weights`` in turn. Targets divide ``share`` of all
     sizes by weight; none is above ``most`` times its source's size, and what is cut goes to the
     others by weight until none is above. That is min(most * size, level * weight) for one level,
-    found in one running sum over sources by size / weight. One row per source moves here.
+    found in one running sum over sources by size / weight. Their order and that sum are of all sources,
+    so one row per source (a name and a few numbers) goes to one task.
     """
     per = sized.groupBy("source").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("source_size"))
     turn = F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")) - 1
@@ -76,9 +75,10 @@ def offset_units(source_key: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(salted.cast("binary")), 1, 6), 16, 10).cast("long")
 
 
-def spread(doc_id: Column, seed: int) -> Column:
-    """A whole number in [0, 2^31) that spreads ids: order within a size."""
-    return F.pmod(F.coalesce(F.pmod(doc_id, F.lit(1 << 31)), F.lit(0)) * F.lit(1103515245) + F.lit(12345 + seed), F.lit(1 << 31)).cast("long")
+def spread(doc_id: Column, text: Column, seed: int) -> Column:
+    """A whole number in [0, 2^32) by 32 bits of md5 of the id, or of the text where that is null: order within a size class."""
+    named = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.md5(text.cast("binary")), F.lit("")))
+    return F.conv(F.substring(F.md5(named.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
 def _counted(documents: DataFrame, own: dict[str, str], seed: int = 0, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -86,40 +86,42 @@ def _counted(documents: DataFrame, own: dict[str, str], seed: int = 0, share: fl
 
     All rows stay; ``copies`` may be 0. Null texts have size 0, null sources form one source of their
     own, an empty table gives no rows. Repeated rows are documents of their own. The running sum has
-    two levels, so that a source with a third of all rows is no task's: within a stretch (source,
-    square root of the size, spread bucket), and over stretch totals of the source.
+    three levels, so that a source with a third of all rows is no task's: rows within a stretch of a
+    size class (square root of the size), stretches within a block of ``STRETCH_ROWS``, and blocks of
+    a source. Words are counted once and what is counted is kept without the texts; only rows that must
+    come out whole are read once more.
     """
     base = documents.select(
         *(F.col("`" + c.replace("`", "``") + "`").alias(n) for c, n in own.items()),
         F.col("doc_id").cast("long").alias("_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"),
-    ).withColumn("_key", key("source"))
-    plan = cut(source_targets(base.select("source", "size"), share, most, weights))  # one row per source
+        spread(F.col("doc_id").cast("long"), F.col("text"), seed).alias("_spread"),
+    ).withColumn("_key", key("source")).withColumn("_class", F.floor(F.sqrt(F.col("size"))).cast("long"))
+    narrow = set(own) == {"doc_id"}
+    light = cut(base if narrow else base.drop(*own.values()))
+    plan = source_targets(light.select("source", "size"), share, most, weights)  # one row per source
     plan = plan.select(
-        key("source").alias("_key"), "rows", "source_size", "target", expected_units(F.col("target"), F.col("source_size")).alias("units"),
-        offset_units(key("source"), seed).alias("offset"),
-    )
-    small = plan.count() <= BROADCAST_SOURCES
-    rows = base.join(F.broadcast(plan) if small else plan, "_key")
-    rows = rows.withColumn("_class", F.floor(F.sqrt(F.col("size"))).cast("long")).withColumn("_spread", spread(F.col("_id"), seed))
-    width = F.greatest(F.lit(1), F.ceil(F.lit(float(1 << 31)) / F.greatest(F.lit(1), F.ceil(F.col("rows") / STRETCH_ROWS))))
-    rows = rows.withColumn("_bucket", F.floor(F.col("_spread") / width).cast("long"))
-    stretch = ("_key", "_class", "_bucket")
-    if not small:  # a sort-merge join has left each source in one task
-        rows = rows.repartition(*stretch)
-    totals = rows.groupBy(*stretch).agg(F.sum("units").alias("_sum"))
-    # stretches of a source, in order: a running sum of totals. A source has rows / STRETCH_ROWS stretches
-    # at most for each power, so this too is done in two levels
-    blocks = ("_key", "_class", "_block")
-    totals = totals.withColumn("_block", F.floor(F.col("_bucket") / 256).cast("long"))
-    block = totals.groupBy(*blocks).agg(F.sum("_sum").alias("_bsum"))
-    block = block.select(*blocks, (F.sum("_bsum").over(Window.partitionBy("_key").orderBy("_class", "_block")) - F.col("_bsum")).alias("_bbefore"))
-    totals = totals.withColumn("_in", F.sum("_sum").over(Window.partitionBy(*blocks).orderBy("_bucket")) - F.col("_sum"))
-    before = totals.join(block, list(blocks)).select(*stretch, (F.col("_in") + F.col("_bbefore")).alias("_before"))
+        key("source").alias("_key"), "source_size", "target", expected_units(F.col("target"), F.col("source_size")).alias("units"), offset_units(key("source"), seed).alias("offset")
+    )
+    classes = light.groupBy("_key", "_class").agg(F.ceil(F.count(F.lit(1)) / STRETCH_ROWS).alias("_stretches"))
+    plan = cut(classes.join(plan, "_key"))  # one row per size class of a source
+    small = plan.count() <= BROADCAST_CLASSES
+    stretch, block = ("_key", "_class", "_stretch"), ("_key", "_class", "_block")
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        got = rows.join(F.broadcast(plan) if small else plan, ["_key", "_class"])
+        return got.withColumn("_stretch", F.shiftright(F.col("_spread") * F.col("_stretches"), 32))
+
+    totals = dealt(light).groupBy(*stretch).agg(F.sum("units").alias("_sum")).withColumn("_block", F.floor(F.col("_stretch") / STRETCH_ROWS).cast("long"))
+    blocks = totals.groupBy(*block).agg(F.sum("_sum").alias("_bsum"))
+    blocks = blocks.select(*block, (F.sum("_bsum").over(Window.partitionBy("_key").orderBy("_class", "_block")) - F.col("_bsum")).alias("_bbefore"))
+    totals = totals.withColumn("_in", F.sum("_sum").over(Window.partitionBy(*block).orderBy("_stretch")) - F.col("_sum"))
+    before = totals.join(blocks, list(block)).select(*stretch, (F.col("_in") + F.col("_bbefore")).alias("_before"))
+    # rows are dealt by stretch for the window, and the join below finds them so
+    rows = dealt(light if narrow else base).repartition(*stretch)
     within = Window.partitionBy(*stretch).orderBy("_spread", "size", "_id")
     rows = rows.withColumn("_upto", F.sum("units").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     end = F.col("_before") + F.col("_upto") + F.col("offset")
     number = F.floor(end / UNIT) - F.floor((end - F.col("units")) / UNIT)
-    # the windows above and this join deal rows by the same keys: texts move once
     return rows.join(before, list(stretch)).select(*own.values(), "size", "source_size", "target", number.cast("long").alias("copies"))
 
 
@@ -137,15 +139,15 @@ def mix(documents: DataFrame, **how) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The query: what the mix takes of every document."""
+    """The query: what the mix takes of every document; nulls, repeats and empty tables as in ``_counted``, other columns take no part."""
     got = copies(read(spark, sf_dir, "documents"))
     return got.withColumn("taken", F.col("copies") * F.col("size"))
 
 
-#: The same rows in DuckDB: one window per source instead of two levels.
+#: The same rows in DuckDB: one window per source instead of three levels.
 OP2_SQL = r"""
 WITH docs AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, text, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
 ), per AS (
   SELECT source, sum(size)::BIGINT AS source_size,
     ([3.0, 1.0, 2.0])[((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::INT]::DOUBLE AS weight
@@ -170,7 +172,7 @@ WITH docs AS (
 ), spread AS (
   SELECT d.doc_id, d.size, d.source, p.source_size, p.target, p.shift,
     CASE WHEN p.source_size > 0 THEN round(p.target / p.source_size * 16777216) ELSE 0 END::BIGINT AS units,
-    (((((coalesce(d.doc_id, 0) % 2147483648) + 2147483648) % 2147483648) * 1103515245 + 12345) % 2147483648)::BIGINT AS spread
+    ('0x' || substr(md5('0:' || coalesce(d.doc_id::VARCHAR, md5(d.text), '')), 1, 8))::BIGINT AS spread
   FROM docs d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source
 ), ends AS (
   SELECT *, shift + sum(units) OVER (PARTITION BY source ORDER BY floor(sqrt(size)), spread, size, doc_id

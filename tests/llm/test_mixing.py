@@ -3,6 +3,8 @@
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
 from tallyspark.llm import mixing
 
 DATA = "/root/testdata/sf0.001"
@@ -48,7 +50,18 @@ def test_near_target_and_stable(spark):
         assert sum(r[4] * r[1] for r in own) == pytest.approx(own[0][3], rel=0.01)
 
 
+def test_stretches_spread_any_ids(spark, monkeypatch, tmp_path):
+    """Ids that are multiples of a power of two, and null ids, are dealt evenly; results stay those of one running sum."""
+    monkeypatch.setattr(mixing, "STRETCH_ROWS", 8)
+    rows = [(i << 31, f"w{i} x y", "a") for i in range(400)] + [(None, f"n{i} x y", "a") for i in range(400)] + [(7, "", "b"), (8, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    dealt = docs.filter("source = 'a'").select(F.shiftright(mixing.spread(F.col("doc_id"), F.col("text"), 0) * 100, 32).alias("s")).groupBy("s").count()
+    assert dealt.agg(F.max("count")).first()[0] < 30
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents"))
+    assert sorted(repr((*r, r["copies"] * r["size"])) for r in mixing.copies(docs).collect()) == duck(f"{tmp_path}/documents/*.parquet")
+
+
 def test_many_sources_take_the_shuffled_way(spark, odd, monkeypatch):
     want = sorted(map(repr, mixing.copies(odd).collect()))
-    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    monkeypatch.setattr(mixing, "BROADCAST_CLASSES", 0)
     assert sorted(map(repr, mixing.copies(odd).collect())) == want

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read, with_value, worker_cache
+from .common import cut, read, remainder, with_value, worker_cache
 from .learn import SAMPLE, labelled_sample, logistic
 
 SHAPES = 512
@@ -111,10 +111,12 @@ def _strength(means: DataFrame, mean: str, parent: str, weight: str) -> float:
     return float(np.clip(1 / between - 1 if between > 0 else 1000.0, 10.0, 1000.0))
 
 
-def scored(documents: DataFrame, evidence: Evidence, host: Column, path: Column) -> tuple[DataFrame, dict[str, str]]:
-    """``documents`` under neutral names with evidence, host_mean, path_mean and score; and the names.
+def scored(documents: DataFrame, evidence: Evidence, host: Column, path: Column, keep: tuple[str, ...] | None = None) -> tuple[DataFrame, dict[str, str]]:
+    """``documents`` (of their columns ``keep``, all if not given) under neutral names with evidence, host_mean, path_mean and score; and the names.
 
-    Null hosts and paths are sites of their own. Sums over sites are partial aggregations, so a host
+    Null hosts and paths are sites of their own; null and empty texts have the evidence of no features; repeated
+    rows are documents of their own; an empty table gives no rows. Texts are looked at once: rows with
+    their evidence are kept in the shared folder. Sums over sites are partial aggregations, so a host
     with a third of all rows is no hot task; site tables are broadcast only below a checked count.
     """
     own = {c: f"_own_{i}" for i, c in enumerate(documents.columns)}
@@ -122,9 +124,10 @@ def scored(documents: DataFrame, evidence: Evidence, host: Column, path: Column)
         *(F.col("`" + c.replace("`", "``") + "`").alias(n) for c, n in own.items()),
         F.coalesce(F.concat(F.lit("h"), host.cast("string")), F.lit("null")).alias("host"), F.coalesce(F.concat(F.lit("p"), path.cast("string")), F.lit("null")).alias("path"),
     )
-    base = evidence.of(keyed, own["text"])
+    kept = [own[c] for c in keep or documents.columns]
+    base = cut(evidence.of(keyed, own["text"]).select(*kept, "host", "path", "evidence"))
     good = F.round(UNIT / (1 + F.exp(-F.col("evidence")))).cast("long")
-    paths = cut(evidence.of(keyed.select("host", "path", own["text"]), own["text"]).groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum(good).alias("g")))
+    paths = cut(base.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum(good).alias("g")))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("g").alias("hg"))
     total = hosts.agg(F.count(F.lit(1)).alias("k"), F.sum("hn").alias("n"), F.sum("hg").alias("g")).first()
     mu = float(np.clip(total["g"] / total["n"] / UNIT if total["n"] else 0.5, 1e-4, 1 - 1e-4))
@@ -143,17 +146,15 @@ def scored(documents: DataFrame, evidence: Evidence, host: Column, path: Column)
 
 
 def accept(documents: DataFrame, evidence: Evidence, at: float = 0.5) -> DataFrame:
-    """``documents`` whose score is ``at`` or more, in their own columns."""
+    """``documents`` whose score is ``at`` or more, in their own columns, whatever their names; host and path are source and lang."""
     got, own = scored(documents, evidence, F.col("source"), F.col("lang"))
     return got.filter(F.col("score") >= at).select(*(F.col(n).alias(c) for c, n in own.items()))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The query: the quality of every document, learnt outside the fifth of ids that is held out."""
-    from .common import remainder
-
+    """The query: the quality of every document, learnt outside the fifth of ids that is held out. Odd rows as in ``scored``."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    got, own = scored(docs, train(docs, read(spark, sf_dir, "labels"), (5, 0)), F.col("source"), F.col("lang"))
+    got, own = scored(docs, train(docs, read(spark, sf_dir, "labels"), (5, 0)), F.col("source"), F.col("lang"), ("doc_id",))
     doc_id = F.col(own["doc_id"])
     return got.select(
         doc_id.alias("doc_id"), (remainder(doc_id, 5) == 0).alias("held_out"), "evidence", "host_mean", "path_mean", "score",

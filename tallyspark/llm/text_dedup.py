@@ -240,7 +240,8 @@ def rest_forest(ids: np.ndarray, rows: np.ndarray, side: np.ndarray, rest: np.nd
 def _grouped(rows: DataFrame, keys: list[str], values: list[str], work: Callable, names: tuple[str, ...] = ("a", "b")) -> DataFrame:
     """Rows of longs (``names``) that ``work(key row, columns of values as lists)`` gives for each group of ``keys``.
 
-    Groups are read as they come from sorted partitions: many small groups cost little.
+    Groups are read as they come from sorted partitions: many small groups cost little. Their rows ascend by
+    id, so that the forests of different bands over the same members have the same edges.
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -275,7 +276,7 @@ def _grouped(rows: DataFrame, keys: list[str], values: list[str], work: Callable
         if held is not None and held.num_rows:
             yield batch_of(edges(held, True)[0])
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).select(*keys, *values).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "id").select(*keys, *values).mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def _chunked(rows: DataFrame, key: str, chunks: DataFrame) -> DataFrame:

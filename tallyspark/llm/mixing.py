@@ -17,8 +17,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 #: Expected copies and offsets are whole multiples of 1 / UNIT: running sums are exact in any order.
 UNIT = 1 << 24
-#: A size class of a source is dealt into one stretch for so many of its rows, and so many stretches make a block.
-STRETCH_ROWS = 512
+#: A size class of a source is dealt into one stretch for so many of its rows; so many stretches make a block.
+STRETCH_ROWS, BLOCK_STRETCHES = 64, 4_096
 #: Size classes of sources (one row of a few numbers each) up to which their table is broadcast; more are joined by a shuffle.
 BROADCAST_CLASSES = 20_000
 
@@ -87,7 +87,7 @@ def _counted(documents: DataFrame, own: dict[str, str], seed: int = 0, share: fl
     All rows stay; ``copies`` may be 0. Null texts have size 0, null sources form one source of their
     own, an empty table gives no rows. Repeated rows are documents of their own. The running sum has
     three levels, so that a source with a third of all rows is no task's: rows within a stretch of a
-    size class (square root of the size), stretches within a block of ``STRETCH_ROWS``, and blocks of
+    size class (square root of the size), stretches within a block of ``BLOCK_STRETCHES``, and blocks of
     a source. Words are counted once and what is counted is kept without the texts; only rows that must
     come out whole are read once more.
     """
@@ -111,7 +111,7 @@ def _counted(documents: DataFrame, own: dict[str, str], seed: int = 0, share: fl
         got = rows.join(F.broadcast(plan) if small else plan, ["_key", "_class"])
         return got.withColumn("_stretch", F.shiftright(F.col("_spread") * F.col("_stretches"), 32))
 
-    totals = dealt(light).groupBy(*stretch).agg(F.sum("units").alias("_sum")).withColumn("_block", F.floor(F.col("_stretch") / STRETCH_ROWS).cast("long"))
+    totals = dealt(light).groupBy(*stretch).agg(F.sum("units").alias("_sum")).withColumn("_block", F.floor(F.col("_stretch") / BLOCK_STRETCHES).cast("long"))
     blocks = totals.groupBy(*block).agg(F.sum("_sum").alias("_bsum"))
     blocks = blocks.select(*block, (F.sum("_bsum").over(Window.partitionBy("_key").orderBy("_class", "_block")) - F.col("_bsum")).alias("_bbefore"))
     totals = totals.withColumn("_in", F.sum("_sum").over(Window.partitionBy(*block).orderBy("_stretch")) - F.col("_sum"))

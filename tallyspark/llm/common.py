@@ -115,15 +115,19 @@ def hub_limit(rows: int) -> int:
     return max(HUB_LEAST, rows // HUB_SHARE)
 
 
-def look_up(rows: DataFrame, table: DataFrame, keys: list[str], limit: int, how: str = "inner") -> DataFrame:
-    """``rows`` joined by ``keys`` with ``table``, which has a row per key and in ``_n`` how many of ``rows`` have it.
+def look_up(rows: DataFrame, table: DataFrame, keys: list[str], limit: int, spread: str) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has a row per key and in ``_n`` how many of ``rows`` have it; rows of other keys go.
 
-    Hubs (``_n`` above ``limit``, so at most as many as there are rows by limit) are broadcast: their rows
-    stay where they are. The others meet by a shuffle in which no key has more than ``limit`` rows. ``how``: inner or left.
+    Hubs (``_n`` above ``limit``, so at most as many as there are rows by limit) are broadcast; in the
+    shuffle by which the others meet their key, rows of hubs are spread by the column ``spread``. So no key has more than ``limit`` rows in a task.
     """
-    hubs = F.broadcast(table.filter(F.col("_n") > limit).drop("_n"))
-    rest = table.filter(F.col("_n") <= limit).drop("_n")
-    return rows.join(hubs, keys).unionByName(rows.join(hubs.select(*keys), keys, "left_anti").join(rest, keys, how))
+    values = [c for c in table.columns if c not in (*keys, "_n")]
+    named = lambda t, tag: t.select(*keys, *(F.col(v).alias(tag + v) for v in values), F.lit(tag).alias(tag))
+    got = rows.join(F.broadcast(named(table.filter(F.col("_n") > limit), "_hub")), keys, "left")
+    got = got.withColumn("_salt", F.when(F.col("_hub").isNotNull(), F.pmod(F.xxhash64(spread), F.lit(1 << 20)) + 1).otherwise(0))
+    rest = named(table.filter(F.col("_n") <= limit), "_own").withColumn("_salt", F.lit(0).cast("long"))
+    got = got.join(rest, [*keys, "_salt"], "left").filter(F.col("_hub").isNotNull() | F.col("_own").isNotNull())
+    return got.select(*rows.columns, *(F.when(F.col("_hub").isNotNull(), F.col("_hub" + v)).otherwise(F.col("_own" + v)).alias(v) for v in values))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -153,9 +157,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # _n counts the larger neighbours, whose rows are joined
         low = now.unionByName(turned).groupBy("a").agg(F.min("b").alias("m"), F.count(F.when(F.col("b") > F.col("a"), 1)).alias("_n"))
         low = low.select("a", F.least("a", "m").alias("m"), "_n")
-        large = cut(look_up(turned, low, ["a"], limit).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        large = look_up(turned, low, ["a"], limit, "b").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("_n"))
-        hung = look_up(large, low, ["a"], limit).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        hung = look_up(large, low, ["a"], limit, "b").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = cut(low.select("a", F.col("m").alias("b")).unionByName(hung).filter(F.col("a") != F.col("b")).distinct())
         after = mark(now)
         if after == before:

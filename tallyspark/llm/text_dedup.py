@@ -37,8 +37,8 @@ PRUNE = 1e-6
 THRESHOLD = 80
 #: Shingles hashed at a time while taking minima: bounds memory for very long texts.
 SPAN = 1 << 12
-#: Rows of a chunk, and shingles in the sets of one.
-CHUNK, CHUNK_SHINGLES = 512, 1_000_000
+#: Rows of a chunk of a bucket; rows of a chunk of a cluster, and shingles in the sets of one.
+CHUNK, CHUNK_SETS, CHUNK_SHINGLES = 512, 128, 1_000_000
 #: Candidate ids up to which they are broadcast to find their texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -371,14 +371,14 @@ def clusters(documents: DataFrame, size: int = 5, threshold: int = THRESHOLD) ->
     # components are of classes: copies, of which one class may have a third of all rows, only look theirs up
     names = classes.select("digest", F.col("id").alias("class"), F.col("n").alias("_n"))
     limit = hub_limit(classes.agg(F.sum("n")).first()[0] or 0)
-    of = look_up(usable.select("id", "digest"), names, ["digest"], limit).select("id", "class")
+    of = look_up(usable.select("id", "digest"), names, ["digest"], limit, "id").select("id", "class")
     # a repeated id with several texts ties its classes together
     tied = of.groupBy("id").agg(F.min("class").alias("b"), F.max("class").alias("_last")).filter(F.col("b") < F.col("_last")).select("id", "b")
     ties = of.join(tied, "id").select(F.col("class").alias("a"), "b").filter("a <> b").distinct()
     reach = components(linked.unionByName(ties))
     named_by = names.join(reach.withColumnRenamed("node", "class"), "class", "left").select("digest", F.coalesce("component", "class").alias("component"), "_n")
     placed = F.col("id").isNotNull() & F.col("digest").isNotNull()
-    got = look_up(summed.filter(placed), named_by, ["digest"], limit).select("id", "n", "component")
+    got = look_up(summed.filter(placed).select("id", "n", "digest"), named_by, ["digest"], limit, "id").select("id", "n", "component")
     # the others have no class
     got = got.unionByName(summed.filter(~placed).select("id", "n", F.col("id").alias("component")))
     return got.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("component") == F.col("id"), F.lit(True)).alias("kept"))
@@ -386,13 +386,13 @@ def clusters(documents: DataFrame, size: int = 5, threshold: int = THRESHOLD) ->
 
 def _verified(whole: DataFrame, threshold: int) -> DataFrame:
     """(a, b): exact links of ``whole`` (id, key, digest, signature, set; ``key`` is the cluster, its least id) that span its components."""
-    in_chunks = lambda n, shingles: F.greatest(F.ceil(n / CHUNK), F.ceil(shingles / CHUNK_SHINGLES)).cast("int")
+    in_chunks = lambda n, shingles: F.greatest(F.ceil(n / CHUNK_SETS), F.ceil(shingles / CHUNK_SHINGLES)).cast("int")
     deal = lambda many: F.pmod(F.col("row"), F.col(many)).cast("int")
     every = lambda many: F.explode(F.sequence(F.lit(0), F.col(many) - 1))
     load = F.sum(F.length("set") / 8)
     # of several texts of the least id one leads
     sizes = whole.groupBy("key").agg(F.count(F.lit(1)).alias("n"), in_chunks(F.count(F.lit(1)), load).alias("k"), F.min(F.when(F.col("id") == F.col("key"), F.col("digest"))).alias("first"))
-    members = cut(whole.join(sizes, "key").select("key", "id", F.xxhash64("digest").alias("row"), "signature", "set", "n", "k", (F.col("digest") == F.col("first")).alias("lead")))
+    members = whole.join(sizes, "key").select("key", "id", F.xxhash64("digest").alias("row"), "signature", "set", "n", "k", (F.col("digest") == F.col("first")).alias("lead"))
     led = members.filter("NOT lead").withColumn("c", deal("k")).unionByName(members.filter("lead").withColumn("c", every("k")))  # the leader goes to each chunk
     work = lambda k, v: leader_links(np.array(v["id"]), v["row"], v["lead"], v["set"], threshold)
     near = cut(_grouped(led.select("key", "c", "id", "row", "lead", "set"), ["key", "c"], ["id", "row", "lead", "set"], work, ("a", "b", "row")))

@@ -165,7 +165,7 @@ def links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     # cells with more than one chunk of rows are few; their sizes decide in how many chunks rows are dealt
     sizes = dealt.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     sizes = sizes.filter("_n > 1").withColumn("_k", F.ceil(F.col("_n") / CHUNK).cast("int"))
-    rows = look_up(dealt, sizes, keys, hub_limit(dealt.count())).withColumn("_c", F.pmod(F.xxhash64("id", "v"), F.col("_k")).cast("int"))
+    rows = look_up(dealt, sizes, keys, hub_limit(dealt.count()), "id").withColumn("_c", F.pmod(F.xxhash64("id", "v"), F.col("_k")).cast("int"))
     # chunk pairs (x, y), x <= y: a row of chunk c goes to each pair that holds c
     pair = F.transform(F.sequence(F.lit(0), F.col("_k") - 1), lambda o: F.struct(F.least(F.col("_c"), o).alias("x"), F.greatest(F.col("_c"), o).alias("y")))
     rows = rows.withColumn("_p", F.explode(pair)).select(*keys, F.col("_p.x").alias("x"), F.col("_p.y").alias("y"), F.col("_c").alias("c"), "home", "id", "name", "w", "v")
@@ -215,12 +215,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     names = classes.select("key", "class", F.col("key.p").alias("p"), "w").join(counts, ["class", "p"], "left")
     names = names.select("key", "class", (F.col("w") - 1 + F.coalesce("linked", F.lit(0))).alias("linked"), F.col("w").alias("_n"))
     limit = hub_limit(classes.agg(F.sum("w")).first()[0] or 0)
-    of = cut(look_up(rows.select("id", "key"), names, ["key"], limit).select("id", "class", "linked"))
+    of = cut(look_up(rows.select("id", "key"), names, ["key"], limit, "id").select("id", "class", "linked"))
     tied = of.groupBy("id").agg(F.min("class").alias("b"), F.max("class").alias("_last")).filter(F.col("b") < F.col("_last")).select("id", "b")
     ties = of.join(tied, "id").select(F.col("class").alias("a"), "b").filter("a <> b").distinct()
     reach = components(found.filter("n = 0").select(F.col("id").alias("a"), F.col("other").alias("b")).unionByName(ties))
     looked = names.groupBy("class").agg(F.sum("_n").alias("_n")).join(reach.withColumnRenamed("node", "class"), "class", "left")
-    each = look_up(of, looked.select("class", F.coalesce("component", "class").alias("component"), "_n"), ["class"], limit)
+    each = look_up(of, looked.select("class", F.coalesce("component", "class").alias("component"), "_n"), ["class"], limit, "id")
     per_id = each.groupBy("id").agg(F.sum("linked").alias("n_links"), F.min("component").alias("component"))
     got = base.filter("id IS NOT NULL").select("id").join(per_id, "id", "left").unionByName(base.filter("id IS NULL").select("id"), allowMissingColumns=True)
     return got.select(

@@ -69,6 +69,7 @@ def near_texts():
 @pytest.mark.parametrize("size,chunk", [(4, td.CHUNK), (5, td.CHUNK), (4, 6)])
 def test_near_texts(spark, monkeypatch, size, chunk):
     monkeypatch.setattr(td, "CHUNK", chunk)
+    monkeypatch.setattr(td, "CHUNK_SETS", chunk)
     texts = near_texts()
     ids = [int(i) for i in np.random.default_rng(1).permutation(len(texts))]
     docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").withColumn("id", F.lit(1)).withColumn("set", F.lit(1)).withColumn("a", F.lit("x"))
@@ -84,6 +85,7 @@ def test_near_texts(spark, monkeypatch, size, chunk):
 def test_a_cluster_beyond_its_leader(spark, monkeypatch):
     """A chain of texts, each near the next only: links far from the leader are found too."""
     monkeypatch.setattr(td, "CHUNK", 4)
+    monkeypatch.setattr(td, "CHUNK_SETS", 3)
     words = [f"v{i}" for i in range(300)]
     texts = [" ".join(words[4 * k : 4 * k + 60]) for k in range(40)] + [" ".join(words[:60])] * 9
     ids = [int(i) for i in np.random.default_rng(4).permutation(len(texts))]

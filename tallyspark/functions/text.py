@@ -261,10 +261,12 @@ def store_fallback(body: Column) -> Column:
 
 
 def infer_category(store: Column, body: Column, words: dict[str, tuple[str, ...]] | None = None) -> Column:
-    """The first category, in declared order, with a word in the shop's name or the message; else unclassified."""
+    """The first category, in declared order, with a word in the shop's name or the message; else unclassified.
+
+    The dictionary is the caller's (``sources.rules.category_words`` reads one); without it nothing is inferred.
+    """
     text = F.lower(F.concat_ws(" ", store, F.coalesce(body, F.lit(""))))
-    out = F.coalesce(*(F.when(any_of(text, [w.lower() for w in ws]), c) for c, ws in (words or lx.CATEGORY_WORDS).items()))
-    return F.coalesce(out, F.lit(lx.UNCLASSIFIED))
+    return F.coalesce(*(F.when(any_of(text, [w.lower() for w in ws]), c) for c, ws in (words or {}).items()), F.lit(lx.UNCLASSIFIED))
 
 
 def pre_classify(store: Column) -> Column:

@@ -217,3 +217,10 @@ def categorize(rows: DataFrame, rules: DataFrame, mappings: DataFrame, vector_la
     tiers += [("name", pre_classify(F.col("storeName"))), ("word", word)]
     category, tier = F.coalesce(*(c for _, c in tiers), F.lit(lx.UNCLASSIFIED)), F.coalesce(*(F.when(c.isNotNull(), n) for n, c in tiers), F.lit("none"))
     return r.select(*(F.col(c) for c in kept), category.alias("category"), tier.alias("tier"))
+
+
+def debit_fallback(messages: DataFrame, card: str = "KB") -> DataFrame:
+    """Debit messages of several lines that no rule and no pattern read (id, body, date): what they say, at tier 3 with full confidence."""
+    own = messages.filter(F.col("body").contains("[KB]") & F.col("body").contains("\n출금\n"))
+    got = own.withColumn("_p", parsed(F.col("body"), wall_clock(F.col("date")), F.lit(lx.DEBIT_AMOUNT), F.lit(lx.DEBIT_SHOP), F.lit(""), card))
+    return got.filter("_p IS NOT NULL").select("id", "_p.amount", "_p.storeName", "_p.cardName", "_p.dateTime", F.lit(3).alias("tier"), F.lit(1.0).alias("confidence"))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
-from ..functions.text import all_aliases, any_of
-from .predicates import EXPENSE_SEARCH, search
+from ..functions.text import all_aliases, any_of, is_transfer_name
+from .joins import store_rules
+from .predicates import EXPENSE_SEARCH, search, supports_fixed
 from .windows import repeats, without_repeats
 
 Edit = tuple[DataFrame, DataFrame]
@@ -129,13 +131,49 @@ def reconcile(new: DataFrame, stored: DataFrame, key: str = "smsId", keep: tuple
 
 
 def apply_store_rule(rows: DataFrame, keyword: str, category: str | None, fixed: bool | None) -> Edit:
-    """A shop rule on what is stored: rows whose shop holds the keyword take its category and fixed state, where given."""
+    """A shop rule on what is stored: rows whose shop holds the keyword take its category and fixed state, where given; rows that can't be fixed costs are none."""
     values = {} if category is None else {"category": category}
     if fixed is not None:
-        values["is_fixed"] = fixed
+        values["is_fixed"] = supports_fixed(F.col("transaction_type"), F.col("transfer_direction")) & F.lit(fixed)
     return update(rows, F.lower("storeName").contains(keyword.lower()), **values)
 
 
+def change_store_rule(rows: DataFrame, rules: DataFrame, old: dict | None, new: dict | None, classify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Stored rows after a shop rule changed from ``old`` to ``new`` (keyword, category, isFixed; None for none).
+
+    Where the old rule's fixed state or category no longer holds, rows of its keyword get the fixed state of the
+    ``rules`` there are now, and those that are no transfers the category that ``classify`` (rows to id, category) finds. Then the new rule applies.
+    """
+    lower = lambda r: (r["keyword"] if r else "").lower()
+    gone = lambda k: old is not None and old.get(k) is not None and (new is None or new.get(k) is None or lower(old) != lower(new))
+    hit = F.lower("storeName").contains(lower(old)) if old else F.lit(False)
+    columns = rows.columns
+    if gone("isFixed"):
+        can = supports_fixed(F.col("transaction_type"), F.col("transfer_direction"))
+        fixed = F.when(hit, can & F.coalesce("rule_fixed", F.lit(False))).otherwise(F.col("is_fixed"))
+        rows = store_rules(rows, rules).withColumn("is_fixed", fixed).select(*columns)
+    if gone("category"):
+        found = classify(rows.filter(hit & (F.col("transaction_type") != "TRANSFER"))).select("id", F.col("category").alias("_found"))
+        rows = rows.join(found, "id", "left").withColumn("category", F.coalesce("_found", "category")).select(*columns)
+    return rows if new is None else apply_store_rule(rows, new["keyword"], new.get("category"), new.get("isFixed"))[0]
+
+
+def classify_incomes(incomes: DataFrame, by_type: dict[str, str], labels: DataFrame, exceptions: tuple[str, ...] = ()) -> DataFrame:
+    """Unclassified incomes (source, type, category) by steps, each for all unclassified rows of a source.
+
+    A masked name or a word of transfers makes a source a transfer, unless it is among ``exceptions``; then a type that
+    ``by_type`` knows decides (of several the last by id); then ``labels`` (source, category), where not unclassified.
+    """
+    open_ = F.col("category") == lx.UNCLASSIFIED
+    moved = open_ & is_transfer_name(F.col("source")) & ~F.col("source").isin(*exceptions) if exceptions else open_ & is_transfer_name(F.col("source"))
+    first = incomes.withColumn("category", F.when(moved, "이체").otherwise(F.col("category")))
+    known = F.coalesce(*(F.when(F.col("type") == t, c) for t, c in by_type.items()), F.lit(None).cast("string"))
+    typed = first.filter(open_).withColumn("_known", known).filter("_known IS NOT NULL").groupBy("source").agg(F.max_by("_known", "id").alias("_typed"))
+    named = labels.filter(F.col("category") != lx.UNCLASSIFIED).select("source", F.col("category").alias("_label"))
+    got = first.join(typed, "source", "left").join(named, "source", "left")
+    return got.withColumn("category", F.when(open_, F.coalesce("_typed", "_label", "category")).otherwise(F.col("category"))).select(*incomes.columns)
+
+
 def mark_transfers(rows: DataFrame, store: str, category: str, direction: str) -> Edit:
     """Unclassified rows of a shop become transfers."""
     return update(rows, (F.col("storeName") == store) & (F.col("category") == lx.UNCLASSIFIED), category=category, transaction_type="TRANSFER", transfer_direction=direction)

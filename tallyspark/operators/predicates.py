@@ -177,3 +177,25 @@ def needs_model(similarity: Column) -> Column:
 
 def may_propagate(similarity: Column, confidence: Column) -> Column:
     return (similarity >= lx.SIMILARITY["store_propagate"]) & (confidence >= lx.SIMILARITY["propagate_confidence"])
+
+
+def supports_fixed(kind: Column, direction: Column) -> Column:
+    """Whether a row can be a fixed cost: spending, and transfers that are withdrawals."""
+    return (kind == "EXPENSE") | ((kind == "TRANSFER") & (direction == "WITHDRAWAL"))
+
+
+def probed(stage: Column, address: Column, body: Column) -> Column:
+    """Whether a channel's failure is worth a sample: from the kept sender, or it looks like a payment."""
+    text = F.lower(F.trim(F.regexp_replace(body, r"\s+", " ")))
+    hinted = any_of(text, [w.lower() for w in (*lx.TRANSACTION_HINTS, *lx.FINANCE_HINTS)])
+    payment = text.contains(lx.PROBED_PHRASE.lower()) | text.rlike(lx.PROBED_PATTERN) | (text.rlike(r"[\d,]+원") & hinted)
+    return ~stage.isin(*lx.QUIET_STAGES) & ((normalize_sender(address) == lx.PROBED_SENDER) | F.coalesce(payment, F.lit(False)))
+
+
+def best_notification(candidates: DataFrame) -> DataFrame:
+    """Per notification (note_id) of its candidate texts (body) the one most like a payment; of equals the shorter, then the first by text. Blank ones are none."""
+    rows = candidates.withColumn("body", F.trim("body")).filter("body <> ''")
+    order = F.struct(notification_score(F.col("body")).alias("s"), (-F.length("body")).alias("n"))
+    scored = rows.groupBy("note_id", "body").agg(F.first(order).alias("o"))
+    best = scored.groupBy("note_id").agg(F.max("o").alias("o"))
+    return scored.join(best, ["note_id", "o"]).groupBy("note_id").agg(F.min("body").alias("body"), F.max("o.s").alias("score"))

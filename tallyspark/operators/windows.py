@@ -28,23 +28,25 @@ def cumulative(rows: DataFrame, first: date, days: int) -> DataFrame:
 def average_cumulative(rows: DataFrame, months: int, year: int, month: int, start_day: int, days: int) -> DataFrame:
     """(day, cumulative) averaged over the ``months`` billing months before; no row unless each has spending.
 
-    A shorter month keeps its last value; the quotient is whole.
+    A shorter month keeps its last value; the quotient is whole. One pass over the rows: each is dealt to its billing month and day.
     """
-    spark, curves = rows.sparkSession, None
+    spark = rows.sparkSession
+    if months <= 0 or days <= 0:
+        return spark.createDataFrame([], "day int, cumulative long")
+    spans = []
     for k in range(1, months + 1):
         y, m = divmod(year * 12 + month - 1 - k, 12)
-        first, last = billing_month(y, m + 1, start_day)
-        own = rows.filter(within("ts", first, last))
-        length = (last.date() - first.date()).days + 1
-        curve = cumulative(own, first.date(), length).withColumn("_k", F.lit(k))
-        curve = curve.select("day", "cumulative", "_k").join(own.agg(F.count(F.lit(1)).alias("_n")))
-        curves = curve if curves is None else curves.unionByName(curve)
-    if curves is None or days <= 0:
-        return spark.createDataFrame([], "day int, cumulative long")
-    spine = spark.range(days + 1).select(F.col("id").cast("int").alias("day"))
-    last_value = curves.groupBy("_k").agg(F.max("cumulative").alias("_last"), F.max("_n").alias("_n"))
-    grid = spine.join(last_value).join(curves.select("day", "_k", "cumulative"), ["day", "_k"], "left")  # days times months
-    out = grid.groupBy("day").agg(F.sum(F.coalesce("cumulative", "_last")).alias("_s"), F.min("_n").alias("_least"))
+        spans.append(billing_month(y, m + 1, start_day))
+    own = lambda value: F.coalesce(*(F.when(within("ts", first, last), value(k, first, last)) for k, (first, last) in enumerate(spans)))
+    length = lambda first, last: (last.date() - first.date()).days + 1
+    index = lambda k, first, last: F.least(F.datediff(F.to_date("ts"), F.lit(first.date().isoformat()).cast("date")), F.lit(length(first, last) - 1)) + 1
+    inside = rows.filter(within("ts", spans[-1][0], spans[0][1])).withColumn("_k", own(lambda k, *_: F.lit(k))).filter("_k IS NOT NULL")
+    per = inside.groupBy("_k", own(index).alias("day")).agg(F.sum("amount").cast("long").alias("_t"), F.count(F.lit(1)).alias("_n"))  # a row per month and day
+    lengths = spark.createDataFrame([(k, length(*s)) for k, s in enumerate(spans)], "_k int, _days int")
+    grid = lengths.withColumn("day", F.explode(F.sequence(F.lit(0), F.greatest(F.col("_days"), F.lit(days)))))
+    upto = Window.partitionBy("_k").orderBy("day")
+    curves = grid.join(per, ["_k", "day"], "left").select("_k", "day", F.sum(F.coalesce("_t", F.lit(0))).over(upto).alias("_c"), F.sum(F.coalesce("_n", F.lit(0))).over(Window.partitionBy("_k")).alias("_n"))
+    out = curves.filter(F.col("day") <= days).groupBy("day").agg(F.sum("_c").alias("_s"), F.min("_n").alias("_least"))
     return out.filter("_least > 0").select("day", F.expr(f"_s div {months}").cast("long").alias("cumulative"))
 
 

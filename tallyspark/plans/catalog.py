@@ -25,7 +25,7 @@ from . import dsl, screens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-CTES = {"e": lg.EXPENSES_SQL, "i": lg.INCOMES_SQL, "b": lg.BUDGETS_SQL}
+CTES = {"e": lg.EXPENSES_SQL, "i": lg.INCOMES_SQL, "b": lg.BUDGETS_SQL, "p": lg.PLANTED_SQL}
 NOW = datetime(1998, 8, 2, 12)
 
 
@@ -105,13 +105,11 @@ _asked("daily_totals", f"SELECT strftime(ts, '%Y-%m-%d') AS date, sum(amount)::B
 _asked("monthly_totals", "SELECT strftime(ts, '%Y-%m') AS month, sum(amount)::BIGINT AS total FROM expenses GROUP BY 1", **YEAR)
 _asked("monthly_income", "SELECT 5000000000::BIGINT AS monthly_income", "")
 _asked("expense_by_store", f"WITH f AS (SELECT * FROM expenses WHERE {IN_YEAR} AND lower(storeName) LIKE '%0000000%'), t AS (SELECT coalesce(sum(amount), 0)::BIGINT AS total, count(*)::BIGINT AS n FROM f) SELECT {LISTED}, total, n FROM f, t ORDER BY ts DESC, id LIMIT 10", storeName="0000000", **YEAR)
-_asked("uncategorized_list", f"SELECT {LISTED} FROM expenses WHERE category = '미분류' ORDER BY ts DESC, id LIMIT 20")
 _asked("category_ratio", f"WITH per AS (SELECT category, sum(amount)::BIGINT AS total FROM expenses WHERE {IN_YEAR} GROUP BY 1) SELECT category, total, round(total * 100.0::DOUBLE / 5000000000, 1) AS income_ratio, round(total * 100.0::DOUBLE / (SELECT sum(total) FROM per), 1) AS expense_ratio FROM per", **YEAR)
 _asked("expense_by_card", f"SELECT {LISTED} FROM expenses WHERE {IN_YEAR} AND lower(cardName) LIKE '%machin%' ORDER BY ts DESC, id LIMIT 20", cardName="Machin", **YEAR)
 _asked("search_expense", f"SELECT {LISTED} FROM expenses WHERE storeName ILIKE '%urg%' OR category ILIKE '%urg%' OR cardName ILIKE '%urg%' OR coalesce(memo, '') ILIKE '%urg%' ORDER BY ts DESC, id LIMIT 30", searchKeyword="urg")
 _asked("card_list", "SELECT DISTINCT cardName FROM expenses")
 _asked("income_list", "WITH f AS (SELECT * FROM incomes WHERE ts < TIMESTAMP '2100-01-01' ORDER BY ts DESC, id LIMIT 20) SELECT id, ts, type, source, amount, (SELECT sum(amount)::BIGINT FROM f) AS total FROM f", "i", startDate="1970-01-01", endDate="2099-12-31")
-_asked("duplicate_list", f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY amount, storeName, ts ORDER BY id) AS k FROM expenses), f AS (SELECT * FROM r WHERE k > 1) SELECT {LISTED}, (SELECT count(*) FROM f)::BIGINT AS n FROM f ORDER BY ts DESC, id LIMIT 20")
 _asked("sms_exclusion_list", "SELECT * FROM (VALUES ('광고', 'default'), ('vip', 'user')) t(keyword, source)", "")
 _asked("budget_status", """
 WITH months AS (SELECT strftime(m, '%Y-%m') AS month FROM generate_series(DATE '1997-02-01', DATE '1997-05-01', INTERVAL 1 MONTH) t(m)),
@@ -141,10 +139,8 @@ _acted("update_category_by_store", f"SELECT {OTHERS}, CASE WHEN transaction_type
 _acted("update_category_by_keyword", f"SELECT {OTHERS}, CASE WHEN transaction_type = 'EXPENSE' AND lower(storeName) LIKE '%00007%' THEN '교통' ELSE category END AS category FROM expenses", searchKeyword="00007", newCategory="교통")
 _acted("delete_expense", "SELECT * FROM expenses WHERE id <> 7", expenseId=7)
 _acted("delete_by_keyword", "SELECT * FROM expenses WHERE NOT (storeName ILIKE '%build%' OR category ILIKE '%build%' OR cardName ILIKE '%build%' OR coalesce(memo, '') ILIKE '%build%')", searchKeyword="BUILD")
-_acted("delete_duplicates", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY amount, storeName, ts ORDER BY id) AS k FROM expenses) WHERE k = 1")
 _acted("add_expense", f"SELECT {OTHERS}, category FROM expenses UNION ALL SELECT (SELECT max(id) FROM expenses) + 1, 1234, 'tea', '미분류'", storeName="tea house", amount=1234, date="1998-01-02", memo="tea")
 _acted("update_memo", "SELECT id, amount, category, CASE WHEN id = 4 THEN 'note' ELSE memo END AS memo FROM expenses", expenseId=4, memo="note")
-_acted("update_store_name", "SELECT * FROM expenses", expenseId=4, newStoreName="renamed")
 _acted("update_amount", "SELECT id, category, memo, CASE WHEN id = 4 THEN 99 ELSE amount END AS amount FROM expenses", expenseId=4, newAmount=99)
 
 
@@ -435,11 +431,6 @@ def _(s, d):
     return i.filter(predicates.search("급", columns) | predicates.search("user1", columns)).select("id")
 
 
-@query("prefiltered_documents", "SELECT doc_id FROM documents WHERE length(text) BETWEEN 20 AND 130 AND regexp_matches(text, '[0-9]{2,}') AND NOT (regexp_matches(text, '(?i)https?://')) AND (regexp_matches(lower(text), 'usd|jpy|eur|cms') OR regexp_matches(text, '[0-9,]+원')) AND NOT regexp_matches(lower(text), 'authentication|verification|code|otp|survey|080')", "")
-def _(s, d):
-    return predicates.prefiltered(lg.table(s, d, "documents").withColumnRenamed("text", "body")).select("doc_id")
-
-
 @query("classified_messages", """
 SELECT conv_id::VARCHAR || '_' || turn::VARCHAR AS id,
   CASE WHEN text IS NULL OR trim(text) = '' THEN 'blank' WHEN length(text) > 130 THEN 'tooLong(' || length(text)::VARCHAR || ')'
@@ -583,7 +574,7 @@ def _(s, d):
 def _(s, d):
     rules = s.createDataFrame(STORE_RULES, "id int, keyword string, category string, isFixed boolean, createdAt long")
     m = s.createDataFrame([("00001", "교통")], "storeName string, category string")
-    return matching.categorize(lg.expenses(s, d).select("id", "storeName"), rules, m).select("id", "category", "tier")
+    return matching.categorize(lg.expenses(s, d).select("id", "storeName"), rules, m, words={"식비": ("CU",)}).select("id", "category", "tier")
 
 
 # Screens
@@ -618,4 +609,4 @@ def _(s, d):
     return screens.history(lg.expenses(s, d), 1997, 5, 1, "EXCLUDE_FIXED", s.createDataFrame([("f",)], "keyword string"))
 
 
-from . import catalog_messages  # noqa: E402, F401  registers its queries
+from . import catalog_edits, catalog_messages  # noqa: E402, F401  register their queries

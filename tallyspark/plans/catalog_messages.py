@@ -88,11 +88,11 @@ def _(s, d):
     return e.select("id", dates.format_minute(dates.body_time(F.col("body"), F.col("ts"))).alias("written"), dates.strict_body_time(F.col("body"), F.col("ts")).alias("strict"))
 
 
-@query("corrected_years", "SELECT id, strftime(CASE WHEN id % 2 = 0 THEN ts ELSE ts + INTERVAL 3 DAY END, '%Y-%m-%d') AS day FROM expenses WHERE strftime(ts, '%m-%d') <> '02-29'")
+@query("corrected_years", "SELECT id, strftime(CASE WHEN id % 2 = 0 THEN make_timestamp(year(ts), 1, 1, 0, 0, 0) + (month(ts - INTERVAL 12 MONTH) - 1) * INTERVAL 1 MONTH + (day(ts - INTERVAL 12 MONTH) - 1) * INTERVAL 1 DAY ELSE ts + INTERVAL 3 DAY END, '%Y-%m-%d') AS day FROM expenses")
 def _(s, d):
-    e = lg.expenses(s, d).filter(F.date_format("ts", "MM-dd") != "02-29")
-    # even ids claim a time four years off, odd ones three days off
-    claimed = F.when(F.col("id") % 2 == 0, F.expr("ts - interval 48 months")).otherwise(F.expr("ts + interval 3 days"))
+    e = lg.expenses(s, d)
+    # even ids claim a time a year off (of 29 February its last day), odd ones three days off
+    claimed = F.when(F.col("id") % 2 == 0, F.expr("ts - interval 12 months")).otherwise(F.expr("ts + interval 3 days"))
     return e.select("id", F.date_format(dates.corrected_year(claimed.cast("timestamp_ntz"), F.col("ts")), "yyyy-MM-dd").alias("day"))
 
 
@@ -111,7 +111,7 @@ def _(s, d):
     k = F.col("c_custkey") % 4
     raw = F.when(k == 0, "STARBUCKS 강남점").when(k == 1, "로켓배송").when(k == 2, "삼성화재").otherwise("맥날 역삼")
     known = F.when(k == 0, "스타벅스").when(k == 1, "쿠팡").when(k == 2, "보험").otherwise("맥도날드")
-    return c.select(F.col("c_custkey").alias("id"), text.canonical_store(raw).alias("store"), text.infer_category(known, F.lit("")).alias("category"))
+    return c.select(F.col("c_custkey").alias("id"), text.canonical_store(raw).alias("store"), text.infer_category(known, F.lit(""), {"카페/간식": ("스타벅스",), "온라인쇼핑": ("쿠팡",), "보험": ("보험",), "식비": ("맥도날드",)}).alias("category"))
 
 
 @query("transfer_names", "SELECT c_custkey AS id, c_custkey % 4 IN (0, 1) AS transfer FROM customer", "")
@@ -233,14 +233,6 @@ def _(s, d):
     return clustering.group_route(clustering.stability(pairs)).select("group", "size", "unstable", "route")
 
 
-@query("propagated_categories", "SELECT vec_id::VARCHAR AS \"storeName\", CASE WHEN vec_id <> 0 AND vec_id % 7 <> 0 AND round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) >= 0.9 THEN 'new' ELSE 'old' END AS category FROM embeddings", "")
-def _(s, d):
-    v = vectors(s, d).withColumn("name", F.col("id").cast("string"))
-    stores = v.select(F.col("name").alias("storeName"), F.lit("old").alias("category"), F.when(F.col("id") % 7 == 0, "user").otherwise("vector").alias("source"))
-    pairs = matching.similarities(v.filter("id = 0").select(F.col("name").alias("left_id"), "vector"), v.select(F.col("name").alias("right_id"), "vector"))
-    return matching.propagate(stores, pairs, "0", "new", 0.8).select("storeName", "category")
-
-
 @query("remote_rule_matches", "SELECT id::VARCHAR AS id, 1 AS \"ruleId\", amount::INT AS amount, storeName AS \"storeName\" FROM expenses")
 def _(s, d):
     m = payments(s, d).withColumn("vector", F.array(F.lit(1.0), F.lit(0.0)))
@@ -258,7 +250,7 @@ def _(s, d):
 # Edits
 
 
-@query("store_rule_applied", "SELECT id, CASE WHEN lower(storeName) LIKE '%00001%' THEN '교통' ELSE category END AS category, CASE WHEN lower(storeName) LIKE '%00001%' THEN true ELSE is_fixed END AS is_fixed FROM expenses")
+@query("store_rule_applied", "SELECT id, CASE WHEN lower(storeName) LIKE '%00001%' THEN '교통' ELSE category END AS category, CASE WHEN lower(storeName) LIKE '%00001%' THEN transfer_direction <> 'DEPOSIT' ELSE is_fixed END AS is_fixed FROM expenses")
 def _(s, d):
     return mu.apply_store_rule(lg.expenses(s, d), "00001", "교통", True)[0].select("id", "category", "is_fixed")
 

@@ -7,7 +7,7 @@ tables and a count. Clock and settings are parts of the ledger that is asked, ne
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field, fields
+from dataclasses import dataclass, field, fields, replace
 from datetime import datetime
 from functools import reduce
 from typing import Any
@@ -295,7 +295,7 @@ def apply(a: Action, ledger: Ledger) -> tuple[str, DataFrame, DataFrame]:
     if kind == "update_category_by_keyword" and a.searchKeyword and a.newCategory:
         return "expenses", *mu.set_category_by_keyword(e, a.searchKeyword, a.newCategory)
     if kind == "delete_expense" and i is not None:
-        return "expenses", *mu.delete(e, F.col("id") == i)
+        return "expenses", *mu.delete(e, F.col("id") == i)  # ``after`` writes its tombstone
     if kind == "delete_by_keyword" and a.searchKeyword:
         return "expenses", *mu.delete_by_keyword(e, a.searchKeyword)
     if kind == "delete_duplicates":
@@ -318,9 +318,28 @@ def apply(a: Action, ledger: Ledger) -> tuple[str, DataFrame, DataFrame]:
     return nothing
 
 
+def after(a: Action, ledger: Ledger) -> tuple[Ledger, DataFrame]:
+    """The ledger that an action leaves, and one row with the count. A deleted row leaves a tombstone, so that reading its message again doesn't bring it back."""
+    name, new, count = apply(a, ledger)
+    changed = {name: new}
+    if a.type.lower() == "delete_expense" and a.expenseId is not None:
+        start = ledger.tombstones if ledger.tombstones is not None else ledger.expenses.select("smsId").limit(0)
+        changed["expenses"], changed["tombstones"], count = mu.delete_expense(ledger.expenses, start, a.expenseId)
+    return replace(ledger, **changed), count
+
+
 def answer(text: str, ledger: Ledger) -> list[DataFrame]:
-    """The tables that a request's queries ask for, in order; the fallback where it can't be read or asks nothing."""
+    """What a request gives: the tables of its queries, then the count of each action; the fallback where it can't be read or asks nothing."""
+    return respond(text, ledger)[0]
+
+
+def respond(text: str, ledger: Ledger) -> tuple[list[DataFrame], Ledger]:
+    """``answer`` and the ledger that the request leaves. Queries are asked of the ledger as it is; actions follow each other in order."""
     request = parse(text)
     if request is None or not (request.queries or request.actions or request.clarification):
-        return [fallback(ledger, *period(None, None, ledger.now))]
-    return [run(q, ledger) for q in request.queries]
+        return [fallback(ledger, *period(None, None, ledger.now))], ledger
+    out = [run(q, ledger) for q in request.queries]
+    for a in request.actions:
+        ledger, count = after(a, ledger)
+        out.append(count)
+    return out, ledger

@@ -7,22 +7,40 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.categories import resolved
 from ..functions.dates import billing_month
 from ..operators import aggregates as ag
-from ..operators.predicates import fixed_filter, within, without_keywords
-from ..operators.windows import cumulative, with_frequency
+from ..operators.predicates import fixed_filter, visible, within, without_keywords
+from ..operators.windows import average_cumulative, budget_line, cumulative, with_frequency
 
 
-def home(expenses: DataFrame, incomes: DataFrame, year: int, month: int, start_day: int, exclusions: DataFrame | None = None) -> DataFrame:
-    """(part, key, amount) of a billing month: spending, its categories, income."""
+def home(expenses: DataFrame, incomes: DataFrame, year: int, month: int, start_day: int, exclusions: DataFrame | None = None, text: str = "originalSms") -> DataFrame:
+    """(part, key, amount) of a billing month: spending, its categories, income; rows whose ``text`` holds an excluded word are left out of both."""
     first, last = billing_month(year, month, start_day)
-    rows = expenses.filter(within("ts", first, last))
+    rows, got = expenses.filter(within("ts", first, last)), incomes.filter(within("ts", first, last))
     if exclusions is not None:
-        rows = without_keywords(rows, "originalSms", exclusions)
+        rows, got = without_keywords(rows, text, exclusions), without_keywords(got, text, exclusions) if text in got.columns else got
     spent = ag.total(rows, "amount").select(F.lit("spent").alias("part"), F.lit("").alias("key"), "amount")
     per = ag.total_by(rows, key=F.col("category")).select(F.lit("category").alias("part"), "key", F.col("total").alias("amount"))
-    got = ag.total(incomes.filter(within("ts", first, last)), "amount").select(F.lit("income").alias("part"), F.lit("").alias("key"), "amount")
-    return spent.unionByName(per).unionByName(got)
+    income = ag.total(got, "amount").select(F.lit("income").alias("part"), F.lit("").alias("key"), "amount")
+    return spent.unionByName(per).unionByName(income)
+
+
+def home_curves(expenses: DataFrame, year: int, month: int, start_day: int, budget: int, months: int = 3) -> DataFrame:
+    """(part, key, amount) of a billing month day by day: spending so far, its mean over the ``months`` before, and the budget spent evenly."""
+    first, last = billing_month(year, month, start_day)
+    days = (last.date() - first.date()).days + 1
+    tag = lambda curve, part: curve.select(F.lit(part).alias("part"), F.format_string("%02d", "day").alias("key"), F.col("cumulative").alias("amount"))
+    now = cumulative(expenses.filter(within("ts", first, last)), first.date(), days)
+    mean = average_cumulative(expenses, months, year, month, start_day, days)
+    return tag(now, "now").unionByName(tag(mean, "mean")).unionByName(tag(budget_line(expenses.sparkSession, budget, days), "budget"))
+
+
+def home_categories(expenses: DataFrame, year: int, month: int, start_day: int, custom: tuple[str, ...] = (), most: int = 3) -> DataFrame:
+    """The categories, resolved to known and custom ones, with most spending in a billing month, and what they had in the one before."""
+    before = divmod(year * 12 + month - 2, 12)
+    known = expenses.withColumn("category", resolved(F.col("category"), True, custom))
+    return top_categories(known, billing_month(year, month, start_day), billing_month(before[0], before[1] + 1, start_day), most)
 
 
 def category_curve(expenses: DataFrame, names: tuple[str, ...], year: int, month: int, start_day: int = 1) -> DataFrame:
@@ -48,6 +66,20 @@ def history(expenses: DataFrame, year: int, month: int, start_day: int, fixed: s
     return rows.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("date")).agg(F.count(F.lit(1)).alias("n"), F.sum("amount").cast("long").alias("total"))
 
 
+def history_days(
+    expenses: DataFrame, incomes: DataFrame, year: int, month: int, start_day: int, shown: dict[str, tuple[str, ...] | None], fixed: str = "ALL", exclusions: DataFrame | None = None, text: str = "originalSms"
+) -> DataFrame:
+    """Per day of a billing month: rows, spending and income of what is shown. ``shown``: kinds of rows and their categories (None for all)."""
+    span = within("ts", *billing_month(year, month, start_day))
+    rows = expenses.filter(span & visible(F.col("transaction_type"), F.col("category"), shown) & fixed_filter(fixed))
+    if exclusions is not None:
+        rows = without_keywords(rows, text, exclusions)
+    both = rows.select("ts", F.col("amount").alias("spent"), F.lit(0).cast("long").alias("got"))
+    if "INCOME" in shown:
+        both = both.unionByName(incomes.filter(span).select("ts", F.lit(0).cast("long").alias("spent"), F.col("amount").alias("got")))
+    return both.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("date")).agg(F.count(F.lit(1)).alias("n"), F.sum("spent").cast("long").alias("expense"), F.sum("got").cast("long").alias("income"))
+
+
 def day_detail(expenses: DataFrame, incomes: DataFrame, day: date) -> DataFrame:
     """(kind, id, amount) of one day."""
     first = datetime(day.year, day.month, day.day)

@@ -53,6 +53,19 @@ expenses AS (
 )"""
 
 
+def planted(rows: DataFrame) -> DataFrame:
+    """Expenses with what edits look for: copies of some rows under ids of their own, and unclassified rows."""
+    open_ = rows.withColumn("category", F.when(F.col("id") % 31 == 0, "미분류").otherwise(F.col("category")))
+    return open_.unionByName(rows.filter("id % 97 = 0").withColumn("id", F.col("id") + 1_000_000_000))
+
+
+PLANTED_SQL = EXPENSES_SQL.replace("expenses AS", "stored AS", 1) + """,
+expenses AS (
+  SELECT * REPLACE (CASE WHEN id % 31 = 0 THEN '미분류' ELSE category END AS category) FROM stored
+  UNION ALL SELECT * REPLACE (id + 1000000000 AS id) FROM stored WHERE id % 97 = 0
+)"""
+
+
 def incomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purchases among events as incomes; these have a time of day."""
     e = table(spark, sf_dir, "events").filter(F.col("event_type") == "purchase")

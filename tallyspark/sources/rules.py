@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -72,3 +73,9 @@ def vector_rules(rows: DataFrame) -> DataFrame:
     return rows.filter((F.size("vector") > 0) & (F.col("amountRegex") != "") & (F.col("storeRegex") != "") & F.coalesce("enabled", F.lit(True))).withColumn(
         "minSimilarity", F.coalesce("minSimilarity", F.lit(lx.SIMILARITY["remote_rule"]))
     )
+
+
+def category_words(spark: SparkSession, path: str) -> dict[str, tuple[str, ...]]:
+    """A dictionary of categories and their words, in declared order: a JSON object of lists, by whatever file system its path names."""
+    text = spark.read.text(path, wholetext=True).first()[0]
+    return {c: tuple(ws) for c, ws in json.loads(text).items()}

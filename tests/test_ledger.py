@@ -170,7 +170,9 @@ def test_text_functions(spark):
     assert "{AMOUNT}원" in one(text.templatize(F.lit("[신한] 02/05 스타벅스 11,940원 승인 / 잔액 100,000원")))
     assert one(text.templatize(F.lit("[KB]02/05 22:47\n1234*567\n스타벅스\n체크카드출금\n11,940\n잔액100,000"))) == "[KB]{DATE} {TIME}\n{CARD_NUM}\n{STORE}\n체크카드출금\n{AMOUNT}\n잔액{BALANCE}"
     assert one(text.loosely_equal(F.lit("abcdefgh"), F.lit("abcdefghij"))) and not one(text.loosely_equal(F.lit("abc"), F.lit("xyz")))
-    assert one(text.infer_category(F.lit("스타벅스 강남"), F.lit(""))) == "카페/간식" and one(text.infer_category(F.lit("zz"), F.lit(""))) == "미분류"
+    words = {"카페/간식": ("스타벅스",), "식비": ("강남",)}
+    assert one(text.infer_category(F.lit("스타벅스 강남"), F.lit(""), words)) == "카페/간식" and one(text.infer_category(F.lit("zz"), F.lit("강남"), words)) == "식비"
+    assert one(text.infer_category(F.lit("스타벅스 강남"), F.lit(""))) == "미분류"
     assert one(text.pre_classify(F.lit("Netflix.com"))) == "구독" and one(text.canonical_store(F.lit("STARBUCKS 강남점"))) == "스타벅스"
     assert one(text.is_transfer_name(F.lit("하*현"))) and not one(text.is_transfer_name(F.lit("쿠팡")))
     assert one(text.csv_field(F.lit('a,"b'))) == '"a,""b"' and one(text.short_title(F.lit("x" * 31))) == "x" * 30 + "..."

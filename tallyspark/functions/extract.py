@@ -95,16 +95,17 @@ def _clean_name(name: Column) -> Column:
 
 
 def income_source(body: Column) -> Column:
-    """Who sent an income: the nearest usable line above ``입금``, else ``…으로부터``, else the word beside ``입금``; '' if unclear."""
+    """Who sent an income: the nearest usable line above the first ``입금`` that has one, else ``…으로부터``, else the word beside ``입금``; '' if unclear."""
     lines = _trimmed_lines(body)
-    at = F.array_position(lines, "입금").cast("int")
     skip = lambda x: x.contains("**") | x.rlike(r"^[\d*]+$") | x.rlike(r"^\d{1,2}[/.-]\d{1,2}\s+\d{1,2}:\d{2}$") | x.rlike(r"^\[.+\]$") | x.rlike(r"^\[.+\]\d{1,2}[/.-]\d{1,2}\s+\d{1,2}:\d{2}$") | (x == "") | x.contains("Web발신")
-    above = F.filter(F.transform(F.filter(F.reverse(F.slice(lines, 1, F.greatest(at - 1, F.lit(0)))), lambda x: ~skip(x)), _clean_name), lambda x: x != "")
+    nearest = lambda i: F.get(F.filter(F.transform(F.filter(F.reverse(F.slice(lines, F.lit(1), F.greatest(i - 1, F.lit(0)))), lambda x: ~skip(x)), _clean_name), lambda x: x != ""), F.lit(0))
+    marks = F.filter(F.transform(lines, lambda x, i: F.when(x == "입금", i + 1)), lambda i: i.isNotNull())
+    above = F.get(F.filter(F.transform(marks, nearest), lambda x: x.isNotNull()), F.lit(0))
     sender = F.nullif(F.regexp_extract(body, r"([가-힣a-zA-Z0-9]+?)(님)?(?:으)?로부터", 1), F.lit(""))
     pattern = r"입금\s*([가-힣a-zA-Z0-9]{2,10})|([가-힣a-zA-Z0-9]{2,10})\s*입금"
     word = lambda x: F.coalesce(F.nullif(F.regexp_extract(x, pattern, 1), F.lit("")), F.nullif(F.regexp_extract(x, pattern, 2), F.lit("")))
     beside = F.get(F.filter(F.transform(lines, word), lambda w: w.isNotNull() & ~w.isin(*lx.INCOME_WORDS)), F.lit(0))
-    return F.coalesce(F.when(at > 0, F.get(above, F.lit(0))), sender, beside, F.lit(""))
+    return F.coalesce(above, sender, beside, F.lit(""))
 
 
 def grounded(body: Column, amount_value: Column, store: Column) -> Column:

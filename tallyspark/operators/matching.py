@@ -86,16 +86,14 @@ def match_templates(messages: DataFrame, patterns: DataFrame, most: int = 20, st
     return best.select("id", F.col("_r.patternId").alias("patternId"), F.col("_r.tier").alias("tier"), "_r._p.*")
 
 
-def similarities(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = (), least: float | None = None) -> DataFrame:
-    """Cosines (rounded to 6) of pairs of (left_id, vector) and (right_id, vector) that agree in ``keys``.
+def similarities(left: DataFrame, right: DataFrame, keys: tuple[str, ...], least: float | None = None) -> DataFrame:
+    """Cosines (rounded to 6) of pairs of (left_id, vector) and (right_id, vector) that agree in ``keys``; ``near_pairs`` is for those without keys.
 
-    Vectors are brought to length 1 once per row. Without keys every pair meets: the right side is then a
-    small reference table (its size decides whether Spark broadcasts it).
+    Vectors are brought to length 1 once per row.
     """
     a = left.withColumn("_a", unit(F.col("vector"))).drop("vector")
     b = right.withColumn("_b", unit(F.col("vector"))).drop("vector")
-    j = a.join(b, list(keys)) if keys else a.crossJoin(b)
-    out = j.withColumn("similarity", F.when(F.size("_a") == F.size("_b"), F.round(dot(F.col("_a"), F.col("_b")), 6)).otherwise(0.0)).drop("_a", "_b")
+    out = a.join(b, list(keys)).withColumn("similarity", F.when(F.size("_a") == F.size("_b"), F.round(dot(F.col("_a"), F.col("_b")), 6)).otherwise(0.0)).drop("_a", "_b")
     return out if least is None else out.filter(F.col("similarity") >= least)
 
 
@@ -108,12 +106,13 @@ def near_pairs(left: DataFrame, right: DataFrame, least: float | None = None, be
 
     Both sides are dealt into blocks by a hash of their ids; every two blocks meet in one task as a matrix
     product, and only what is kept leaves it. Rows of another length have similarity 0. ``best_only``
-    ties go to the smaller right id; ``skip_equal`` leaves out a row's own id.
+    ties go to the smaller right id; ``skip_equal`` leaves out a row's own id. Ids may be of any type.
     """
+    kinds = {name: rows.schema[name].dataType.simpleString() for name, rows in (("left_id", left), ("right_id", right))}
     a, b = max(1, -(-left.count() // BLOCK)), max(1, -(-right.count() // BLOCK))
 
     def side(rows: DataFrame, name: str, own: str, n: int, other: str, m: int) -> DataFrame:
-        plain = rows.select(F.col(name).cast("long").alias("id"), F.col("vector").alias("vector"))
+        plain = rows.select(F.col(name).alias("id"), F.col("vector").alias("vector"))
         return plain.select("id", "vector", F.size("vector").alias("d"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
 
     x, y = side(left, "left_id", "p", a, "q", b), side(right, "right_id", "q", b, "p", a)
@@ -122,9 +121,8 @@ def near_pairs(left: DataFrame, right: DataFrame, least: float | None = None, be
         import numpy as np
         import pandas as pd
 
-        none = pd.DataFrame({"left_id": np.zeros(0, np.int64), "right_id": np.zeros(0, np.int64), "similarity": np.zeros(0)})
         if not len(f) or not len(g):
-            return none
+            return pd.DataFrame({"left_id": f["id"][:0], "right_id": g["id"][:0], "similarity": np.zeros(0)})
         g = g.sort_values("id")
         u, v = (np.stack(t["vector"].to_numpy()).astype(np.float64) for t in (f, g))
         scale = np.linalg.norm(u, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :]
@@ -139,7 +137,7 @@ def near_pairs(left: DataFrame, right: DataFrame, least: float | None = None, be
             i, j = np.nonzero(s >= (least if least is not None else -1))
         return pd.DataFrame({"left_id": ids[i], "right_id": others[j], "similarity": s[i, j]})
 
-    found = x.groupBy("p", "q", "d").cogroup(y.groupBy("p", "q", "d")).applyInPandas(meet, "left_id long, right_id long, similarity double")
+    found = x.groupBy("p", "q", "d").cogroup(y.groupBy("p", "q", "d")).applyInPandas(meet, f"left_id {kinds['left_id']}, right_id {kinds['right_id']}, similarity double")
     return best_match(found) if best_only else found
 
 

@@ -74,7 +74,7 @@ def _(s, d):
     near = v.filter("id = 0").withColumn("id", F.explode(F.sequence(F.lit(1_000_000).cast("long"), F.lit(1_000_009).cast("long"))))
     v = v.unionByName(near.select(*v.columns)).withColumn("name", F.col("id").cast("string"))
     stores = v.select(F.col("name").alias("storeName"), F.lit("old").alias("category"), F.when(F.col("id") % 7 == 0, "user").otherwise("vector").alias("source"))
-    pairs = matching.similarities(v.filter("id = 0").select(F.col("name").alias("left_id"), "vector"), v.select(F.col("name").alias("right_id"), "vector"))
+    pairs = matching.near_pairs(v.filter("id = 0").select(F.col("name").alias("left_id"), "vector"), v.select(F.col("name").alias("right_id"), "vector"), 0.9)
     return matching.propagate(stores, pairs, "0", "new", 0.8).select("storeName", "category")
 
 

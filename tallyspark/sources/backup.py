@@ -36,8 +36,12 @@ def combined_lines(expenses: DataFrame, incomes: DataFrame) -> DataFrame:
 
 
 def write_csv(lines: DataFrame, header: str, path: str) -> None:
-    """Lines in order of time below a header with a byte order mark. One sorted range per file; the header is a file of its own before them."""
-    spark = lines.sparkSession
-    body = lines.orderBy(F.desc("ts"), "id").select("line")
-    spark.createDataFrame([("﻿" + header,)], "line string").coalesce(1).write.mode("overwrite").text(path)
-    body.write.mode("append").text(path)
+    """Lines in order of time, one sorted range per file, replacing what is there. The header, with a byte order mark, is the file ``00000-header``: files joined in order of their names are the whole."""
+    lines.orderBy(F.desc("ts"), "id").select("line").write.mode("overwrite").text(path)
+    jvm = lines.sparkSession._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path, "00000-header")
+    out = place.getFileSystem(lines.sparkSession._jsparkSession.sessionState().newHadoopConf()).create(place)
+    try:
+        out.write(bytearray(f"\ufeff{header}\n".encode()))
+    finally:
+        out.close()

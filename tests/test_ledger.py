@@ -263,3 +263,36 @@ def test_vectors(spark):
     rng = np.random.default_rng(0)
     a, b = rng.normal(size=8), rng.normal(size=8)
     assert one(a.tolist(), b.tolist()) == pytest.approx(float(a @ b / np.linalg.norm(a) / np.linalg.norm(b)), abs=1e-6)
+
+
+def test_csv_files_join_to_one(spark, tmp_path):
+    from tallyspark.sources.backup import write_csv
+
+    lines = spark.createDataFrame([(f"line {i}", i, i) for i in range(50)], "line string, ts long, id long").repartition(5)
+    for _ in range(2):  # writing again replaces
+        write_csv(lines, "a,b", f"{tmp_path}/out")
+    whole = b"".join(p.read_bytes() for p in sorted((tmp_path / "out").iterdir()) if p.name[0] not in "._")
+    assert whole.decode("utf-8-sig").splitlines() == ["a,b", *(f"line {i}" for i in reversed(range(50)))]
+
+
+def test_income_sources_of_several_marks(spark):
+    from tallyspark.functions import extract
+
+    one = lambda t: spark.range(1).select(extract.income_source(F.lit(t))).first()[0]
+    assert one("입금\n홍길동\n입금\n100") == "홍길동" and one("김철수\n입금\n홍길동\n입금") == "김철수"
+    assert one("[Web발신]\n입금\n12/01 10:11\n입금") == "입금" and one("입금 10000") in ("10000", "")
+
+
+def test_dictionary_of_categories(spark, tmp_path):
+    from tallyspark.sources.rules import category_words
+
+    (tmp_path / "words.json").write_text('{"b": ["x", "y"],\n "a": ["z"]}')
+    assert list(category_words(spark, str(tmp_path / "words.json")).items()) == [("b", ("x", "y")), ("a", ("z",))]
+
+
+def test_notifications_of_equal_worth(spark):
+    from tallyspark.operators.predicates import best_notification
+
+    rows = [(1, "결제 100원"), (1, "결제 200원"), (1, " "), (2, "none"), (3, "")]
+    got = {r["note_id"]: r["body"] for r in best_notification(spark.createDataFrame(rows, "note_id int, body string")).collect()}
+    assert got == {1: "결제 100원", 2: "none"}

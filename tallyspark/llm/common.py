@@ -104,8 +104,8 @@ def remainder(doc_id, modulus: int):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus, F.lit(-1)).cast("int")
 
 
-#: Keys with more than a 500th of all rows are hubs: there are at most 500 of them, whatever the table, so they are broadcast.
-HUB_SHARE = 500
+#: Keys with more than a 20,000th of all rows are hubs: there are at most 20,000 of them, whatever the table, so they are broadcast.
+HUB_SHARE = 20_000
 #: Rows of a key that never make it a hub.
 HUB_LEAST = 256
 

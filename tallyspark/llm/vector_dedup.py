@@ -190,7 +190,8 @@ def links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         i, j = (np.concatenate([np.zeros(0, np.int64), *side]) for side in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
         return _summary(ids, f["name"].to_numpy(), weights, i, j)
 
-    return rows.groupBy(*keys, "x", "y").applyInPandas(search, "id long, other long, n long")
+    # an exchange of its own: else a cell's pairs of chunks would stay where the cell is
+    return rows.repartition(*keys, "x", "y").groupBy(*keys, "x", "y").applyInPandas(search, "id long, other long, n long")
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:

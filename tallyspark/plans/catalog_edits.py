@@ -209,7 +209,7 @@ def _(s, d):
 # Single values
 
 
-@query("optional_filters", "SELECT id FROM expenses WHERE cardName = 'BUILDING'")
+@query("absent_filters", "SELECT id FROM expenses WHERE cardName = 'BUILDING'")
 def _(s, d):
     return lg.expenses(s, d).filter(predicates.optional("cardName", "BUILDING") & predicates.optional("category", None)).select("id")
 

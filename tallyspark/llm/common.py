@@ -122,11 +122,12 @@ def look_up(rows: DataFrame, table: DataFrame, keys: list[str], limit: int, spre
     shuffle by which the others meet their key, rows of hubs are spread by the column ``spread``. So no key has more than ``limit`` rows in a task.
     """
     values = [c for c in table.columns if c not in (*keys, "_n")]
-    named = lambda t, tag: t.select(*keys, *(F.col(v).alias(tag + v) for v in values), F.lit(tag).alias(tag))
+    named = lambda t, tag, *more: t.select(*keys, *more, *(F.col(v).alias(tag + v) for v in values), F.lit(tag).alias(tag))
     got = rows.join(F.broadcast(named(table.filter(F.col("_n") > limit), "_hub")), keys, "left")
     got = got.withColumn("_salt", F.when(F.col("_hub").isNotNull(), F.pmod(F.xxhash64(spread), F.lit(1 << 20)) + 1).otherwise(0))
-    rest = named(table.filter(F.col("_n") <= limit), "_own").withColumn("_salt", F.lit(0).cast("long"))
-    got = got.join(rest, [*keys, "_salt"], "left").filter(F.col("_hub").isNotNull() | F.col("_own").isNotNull())
+    # 0 for every count, but no literal: the optimizer takes a literal out of the join's keys, and a hub's rows meet in one task
+    salt = F.least("_n", F.lit(0)).cast("long").alias("_salt")
+    got = got.join(named(table.filter(F.col("_n") <= limit), "_own", salt), [*keys, "_salt"], "left").filter(F.col("_hub").isNotNull() | F.col("_own").isNotNull())
     return got.select(*rows.columns, *(F.when(F.col("_hub").isNotNull(), F.col("_hub" + v)).otherwise(F.col("_own" + v)).alias(v) for v in values))
 
 

@@ -1,5 +1,7 @@
 """Operator 10 against brute force, and the components routine."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -7,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tallyspark.llm import text_dedup as td
-from tallyspark.llm.common import components
+from tallyspark.llm.common import components, look_up
 
 
 def sets_of(texts, size):
@@ -141,3 +143,21 @@ def test_signatures_estimate_similarity():
     a, b = np.unique(pool[:2000]), np.unique(pool[500:2500])
     x, y = td.signature(a), td.signature(b)
     assert abs((x == y).mean() - 1500 / 2500) < 0.12 and np.array_equal(td.signature(a[::-1].copy()), x)
+
+
+def test_hubs_are_spread(spark):
+    """Rows of a key above the limit meet no other in the shuffle, and each row gets its key's value."""
+    held = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16"}
+    before = {name: spark.conf.get(name) for name in held}
+    for name, value in held.items():
+        spark.conf.set(name, value)
+    try:
+        rows = spark.range(4_000).select(F.when(F.col("id") < 3_000, F.lit(-1)).otherwise(F.col("id") % 100).cast("long").alias("a"), F.col("id").alias("b"))
+        table = rows.filter("a != 5").groupBy("a").agg((F.min("a") * 2).alias("twice"), F.count(F.lit(1)).alias("_n"))
+        got = look_up(rows, table, ["a"], 50, "b").withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert len(got) == 3_990 and all(r["twice"] == 2 * r["a"] for r in got) and not any(r["a"] == 5 for r in got)
+    hub = Counter(r["task"] for r in got if r["a"] == -1)
+    assert len(hub) == 16 and max(hub.values()) < 400

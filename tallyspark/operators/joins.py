@@ -12,6 +12,8 @@ from ..functions.categories import resolved
 from ..functions.text import all_aliases, any_of, content_key, parse_message_id
 from .predicates import holds, within
 
+#: Keywords or mappings up to this number are broadcast and tried on every name; more are found by equal pieces.
+FEW = 64
 #: A message and its stored row are the same if their times differ by this much at most.
 MARGIN_MS = 10_000
 
@@ -62,26 +64,51 @@ def without_conflicts(stored: DataFrame, new: DataFrame, key: str = "smsId") ->
     return stored.join(new.select(key).filter(F.col(key).isNotNull()).distinct(), key, "left_anti")
 
 
+def few(rows: DataFrame) -> bool:
+    """Whether a table has ``FEW`` rows at most."""
+    return rows.limit(FEW + 1).count() <= FEW
+
+
+def pieces(texts: DataFrame, text: str, keys: DataFrame, key: str) -> DataFrame:
+    """Pairs of rows of ``texts`` and ``keys`` whose ``text`` holds ``key``, as often as it does; the columns' names differ.
+
+    Every piece of a text that is as long as some key meets the keys by equality, so no text meets all keys. Null holds and is held by nothing.
+    """
+    size = F.col("_piece_size")
+    sizes = keys.agg(F.collect_set(F.length(key)).alias("_piece_sizes"))  # one row
+    cut = texts.crossJoin(F.broadcast(sizes)).withColumn("_piece_size", F.explode("_piece_sizes")).filter(size <= F.length(text))
+    last = F.when(size == 0, 1).otherwise(F.length(text) - size + 1)
+    cut = cut.withColumn("_piece_at", F.explode(F.sequence(F.lit(1), last))).withColumn("_piece", F.substring(F.col(text), F.col("_piece_at"), size))
+    return cut.join(keys, F.col("_piece") == F.col(key)).drop("_piece_sizes", "_piece_size", "_piece_at", "_piece")
+
+
 def store_rules(rows: DataFrame, rules: DataFrame, policy: str = "newest") -> DataFrame:
     """Rows with the rule (rule_category, rule_fixed) whose keyword their shop holds: the newest, or the longest keyword.
 
-    Rules are typed in by users; shops are matched once per distinct name.
+    Shops are matched once per distinct name: with a few rules each by each, with many by equal pieces.
     """
-    names = rows.select("storeName").distinct()
+    names = rows.select("storeName").distinct().withColumn("_lower", F.lower("storeName"))
     r = rules.select(F.lower("keyword").alias("_k"), F.col("category").alias("rule_category"), F.col("isFixed").alias("rule_fixed"), F.col("createdAt").alias("_at"), F.col("id").alias("_rid"))
     order = F.struct("_at", "_rid") if policy == "newest" else F.struct(F.length("_k"), "_at", "_rid")
-    hit = names.join(r, F.lower("storeName").contains(F.col("_k")))
+    hit = names.join(F.broadcast(r), F.col("_lower").contains(F.col("_k"))) if few(r) else pieces(names, "_lower", r, "_k")
     best = hit.groupBy("storeName").agg(F.max_by(F.struct("rule_category", "rule_fixed"), order).alias("_r"))
     return rows.join(best, "storeName", "left").select(*(rows[c] for c in rows.columns), F.col("_r.rule_category").alias("rule_category"), F.col("_r.rule_fixed").alias("rule_fixed"))
 
 
 def mapped_category(stores: DataFrame, mappings: DataFrame) -> DataFrame:
-    """Shops (storeName) with the category of their mapping: exact, else the first (by name) that contains or is contained."""
+    """Shops (storeName) with the category of their mapping: exact, else the first (by name) that contains or is contained.
+
+    A few mappings are tried on every name; many meet the names by equal pieces, either way.
+    """
     m = mappings.select(F.col("storeName").alias("_m"), F.col("category").alias("_c"))
     names = stores.select("storeName").distinct()
     exact_hit = names.join(m, F.col("storeName") == F.col("_m"), "left").select("storeName", F.col("_c").alias("_exact"))
     rest = exact_hit.filter("_exact IS NULL").select("storeName")
-    partial = rest.join(m, F.col("storeName").contains(F.col("_m")) | F.col("_m").contains(F.col("storeName"))).groupBy("storeName").agg(F.min_by("_c", "_m").alias("_partial"))
+    if few(m):
+        hit = rest.join(F.broadcast(m), F.col("storeName").contains(F.col("_m")) | F.col("_m").contains(F.col("storeName")))
+    else:
+        hit = pieces(rest, "storeName", m, "_m").unionByName(pieces(m, "_m", rest, "storeName"))
+    partial = hit.groupBy("storeName").agg(F.min_by("_c", "_m").alias("_partial"))
     found = exact_hit.join(partial, "storeName", "left").select("storeName", F.coalesce("_exact", "_partial").alias("mapped_category"))
     return stores.join(found, "storeName", "left")
 

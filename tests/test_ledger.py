@@ -296,3 +296,27 @@ def test_notifications_of_equal_worth(spark):
     rows = [(1, "결제 100원"), (1, "결제 200원"), (1, " "), (2, "none"), (3, "")]
     got = {r["note_id"]: r["body"] for r in best_notification(spark.createDataFrame(rows, "note_id int, body string")).collect()}
     assert got == {1: "결제 100원", 2: "none"}
+
+
+@pytest.mark.parametrize("few", [0, 64])
+def test_names_and_keywords_by_pieces(spark, monkeypatch, few):
+    """Many rules and mappings are found by equal pieces, a few are tried each by each; both are what plain loops find."""
+    monkeypatch.setattr(joins, "FEW", few)
+    names = ["", "a", "Ab", "abab", "bAb a", "카페 봄", "봄", "😀x", "zz", None, "abab"]
+    words = ["ab", "B", "", "봄", "😀", "ABABAB", "카페 봄날", None, "q"]
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "id int, storeName string")
+    rules = spark.createDataFrame([(k, w, f"c{k}", False, 10 - k % 3) for k, w in enumerate(words)], "id int, keyword string, category string, isFixed boolean, createdAt long")
+    got = {r["id"]: r["rule_category"] for r in joins.store_rules(rows, rules).collect()}
+    held = lambda n: [(10 - k % 3, k) for k, w in enumerate(words) if n is not None and w is not None and w.lower() in n.lower()]
+    assert got == {i: f"c{max(held(n))[1]}" if held(n) else None for i, n in enumerate(names)}
+    mappings = [w for w in words if w]
+    table = spark.createDataFrame([(w, f"c{w}") for w in mappings], "storeName string, category string")
+    found = {r["id"]: r["mapped_category"] for r in joins.mapped_category(rows, table).collect()}
+
+    def mapped(n):
+        if n is None:
+            return None
+        hits = [n] if n in mappings else [w for w in mappings if w in n or n in w]
+        return f"c{min(hits, key=lambda w: w.encode())}" if hits else None
+
+    assert found == {i: mapped(n) for i, n in enumerate(names)}

@@ -101,21 +101,31 @@ def similarities(left: DataFrame, right: DataFrame, keys: tuple[str, ...], least
 BLOCK = 4_096
 
 
-def near_pairs(left: DataFrame, right: DataFrame, least: float | None = None, best_only: bool = False, skip_equal: bool = False) -> DataFrame:
+def near_pairs(left: DataFrame, right: DataFrame, least: float | None = None, best_only: bool = False, skip_equal: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
     """(left_id, right_id, similarity) of vectors whose cosine (rounded to 6) is ``least`` or more, or each left row's best.
 
-    Both sides are dealt into blocks by a hash of their ids; every two blocks meet in one task as a matrix
-    product, and only what is kept leaves it. Rows of another length have similarity 0. ``best_only``
+    Both sides are dealt into blocks by a hash of their ids, within ``keys`` if there are some (null keys
+    meet nothing); every two blocks meet in one task as a matrix product, and only what is kept leaves it,
+    so a key of any size is many tasks. Null vectors and pairs of other lengths take no part. ``best_only``
     ties go to the smaller right id; ``skip_equal`` leaves out a row's own id. Ids may be of any type.
     """
+    keys = list(keys)
     kinds = {name: rows.schema[name].dataType.simpleString() for name, rows in (("left_id", left), ("right_id", right))}
-    a, b = max(1, -(-left.count() // BLOCK)), max(1, -(-right.count() // BLOCK))
-
-    def side(rows: DataFrame, name: str, own: str, n: int, other: str, m: int) -> DataFrame:
-        plain = rows.select(F.col(name).alias("id"), F.col("vector").alias("vector"))
-        return plain.select("id", "vector", F.size("vector").alias("d"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
-
-    x, y = side(left, "left_id", "p", a, "q", b), side(right, "right_id", "q", b, "p", a)
+    if keys:
+        blocks = lambda rows, n: rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(n))
+        sizes = blocks(left, "_p").join(blocks(right, "_q"), keys)
+        left, right = left.join(sizes, keys), right.join(sizes, keys)
+    else:
+        n = [F.lit(max(1, -(-rows.count() // BLOCK))) for rows in (left, right)]
+        left, right = (rows.withColumn("_p", n[0]).withColumn("_q", n[1]) for rows in (left, right))
+
+    def side(rows: DataFrame, name: str, own: str, other: str) -> DataFrame:
+        own_names = [F.col(c).alias(c) for c in (*keys, "vector", "_p", "_q")]  # new columns, as both sides may be one table
+        plain = rows.filter("vector IS NOT NULL").select(*own_names, F.col(name).alias("id"), F.size("vector").alias("d"))
+        block = F.pmod(F.xxhash64("id"), F.col(f"_{own}")).cast("int").alias(own)
+        return plain.select(*keys, "id", "vector", "d", block, F.explode(F.sequence(F.lit(0), F.col(f"_{other}") - 1)).alias(other))
+
+    x, y = side(left, "left_id", "p", "q"), side(right, "right_id", "q", "p")
 
     def meet(f, g):
         import numpy as np
@@ -137,7 +147,7 @@ def near_pairs(left: DataFrame, right: DataFrame, least: float | None = None, be
             i, j = np.nonzero(s >= (least if least is not None else -1))
         return pd.DataFrame({"left_id": ids[i], "right_id": others[j], "similarity": s[i, j]})
 
-    found = x.groupBy("p", "q", "d").cogroup(y.groupBy("p", "q", "d")).applyInPandas(meet, f"left_id {kinds['left_id']}, right_id {kinds['right_id']}, similarity double")
+    found = x.groupBy(*keys, "p", "q", "d").cogroup(y.groupBy(*keys, "p", "q", "d")).applyInPandas(meet, f"left_id {kinds['left_id']}, right_id {kinds['right_id']}, similarity double")
     return best_match(found) if best_only else found
 
 

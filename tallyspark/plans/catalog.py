@@ -548,8 +548,7 @@ def _(s, d):
 @query("vector_range_match", "SELECT a.vec_id AS left_id, b.vec_id AS right_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) >= 0.3", "")
 def _(s, d):
     v = vectors(s, d)
-    pairs = matching.similarities(v.select(F.col("vec_id").alias("left_id"), "label", F.col("embedding").alias("vector")), v.select(F.col("vec_id").alias("right_id"), "label", F.col("embedding").alias("vector")), ("label",), 0.3)
-    return pairs.filter("left_id <> right_id").select("left_id", "right_id", "similarity")
+    return matching.near_pairs(v.select(F.col("vec_id").alias("left_id"), "label", F.col("embedding").alias("vector")), v.select(F.col("vec_id").alias("right_id"), "label", F.col("embedding").alias("vector")), 0.3, skip_equal=True, keys=("label",))
 
 
 @query("neighbour_vote", "WITH p AS (SELECT a.vec_id AS store, b.label::VARCHAR AS category, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS s FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id), v AS (SELECT store, category, count(*) AS votes, avg(s) AS similarity FROM p WHERE s >= 0.2 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY store ORDER BY votes DESC, round(similarity, 9) DESC, category) AS k FROM v) SELECT store, category, votes::BIGINT AS votes FROM r WHERE k = 1", "")

@@ -320,3 +320,26 @@ def test_names_and_keywords_by_pieces(spark, monkeypatch, few):
         return f"c{min(hits, key=lambda w: w.encode())}" if hits else None
 
     assert found == {i: mapped(n) for i, n in enumerate(names)}
+
+
+@pytest.mark.parametrize("best", [False, True])
+def test_near_pairs_within_keys(spark, monkeypatch, best):
+    """Vectors of a key meet in blocks, whatever its size; null keys and vectors and other lengths meet nothing."""
+    monkeypatch.setattr(matching, "BLOCK", 7)
+    rng = np.random.default_rng(5)
+    data = [(i, "hot" if i % 3 else f"k{i % 5}", rng.integers(-3, 4, 3).astype(float).tolist()) for i in range(60)]
+    data += [(60, None, [1.0, 0.0, 0.0]), (61, "hot", None), (62, "hot", [1.0, 0.0]), (63, "hot", [0.0, 0.0, 0.0]), (64, "alone", [1.0, 1.0, 1.0])]
+    rows = spark.createDataFrame(data, "id long, label string, vector array<double>")
+    side = lambda name: rows.select(F.col("id").alias(name), "label", "vector")
+    got = matching.near_pairs(side("left_id"), side("right_id"), None if best else 0.5, best, True, ("label",)).collect()
+
+    def cosine(u, v):
+        scale = np.linalg.norm(u) * np.linalg.norm(v)
+        return round(float(np.dot(u, v) / scale), 6) if scale else 0.0
+
+    want = {(i, j): cosine(u, v) for i, k, u in data for j, l, v in data if i != j and k is not None and k == l and u and v and len(u) == len(v)}
+    if best:
+        want = {p: s for p, s in want.items() if (-s, p[1]) == min((-t, q[1]) for q, t in want.items() if q[0] == p[0])}
+    else:
+        want = {p: s for p, s in want.items() if s >= 0.5}
+    assert {(r["left_id"], r["right_id"]): r["similarity"] for r in got} == pytest.approx(want, abs=1e-6) and len(got) == len(want)

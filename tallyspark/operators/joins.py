@@ -10,10 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as lx
 from ..functions.categories import resolved
 from ..functions.text import all_aliases, any_of, content_key, parse_message_id
-from .predicates import holds, within
+from .predicates import few, holds, pieces, within
 
-#: Keywords or mappings up to this number are broadcast and tried on every name; more are found by equal pieces.
-FEW = 64
 #: A message and its stored row are the same if their times differ by this much at most.
 MARGIN_MS = 10_000
 
@@ -64,24 +62,6 @@ def without_conflicts(stored: DataFrame, new: DataFrame, key: str = "smsId") ->
     return stored.join(new.select(key).filter(F.col(key).isNotNull()).distinct(), key, "left_anti")
 
 
-def few(rows: DataFrame) -> bool:
-    """Whether a table has ``FEW`` rows at most."""
-    return rows.limit(FEW + 1).count() <= FEW
-
-
-def pieces(texts: DataFrame, text: str, keys: DataFrame, key: str) -> DataFrame:
-    """Pairs of rows of ``texts`` and ``keys`` whose ``text`` holds ``key``, as often as it does; the columns' names differ.
-
-    Every piece of a text that is as long as some key meets the keys by equality, so no text meets all keys. Null holds and is held by nothing.
-    """
-    size = F.col("_piece_size")
-    sizes = keys.agg(F.collect_set(F.length(key)).alias("_piece_sizes"))  # one row
-    cut = texts.crossJoin(F.broadcast(sizes)).withColumn("_piece_size", F.explode("_piece_sizes")).filter(size <= F.length(text))
-    last = F.when(size == 0, 1).otherwise(F.length(text) - size + 1)
-    cut = cut.withColumn("_piece_at", F.explode(F.sequence(F.lit(1), last))).withColumn("_piece", F.substring(F.col(text), F.col("_piece_at"), size))
-    return cut.join(keys, F.col("_piece") == F.col(key)).drop("_piece_sizes", "_piece_size", "_piece_at", "_piece")
-
-
 def store_rules(rows: DataFrame, rules: DataFrame, policy: str = "newest") -> DataFrame:
     """Rows with the rule (rule_category, rule_fixed) whose keyword their shop holds: the newest, or the longest keyword.
 

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as lx
 from ..functions.text import any_of, first_of, normalize_sender, trim_space
 
+#: Keywords or mappings up to this number are broadcast and tried on every text; more are found by equal pieces.
+FEW = 64
+
 
 def within(column: str, first: datetime, last: datetime) -> Column:
     """An inclusive range of local times on the raw column, so that scans can prune by it."""
@@ -44,13 +47,35 @@ def either_holds(a: Column, b: Column) -> Column:
     return a.contains(b) | b.contains(a)
 
 
+def few(rows: DataFrame) -> bool:
+    """Whether a table has ``FEW`` rows at most."""
+    return rows.limit(FEW + 1).count() <= FEW
+
+
+def pieces(texts: DataFrame, text: str, keys: DataFrame, key: str) -> DataFrame:
+    """Pairs of rows of ``texts`` and ``keys`` whose ``text`` holds ``key``, as often as it does; the columns' names differ.
+
+    Every piece of a text that is as long as some key meets the keys by equality, so no text meets all keys. Null holds and is held by nothing.
+    """
+    size = F.col("_piece_size")
+    sizes = keys.agg(F.collect_set(F.length(key)).alias("_piece_sizes"))  # one row
+    cut = texts.crossJoin(F.broadcast(sizes)).withColumn("_piece_size", F.explode("_piece_sizes")).filter(size <= F.length(text))
+    last = F.when(size == 0, 1).otherwise(F.length(text) - size + 1)
+    cut = cut.withColumn("_piece_at", F.explode(F.sequence(F.lit(1), last))).withColumn("_piece", F.substring(F.col(text), F.col("_piece_at"), size))
+    return cut.join(keys, F.col("_piece") == F.col(key)).drop("_piece_sizes", "_piece_size", "_piece_at", "_piece")
+
+
 def without_keywords(rows: DataFrame, text: str, keywords: DataFrame) -> DataFrame:
     """Rows whose text holds no exclusion keyword (lower case); null texts stay.
 
-    Keywords are typed in by users; the anti-join is on containment, with the keywords broadcast if they are small.
+    A few keywords are broadcast and tried on every text; many meet the distinct texts by equal pieces.
     """
     k = keywords.select(F.lower("keyword").alias("_keyword")).filter("_keyword <> ''").distinct()
-    return rows.join(k, F.lower(F.col(text)).contains(F.col("_keyword")), "left_anti")
+    own = F.lower(F.col(text))
+    if few(k):
+        return rows.join(F.broadcast(k), own.contains(F.col("_keyword")), "left_anti")
+    gone = pieces(rows.select(own.alias("_lower")).distinct(), "_lower", k, "_keyword").select("_lower").distinct()
+    return rows.join(gone, own == F.col("_lower"), "left_anti")
 
 
 def visible(row_type: Column, category: Column, shown: dict[str, tuple[str, ...] | None]) -> Column:

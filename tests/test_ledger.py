@@ -301,7 +301,7 @@ def test_notifications_of_equal_worth(spark):
 @pytest.mark.parametrize("few", [0, 64])
 def test_names_and_keywords_by_pieces(spark, monkeypatch, few):
     """Many rules and mappings are found by equal pieces, a few are tried each by each; both are what plain loops find."""
-    monkeypatch.setattr(joins, "FEW", few)
+    monkeypatch.setattr(predicates, "FEW", few)
     names = ["", "a", "Ab", "abab", "bAb a", "카페 봄", "봄", "😀x", "zz", None, "abab"]
     words = ["ab", "B", "", "봄", "😀", "ABABAB", "카페 봄날", None, "q"]
     rows = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "id int, storeName string")
@@ -320,6 +320,9 @@ def test_names_and_keywords_by_pieces(spark, monkeypatch, few):
         return f"c{min(hits, key=lambda w: w.encode())}" if hits else None
 
     assert found == {i: mapped(n) for i, n in enumerate(names)}
+    excluded = spark.createDataFrame([("AB",), ("",), ("봄",), (None,), ("ab",)], "keyword string")
+    left = {r["id"] for r in predicates.without_keywords(rows, "storeName", excluded).collect()}
+    assert left == {i for i, n in enumerate(names) if n is None or not any(w in n.lower() for w in ("ab", "봄"))}
 
 
 @pytest.mark.parametrize("best", [False, True])

@@ -28,12 +28,36 @@ def ingest(messages: DataFrame, write: Callable[[DataFrame, int], None], checkpo
     return transform(recent_only_once(messages, ttl)).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: Lengths of ends by which notifications meet messages on a stream: none, and powers of two.
+ENDS = (0, *(1 << k for k in range(31)))
+
+
 def late_matches(notes: DataFrame, stored: DataFrame, window: str = "2 minutes") -> DataFrame:
-    """Notifications joined with messages that arrive up to two minutes around them, whose text holds theirs."""
+    """Notifications joined with messages that arrive up to two minutes around them, whose text holds theirs.
+
+    A notification meets messages by equality of a stretch of time and of its end, as long as the largest power
+    of two it has room for; time and text are then compared whole. A message has all its pieces of the lengths that
+    notifications of its stretch ask for; on a stream, where these aren't known, of every power of two.
+    """
     n = notes.withColumn("note_time", F.timestamp_millis("ts_ms")).withWatermark("note_time", window)
     m = stored.select(F.col("id").alias("message_id"), F.col("body").alias("message_body"), F.timestamp_millis("date").alias("message_time")).withWatermark("message_time", window)
     gap = F.expr(f"message_time BETWEEN note_time - INTERVAL {window} AND note_time + INTERVAL {window}")
-    return n.join(m, gap & F.col("message_body").contains(F.col("body"))).select("note_id", "message_id", "note_time", "message_time")
+    # stretches are twice the window long, so what is around a notification lies in two of them
+    stretch = lambda time: F.expr(f"floor(unix_millis({time}) / greatest(1, 2 * unix_millis(TIMESTAMP '1970-01-01 00:00:00Z' + INTERVAL {window})))")
+    size = F.expr("IF(length(body) = 0, 0, shiftleft(1, length(bin(length(body))) - 1))")
+    n = n.withColumn("_stretch", F.explode(F.sequence(stretch(f"note_time - INTERVAL {window}"), stretch(f"note_time + INTERVAL {window}")))).withColumn("_size", size)
+    m = m.withColumn("_at", stretch("message_time"))
+    if notes.isStreaming or stored.isStreaming:
+        m = m.withColumn("_sizes", F.lit(list(ENDS)))
+    else:
+        asked = n.groupBy(F.col("_stretch").alias("_at")).agg(F.collect_set("_size").alias("_sizes"))
+        m = m.join(asked, "_at")
+    room = F.length("message_body")
+    cut = lambda k: F.transform(F.sequence(F.lit(1), F.when(k == 0, 1).otherwise(room - k + 1)), lambda i: F.xxhash64(F.substring("message_body", i, k)))
+    m = m.withColumn("_piece", F.explode(F.array_distinct(F.flatten(F.transform(F.filter("_sizes", lambda k: k <= room), cut))))).drop("_sizes")
+    n = n.withColumn("_end", F.xxhash64(F.substring("body", F.length("body") - F.col("_size") + 1, F.col("_size"))))
+    met = (F.col("_stretch") == F.col("_at")) & (F.col("_end") == F.col("_piece"))
+    return n.join(m, met & gap & F.col("message_body").contains(F.col("body"))).select("note_id", "message_id", "note_time", "message_time")
 
 
 def live_totals(expenses: DataFrame) -> DataFrame:

@@ -346,3 +346,29 @@ def test_near_pairs_within_keys(spark, monkeypatch, best):
     else:
         want = {p: s for p, s in want.items() if s >= 0.5}
     assert {(r["left_id"], r["right_id"]): r["similarity"] for r in got} == pytest.approx(want, abs=1e-6) and len(got) == len(want)
+
+
+@pytest.mark.parametrize("kind", ["table", "stream"])
+def test_late_matches(spark, tmp_path, kind):
+    """Notifications meet messages by equal ends within stretches of time, on tables and streams; they are what plain loops find."""
+    bodies = ["", "a", "aa", "aaaa", "aaaaaaa", "승인 12,300원", "[KB]승인 12,300원 잔액", "😀봄😀봄", "봄😀", None, "300원 잔액"]
+    times = [RECEIVED + x for x in (0, 120_000, 120_001, -120_000, -120_001, 250_000)]
+    notes = [(i * 10 + j, b, t) for i, b in enumerate(bodies) for j, t in enumerate(times[::2])] + [(900, "a", None)]
+    stored = [(i * 10 + j, b, t) for i, b in enumerate(bodies) for j, t in enumerate(times)] + [(901, "a", None)]
+    tables = []
+    for name, data, columns in (("notes", notes, "note_id long, body string, ts_ms long"), ("stored", stored, "id long, body string, date long")):
+        table = spark.createDataFrame(data, columns)
+        if kind == "stream":
+            table.coalesce(1).write.json(f"{tmp_path}/{name}")
+            table = spark.readStream.schema(columns).json(f"{tmp_path}/{name}")
+        tables.append(table)
+    found = ingest.late_matches(*tables)
+    got: list = []
+    if kind == "stream":
+        found.writeStream.foreachBatch(lambda df, _: got.extend(df.collect())).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination(180)
+    else:
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+        got = found.collect()
+    want = [(n, m) for n, b, t in notes for m, c, u in stored if None not in (b, c, t, u) and b in c and abs(t - u) <= 120_000]
+    assert sorted((r["note_id"], r["message_id"]) for r in got) == sorted(want) and len(want) > 100

@@ -99,6 +99,8 @@ def similarities(left: DataFrame, right: DataFrame, keys: tuple[str, ...], least
 
 #: Rows of a block of vectors; a task meets two blocks.
 BLOCK = 4_096
+#: Rows whose products with a block are held at once.
+ROWS = 512
 
 
 def near_pairs(left: DataFrame, right: DataFrame, least: float | None = None, best_only: bool = False, skip_equal: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -106,7 +108,8 @@ def near_pairs(left: DataFrame, right: DataFrame, least: float | None = None, be
 
     Both sides are dealt into blocks by a hash of their ids, within ``keys`` if there are some (null keys
     meet nothing); every two blocks meet in one task as a matrix product, and only what is kept leaves it,
-    so a key of any size is many tasks. Null vectors and pairs of other lengths take no part. ``best_only``
+    so a key of any size is many tasks. Vectors that are null or hold null or non-finite components, and pairs of
+    other lengths, take no part. ``best_only``
     ties go to the smaller right id; ``skip_equal`` leaves out a row's own id. Ids may be of any type.
     """
     keys = list(keys)
@@ -131,21 +134,31 @@ def near_pairs(left: DataFrame, right: DataFrame, least: float | None = None, be
         import numpy as np
         import pandas as pd
 
-        if not len(f) or not len(g):
-            return pd.DataFrame({"left_id": f["id"][:0], "right_id": g["id"][:0], "similarity": np.zeros(0)})
-        g = g.sort_values("id")
-        u, v = (np.stack(t["vector"].to_numpy()).astype(np.float64) for t in (f, g))
-        scale = np.linalg.norm(u, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :]
-        s = np.round(np.divide(u @ v.T, scale, out=np.zeros(scale.shape), where=scale > 0), 6)
-        ids, others = f["id"].to_numpy(), g["id"].to_numpy()
-        if skip_equal:
-            s[ids[:, None] == others[None, :]] = -np.inf
-        if best_only:
-            i, j = np.arange(len(f)), s.argmax(axis=1)
-            i, j = i[np.isfinite(s[i, j])], j[np.isfinite(s[i, j])]
-        else:
-            i, j = np.nonzero(s >= (least if least is not None else -1))
-        return pd.DataFrame({"left_id": ids[i], "right_id": others[j], "similarity": s[i, j]})
+        def units(t):
+            v = np.stack(t["vector"].to_numpy()).astype(np.float64) if len(t) else np.zeros((0, 0))
+            sound = np.isfinite(v).all(axis=1)
+            n = np.linalg.norm(v[sound], axis=1)[:, None]
+            return t["id"].to_numpy()[sound], np.divide(v[sound], n, out=np.zeros((len(n), v.shape[1])), where=n > 0)
+
+        (ids, u), (others, v) = units(f), units(g.sort_values("id"))
+        kept = [(ids[:0], others[:0], np.zeros(0))]
+        for k in range(0, len(u) if len(v) else 0, ROWS):
+            own = ids[k : k + ROWS]
+            s = u[k : k + ROWS] @ v.T
+            if skip_equal:
+                s[own[:, None] == others[None, :]] = -np.inf
+            # what may be kept once it is rounded
+            i, j = np.nonzero(s >= (s.max(axis=1)[:, None] if best_only else least if least is not None else -1) - 2e-6)
+            c = np.round(s[i, j], 6)
+            if best_only:
+                top = np.full(len(own), -np.inf)
+                np.maximum.at(top, i, c)
+                at = np.nonzero(np.isfinite(c) & (c == top[i]))[0]
+                at = at[np.unique(i[at], return_index=True)[1]]  # a row's first has the smallest id
+            else:
+                at = np.nonzero(c >= (least if least is not None else -1))[0]
+            kept.append((own[i[at]], others[j[at]], c[at]))
+        return pd.DataFrame(dict(zip(("left_id", "right_id", "similarity"), map(np.concatenate, zip(*kept, strict=True)), strict=True)))
 
     found = x.groupBy(*keys, "p", "q", "d").cogroup(y.groupBy(*keys, "p", "q", "d")).applyInPandas(meet, f"left_id {kinds['left_id']}, right_id {kinds['right_id']}, similarity double")
     return best_match(found) if best_only else found
@@ -158,12 +171,23 @@ def best_match(pairs: DataFrame, left: str = "left_id", right: str = "right_id")
 
 
 def match_patterns(messages: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Messages with the most similar pattern of their sender, or of all senders if theirs has none: left_id, right_id, similarity."""
+    """Messages with the most similar pattern of their sender, or of all senders if theirs has none: left_id, right_id, similarity.
+
+    Either way vectors meet in blocks (``near_pairs``). Within a sender a pattern of another length, or none, counts 0, and one that
+    can't be compared for its components comes last (NaN), so every message of a known sender has a row.
+    """
     a = messages.withColumn("sender", normalize_sender_dotted(F.col("address"))).select(F.col("id").alias("left_id"), "sender", "vector")
     b = patterns.withColumn("sender", normalize_sender_dotted(F.col("senderAddress"))).select(F.col("patternId").alias("right_id"), "sender", "vector")
     known = b.select(F.col("sender").alias("_known")).distinct()
     homeless = a.join(known, F.col("sender") == F.col("_known"), "left_anti")
-    own = best_match(similarities(a, b, ("sender",)).select("left_id", "right_id", "similarity"))
+    # of a sender's patterns the smallest ids of two lengths: one of them is of another length than a message, if any is
+    length = F.coalesce(F.size("vector"), F.lit(-1))
+    lengths = b.groupBy("sender", length.alias("n")).agg(F.min("right_id").alias("r"))
+    firsts = lengths.groupBy("sender").agg(F.slice(F.array_sort(F.collect_list(F.struct("r", "n"))), 1, 2).alias("_firsts"))
+    other = F.filter("_firsts", lambda x: (x["n"] < 0) | (x["n"] != length))
+    plain = F.array(F.struct(F.get(other, 0)["r"].alias("r"), F.lit(0.0).alias("s")), F.struct(F.get("_firsts", 0)["r"].alias("r"), F.lit(float("nan")).alias("s")))
+    rest = a.join(firsts, "sender").select("left_id", F.explode(plain).alias("_p")).select("left_id", F.col("_p.r").alias("right_id"), F.col("_p.s").alias("similarity")).filter("right_id IS NOT NULL")
+    own = best_match(near_pairs(a, b, best_only=True, keys=("sender",)).unionByName(rest))
     return own.unionByName(near_pairs(homeless.drop("sender"), b.drop("sender"), best_only=True))
 
 

@@ -372,3 +372,39 @@ def test_late_matches(spark, tmp_path, kind):
         got = found.collect()
     want = [(n, m) for n, b, t in notes for m, c, u in stored if None not in (b, c, t, u) and b in c and abs(t - u) <= 120_000]
     assert sorted((r["note_id"], r["message_id"]) for r in got) == sorted(want) and len(want) > 100
+
+
+def test_match_patterns_in_blocks(spark, monkeypatch):
+    """A sender's messages and patterns meet in blocks, not pair by pair; odd vectors count as plain loops say."""
+    monkeypatch.setattr(matching, "BLOCK", 7)
+    monkeypatch.setattr(matching, "ROWS", 3, raising=False)
+    rng, nan = np.random.default_rng(8), float("nan")
+    odd = [None, [], [0.0, 0.0, 0.0], [1.0, nan, 0.0], [float("inf"), 1.0, 1.0], [1.0, None, 2.0], [-1.0, 1.0]]
+    vectors = lambda n: [rng.integers(-3, 4, 3).astype(float).tolist() for _ in range(n)] + odd
+    senders = ["1588-1", "1588.2", "1588-3"]
+    mine = [(i, "1588-9" if i % 4 == 3 else senders[i % 4], v) for i, v in enumerate(vectors(90) + odd * 3)]
+    theirs = [(1000 + i, senders[i % 2], v) for i, v in enumerate(vectors(40) + odd)] + [(2000, senders[2], [nan, 1.0, 1.0])]
+    m = spark.createDataFrame(mine, "id long, address string, vector array<double>")
+    p = spark.createDataFrame(theirs, "patternId long, senderAddress string, vector array<double>")
+    found = matching.match_patterns(m, p)
+    assert "zip_with" not in found._jdf.queryExecution().optimizedPlan().toString()
+    sound = lambda v: v is not None and all(x is not None and np.isfinite(x) for x in v)
+
+    def similarity(u, v, known):
+        if u is None or v is None or len(u) != len(v):
+            return 0.0 if known else None
+        if not (sound(u) and sound(v)):
+            return nan if known else None
+        scale = np.linalg.norm(u) * np.linalg.norm(v)
+        return round(float(np.dot(u, v) / scale), 6) if scale else 0.0
+
+    want = {}
+    for i, sender, u in mine:
+        known = sender != "1588-9"
+        pairs = [(s, r) for r, t, v in theirs if (t == sender or not known) and (s := similarity(u, v, known)) is not None]
+        if pairs:
+            s, r = min(pairs, key=lambda x: (np.isnan(x[0]), 0 if np.isnan(x[0]) else -x[0], x[1]))
+            want[i] = (r, s)
+    got = found.collect()
+    assert len(got) == len(want) > 90
+    assert {r["left_id"]: (r["right_id"], repr(round(r["similarity"], 6) + 0.0)) for r in got} == {i: (r, repr(s + 0.0)) for i, (r, s) in want.items()}

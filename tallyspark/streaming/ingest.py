@@ -30,6 +30,8 @@ def ingest(messages: DataFrame, write: Callable[[DataFrame, int], None], checkpo
 
 #: Lengths of ends by which notifications meet messages on a stream: none, and powers of two.
 ENDS = (0, *(1 << k for k in range(31)))
+#: Into how many shares the messages of a stretch are dealt.
+SHARES = 64
 
 
 def late_matches(notes: DataFrame, stored: DataFrame, window: str = "2 minutes") -> DataFrame:
@@ -50,8 +52,10 @@ def late_matches(notes: DataFrame, stored: DataFrame, window: str = "2 minutes")
     if notes.isStreaming or stored.isStreaming:
         m = m.withColumn("_sizes", F.lit(list(ENDS)))
     else:
+        # a stretch's lengths are given in shares, so that the messages of one stretch are no task's alone
         asked = n.groupBy(F.col("_stretch").alias("_at")).agg(F.collect_set("_size").alias("_sizes"))
-        m = m.join(asked, "_at")
+        asked = asked.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+        m = m.withColumn("_share", F.pmod(F.xxhash64("message_id"), F.lit(SHARES)).cast("int")).join(asked, ["_at", "_share"]).drop("_share")
     room = F.length("message_body")
     cut = lambda k: F.transform(F.sequence(F.lit(1), F.when(k == 0, 1).otherwise(room - k + 1)), lambda i: F.xxhash64(F.substring("message_body", i, k)))
     m = m.withColumn("_piece", F.explode(F.array_distinct(F.flatten(F.transform(F.filter("_sizes", lambda k: k <= room), cut))))).drop("_sizes")

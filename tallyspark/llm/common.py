@@ -137,7 +137,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Returns (node, component) for each node that has an edge to another; component is the least
     node reachable. Large-star and small-star rounds: every step is a partial aggregation and a join
     in which hubs (the centres of stars) are broadcast, so a star with millions of leaves is no hot task.
-    Rounds stop when the edge set no longer changes, which is O(log n) rounds.
+    Rounds stop when every edge hangs a node from the root of its star, which is O(log n) rounds; edges that
+    are so from the start take none. Each half of a round is a plan of its own: the driver's memory
+    grows with the stages that it keeps track of and with their plans.
     """
     now = cut(
         edges.filter(F.col("a") != F.col("b"))
@@ -145,33 +147,31 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         .distinct()
     )
 
-    def mark(e: DataFrame) -> tuple:
-        got = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    def mark(e: DataFrame) -> tuple[int, int]:
+        """Edges, and nodes that are not settled: with two smaller neighbours, or with a smaller and a larger one."""
+        side = lambda node, up: F.struct(F.col(node).alias("node"), F.lit(up).alias("up"), F.lit(1 - up).alias("down"))
+        ends = e.select(F.inline(F.array(side("a", 1), side("b", 0))))
+        ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        got = ends.agg(F.coalesce(F.sum("up"), F.lit(0)), F.count(F.when(F.col("up") + F.when(F.col("up") > 0, F.col("down")).otherwise(0) > 1, 1))).first()
         return (got[0], got[1])
 
-    before = mark(now)
-    for _ in range(rounds):
-        if not before[0]:
+    for left in range(rounds, -1, -1):
+        size, unsettled = mark(now)
+        if not unsettled:
             break
-        limit = hub_limit(before[0])
+        if not left:
+            raise RuntimeError("components did not settle")
+        limit = hub_limit(size)
         turned = now.select(F.col("b").alias("a"), F.col("a").alias("b"))
         # _n counts the larger neighbours, whose rows are joined
         low = now.unionByName(turned).groupBy("a").agg(F.min("b").alias("m"), F.count(F.when(F.col("b") > F.col("a"), 1)).alias("_n"))
         low = low.select("a", F.least("a", "m").alias("m"), "_n")
-        large = look_up(turned, low, ["a"], limit, "b").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = cut(look_up(turned, low, ["a"], limit, "b").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         low = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("_n"))
         hung = look_up(large, low, ["a"], limit, "b").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = cut(low.select("a", F.col("m").alias("b")).unionByName(hung).filter(F.col("a") != F.col("b")).distinct())
-        after = mark(now)
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError("components did not settle")
-    # each remaining edge hangs a node from the root of its star
-    return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).unionByName(
-        now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    )
+    # each remaining edge hangs a node, which has no other, from the root of its star
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
 class Forest:

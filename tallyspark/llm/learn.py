@@ -19,6 +19,8 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, feature
     Ids are taken by lowest hash, so the sample is the same in each run; null labels and ids take no
     part; a repeated label row counts once (its greatest label), a repeated document once.
     """
+    import pyarrow as pa
+
     chosen = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     if fold:
         chosen = chosen.filter(remainder(F.col("doc_id"), fold[0]) != fold[1])
@@ -26,7 +28,10 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, feature
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id").limit(most)
     rows = documents.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "_id")  # at most ``most`` ids
     got = with_value(rows, "text", "_f", "binary", features).groupBy("_id", "_y").agg(F.min("_f").alias("_f")).orderBy("_id").toArrow()
-    return got.column("_f").to_pylist(), np.array(got.column("_y").to_pylist(), np.float64)
+    features, y = got.column("_f").to_pylist(), np.array(got.column("_y").to_pylist(), np.float64)
+    del got
+    pa.default_memory_pool().release_unused()  # the driver's memory is scarcer than the time to ask for it again
+    return features, y
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

@@ -67,8 +67,28 @@ def form(text: bytes | None) -> np.ndarray:
     return out
 
 
+#: A feature that isn't zero, as samples are sent to the driver: most features of a text are.
+FEATURE = np.dtype([("at", "<u2"), ("value", "<f4")])
+
+
 def _features(texts: list[bytes | None]) -> list[bytes]:
-    return [form(t).tobytes() for t in texts]
+    out = []
+    for t in texts:
+        x = form(t)
+        found = np.zeros(np.count_nonzero(x), FEATURE)
+        found["at"] = np.flatnonzero(x)
+        found["value"] = x[found["at"]]
+        out.append(found.tobytes())
+    return out
+
+
+def _matrix(features: list[bytes]) -> np.ndarray:
+    """Features as ``_features`` gives them, a row per text."""
+    out = np.zeros((len(features), SHAPES + 2))
+    for row, f in zip(out, features, strict=True):
+        found = np.frombuffer(f, FEATURE)
+        row[found["at"]] = found["value"]
+    return out
 
 
 @dataclass
@@ -87,10 +107,9 @@ class Evidence:
 def train(documents: DataFrame, labels: DataFrame, fold: tuple[int, int] | None = None, most: int = SAMPLE) -> Evidence:
     """The model fitted on at most ``most`` labelled documents; without labels it holds every document for good."""
     features, y = labelled_sample(documents, labels, "quality", _features, fold, most)
-    x = np.stack([np.frombuffer(f, np.float32) for f in features]).astype(np.float64) if features else np.zeros((0, SHAPES + 2))
     if not len(y) or y.min() == y.max():
         return Evidence(np.zeros(SHAPES + 2), 4.0 if not len(y) or y[0] else -4.0)
-    weights, bias = logistic(x, y, penalty=1e-5, steps=1000)
+    weights, bias = logistic(_matrix(features), y, penalty=1e-5, steps=1000)
     return Evidence(weights, bias)
 
 

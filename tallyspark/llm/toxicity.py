@@ -84,22 +84,30 @@ def fit(features: list[bytes], labels: np.ndarray, terms: int = TERMS, factors:
     bias0 = float(np.log(base / (1 - base)))
     if not len(y) or y.min() == y.max():
         return Machine({}, bias0, np.zeros(0), np.zeros((0, factors)))
-    sizes = np.array([len(f) // 4 for f in features])
-    every, inverse = np.unique(np.frombuffer(b"".join(features), "<u4"), return_inverse=True)
-    inverse, row = inverse.astype(np.int32), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-    pos, all_ = np.bincount(inverse, y.astype(np.float32)[row], len(every)), np.bincount(inverse, minlength=len(every))
+    # terms of four documents or more, from sorted terms: an inverse of all terms would be several times the sample
+    ordered = np.frombuffer(bytearray().join(features), "<u4")
+    ordered.sort()
+    every = np.unique(ordered[:-3][ordered[:-3] == ordered[3:]])
+    all_ = np.searchsorted(ordered, every, "right") - np.searchsorted(ordered, every, "left")
+    del ordered
+    pos = np.zeros(len(every))
+    for f, n in zip(features, y.tolist(), strict=True):
+        if n and len(every):
+            found = np.frombuffer(f, "<u4")
+            at = np.searchsorted(every, found)
+            pos[at[(at < len(every)) & (every[np.minimum(at, len(every) - 1)] == found)]] += n
     want = all_ * base
     chi = (pos - want) ** 2 / (want * (1 - base) + 1)
-    chi[all_ < 4] = 0
     best = np.argsort(-chi, kind="stable")[:terms]
     best = best[chi[best] > 0]
-    place = np.full(len(every), -1, np.int32)
-    place[best] = np.arange(len(best))
-    found = place[inverse]
-    x = np.zeros((len(sizes), len(best)), np.float32)
-    x[row[found >= 0], found[found >= 0]] = 1
     every = every[best]
-    del inverse, row, found, place
+    x = np.zeros((len(features), len(best)), np.float32)
+    by = np.argsort(every)
+    for row, f in zip(x, features, strict=True):
+        if f:
+            found = np.frombuffer(f, "<u4")
+            at = np.minimum(np.searchsorted(found, every[by]), len(found) - 1)
+            row[by[found[at] == every[by]]] = 1
     rng = np.random.default_rng(seed)
     b, w, v = np.array([bias0]), np.zeros(len(best)), rng.normal(0, 0.05, (len(best), factors))
     adam = Adam([b, w, v], 0.02)

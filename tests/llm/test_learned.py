@@ -1,5 +1,7 @@
 """Operators 4, 5 and 9: held-out accuracy, what they learn, and odd tables."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -32,6 +34,33 @@ def test_machine_without_examples():
     assert toxicity.fit([b""], np.ones(1)).score(set()) > 0.9
 
 
+def test_machine_is_fitted_in_twice_its_sample():
+    """The driver fits it beside all else that it holds: the pipeline's driver was over its memory with the sample's inverse."""
+    rng = np.random.default_rng(3)
+    rows = [np.unique(np.concatenate([rng.integers(0, 2000, 300), rng.integers(0, 1 << 24, 500)]).astype("<u4")).tobytes() for _ in range(2000)]
+    y = np.array([float(7 in np.frombuffer(r, "<u4")) for r in rows])
+    tracemalloc.start()
+    try:
+        m = toxicity.fit(rows, y, terms=64, epochs=1)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert 7 in m.kept and most < 2 * sum(map(len, rows)) + 4e6
+
+
+def test_terms_of_few_documents_are_none():
+    rows = [np.array(t, "<u4").tobytes() for t in ([1], [1], [1, 2], [3], [])]
+    assert toxicity.fit(rows, np.array([1.0, 1, 1, 0, 0])).kept == {}
+    assert set(toxicity.fit(rows * 2, np.array([1.0, 1, 1, 0, 0] * 2)).kept) == {1}
+
+
+def test_forms_are_sent_without_their_zeros():
+    texts = [b"Hello W0rld hello hello\nhello", None, b"", b"a b c " * 400, "Déjà vu 12.5%".encode()]
+    features = quality._features(texts)
+    assert max(map(len, features)) < 100
+    assert np.array_equal(quality._matrix(features), np.stack([quality.form(t) for t in texts]))
+
+
 def test_toxicity_held_out(spark):
     got = toxicity.op4_toxicity(spark, DATA)
     assert got.columns == ["doc_id", "held_out", "score", "predicted"] and got.count() == 1000

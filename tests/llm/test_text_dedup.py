@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tallyspark.llm import common
 from tallyspark.llm import text_dedup as td
 from tallyspark.llm.common import components, look_up
 
@@ -118,6 +119,21 @@ def test_hubs_are_looked_up_apart(spark, leaves):
     assert {r["component"]: r["count"] for r in got} == {0: leaves + 3, 100_000: 2}
 
 
+def test_settled_stars_take_no_round(spark, monkeypatch):
+    """Nor is there a last round that only confirms; and no plan of a round holds its other half."""
+    cuts = []
+    monkeypatch.setattr(common, "cut", lambda df, cut=common.cut: cuts.append(df._jdf.queryExecution().toString().count("Exchange")) or cut(df))
+    stars = [(0, i) for i in range(1, 9)] + [(100, i) for i in range(101, 104)] + [(5, 5)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(stars, "a long, b long")).collect()}
+    assert got == {n: 0 for n in range(9)} | {n: 100 for n in range(100, 104)} and len(cuts) == 1
+    cuts.clear()
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame([*stars, (104, 103), (105, 104)], "a long, b long")).collect()}
+    assert got == {n: 0 for n in range(9)} | {n: 100 for n in range(100, 106)} and len(cuts) <= 1 + 2 * 2 and max(cuts) <= 20
+    assert components(spark.createDataFrame([(3, 3)], "a long, b long")).count() == 0
+    with pytest.raises(RuntimeError):
+        components(spark.createDataFrame([(1, 2), (2, 3)], "a long, b long"), rounds=0)
+
+
 def test_names_that_clash(odd):
     assert td.deduplicated(odd.withColumn("gone", F.lit(1)).withColumn("_gone", F.lit(2))).columns[-2:] == ["gone", "_gone"]
 
